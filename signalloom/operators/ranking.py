@@ -77,18 +77,25 @@ def take_in_hash_order(
             "__upto",
             F.posexplode(wanted).alias("__j", "__m"),
         )
-        .where((F.col("__before") < F.col("__m")) & (F.col("__m") <= F.col("__upto")))
+        .where(
+            ((F.col("__before") < F.col("__m")) & (F.col("__m") <= F.col("__upto")))
+            # Nothing wanted: no rank to look for, but the group's size is kept.
+            | ((F.col("__m") <= 0) & (F.col("__before") == 0))
+        )
         .select(
             *groups, "__bucket", "__n", "__j", (F.col("__m") - F.col("__before")).alias("__local")
         )
     )
+    edges, _ = small_table(edges)
     local_order = Window.partitionBy(*groups, "__bucket", "__j").orderBy("__key")
     near = (
         attach(narrow, edges, [*groups, "__bucket"], how="inner")
         .withColumn("__rn", F.row_number().over(local_order))
         .where(F.col("__rn") == F.col("__local"))
     )
-    cuts = near.groupBy(*groups).agg(
+    found = near.select(*groups, "__n", "__j", "__key")
+    sizes = edges.select(*groups, "__n", F.lit(-1).alias("__j"))
+    cuts = found.unionByName(sizes, allowMissingColumns=True).groupBy(*groups).agg(
         F.max("__n").alias("__n"),
         *[F.max(F.when(F.col("__j") == j, F.col("__key"))).alias(f"__cut_{j}") for j in range(n_cuts)],
     )

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.functions.ordering import hash_order
 from signalloom.spec import Collection, SignalSpec
 
 
@@ -149,7 +148,7 @@ def pseudo_predictions(
         *[
             F.conv(F.substring("__digest", 1 + 2 * c, 2), 16, 10).cast("int")
             % 64
-            + F.when(F.col("label") == c, pull).otherwise(F.lit(0))
+            + F.when(F.col("label") == c, F.col("__pull")).otherwise(F.lit(0))
             + 1
             for c in range(n_classes)
         ]
@@ -161,6 +160,7 @@ def pseudo_predictions(
             F.col("event_id"),
             label.alias("label"),
             digest.alias("__digest"),
+            pull.alias("__pull"),
             *keep,
         )
         .withColumn("__w", weights)
@@ -173,8 +173,3 @@ def pseudo_predictions(
             F.transform("__w", lambda x: x / F.col("__total")).alias("probability"),
         )
     )
-
-
-def order_key(seed: int, *keys: Column | str) -> Column:
-    """The hash order the operators use, for callers that sort on their own."""
-    return hash_order(seed, *keys)
