@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.operators.metrics import PRIMARY_METRIC
+from signalloom.runtime import small_table
 
 # The arms in report order; the first is the reference arm.
 ARMS = ["scratch", "frozen", "finetune"]
@@ -34,6 +35,7 @@ def transfer_gain(
     ``relative_error_reduction`` is the share of the distance to a perfect score
     that the arm closed; NULL when the reference is already perfect.
     """
+    arms, _ = small_table(arms)  # a line per arm, looked at twice
     base = _value_of(arms, metric, REFERENCE_ARM)
     headroom = 1.0 - base
     value = F.col(metric)
@@ -75,6 +77,7 @@ def seed_summary(runs: DataFrame, metric: str = PRIMARY_METRIC) -> DataFrame:
         F.round(F.max(value), 4).alias("max"),
         F.count(value).alias("n_seeds"),
     )
+    stats, _ = small_table(stats)  # a line per arm, looked at twice
     reference = stats.where(F.col("arm") == REFERENCE_ARM).first()
     if reference is not None:
         delta = F.round(F.col("mean") - F.lit(reference["mean"]), 4)

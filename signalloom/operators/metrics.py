@@ -61,16 +61,14 @@ def confusion_counts(
 ) -> DataFrame:
     """Dense confusion counts: one line per true and predicted class, zeros included."""
     by, k = list(by), len(label_names)
-    counts = (
-        predictions.where(F.col("label").between(0, k - 1) & F.col("prediction").between(0, k - 1))
-        .groupBy(*by, F.col("label").cast("int"), F.col("prediction").cast("int"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cell = F.col("label") * k + F.col("prediction")
+    known = F.col("label").between(0, k - 1) & F.col("prediction").between(0, k - 1)
+    # Rows outside the class list share the NULL cell. A filter on the prediction
+    # would be moved below the model and have it predict twice.
+    cell = F.when(known, F.col("label").cast("int") * k + F.col("prediction").cast("int"))
+    counts = predictions.groupBy(*by, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     # The collected map has at most k * k entries.
-    found = counts.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct(cell.alias("cell"), "n"))).alias("__n")
-    )
+    entry = F.when(F.col("cell").isNotNull(), F.struct("cell", "n"))
+    found = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("__n"))
     names = F.array(*[F.lit(name) for name in label_names])
     true, pred = F.floor(F.col("cell") / k).cast("int"), F.pmod("cell", F.lit(k))
     return found.select(

@@ -83,15 +83,10 @@ def raw_schema(spec: SignalSpec = HEARTBEAT) -> T.StructType:
 
 def canonical_schema() -> T.StructType:
     """One row per signal; what every operator reads."""
-    return (
-        T.StructType()
-        .add("beat_id", "string")
-        .add("source", "string")
-        .add("split", "string")
-        .add("label", "int")
-        .add("label_name", "string")
-        .add("signal", T.ArrayType(T.DoubleType(), True))
-    )
+    text, code = T.StringType(), T.IntegerType()
+    columns = {"beat_id": text, "source": text, "split": text, "label": code, "label_name": text}
+    fields = [T.StructField(name, kind) for name, kind in columns.items()]
+    return T.StructType([*fields, T.StructField("signal", T.ArrayType(T.DoubleType()))])
 
 
 def conform(df: DataFrame) -> DataFrame:
