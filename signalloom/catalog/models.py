@@ -1 +1,343 @@
-"""x"""
+"""Section E and the model-fitting part of G: Spark ML on the event signals.
+
+The settings of the registered queries are smaller than the registry's, so that a
+check run stays short; the rows are always all rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from signalloom.catalog.base import (
+    EVENT_FEATS,
+    NAMES,
+    SPEC,
+    beats,
+    big,
+    query,
+    r,
+    r6,
+)
+from signalloom.operators.descriptors import MODEL_FEATURE_COLUMNS
+from signalloom.plans import arms as R
+from signalloom.plans import features as P
+from signalloom.plans import models as L
+from signalloom.runtime import scratch_path
+from signalloom.sources.ingest import write_parquet
+
+N_INPUTS = SPEC.n_samples + len(MODEL_FEATURE_COLUMNS)
+LIGHT = {
+    "logistic-regression": {"maxIter": 15},
+    "linear-svc": {"maxIter": 5},
+    "random-forest": {"numTrees": 10, "maxDepth": 5},
+    "gradient-boosted-trees": {"maxIter": 2, "maxDepth": 3},
+}
+
+
+def stored(spark, sf_dir) -> DataFrame:
+    """Signals as ingestion leaves them: a Parquet table, made once and read many times."""
+    path = write_parquet(beats(spark, sf_dir), scratch_path(spark, "stored"))
+    return spark.read.parquet(path)
+
+
+def dataset(spark, sf_dir, source: str = "a") -> DataFrame:
+    """Model-ready rows of one collection, stored."""
+    rows, _ = P.build_dataset(
+        stored(spark, sf_dir), source, True, destination=scratch_path(spark, "model"), spec=SPEC
+    )
+    return rows
+
+
+# --- feature stages ---------------------------------------------------------
+
+_SLOTS = "UNION ALL ".join(
+    f"SELECT beat_id, {31 + i} AS slot, CAST({c} AS DOUBLE) AS x FROM ok "
+    for i, c in enumerate(MODEL_FEATURE_COLUMNS)
+)
+_ASSEMBLED = f"""{EVENT_FEATS},
+ok AS (SELECT * FROM feats WHERE amp_min IS NOT NULL AND mean_abs_diff IS NOT NULL AND max_abs_diff IS NOT NULL),
+slots AS (SELECT beat_id, slot, x FROM long WHERE beat_id IN (SELECT beat_id FROM ok) UNION ALL {_SLOTS}),
+fitted AS (SELECT slot, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi
+  FROM slots JOIN ok USING (beat_id) WHERE split = 'train' GROUP BY slot)"""
+
+
+def _transformed(spark, sf_dir, scaler, source_col="features") -> DataFrame:
+    signals = beats(spark, sf_dir)
+    train = signals.where(F.col("split") == "train")
+    model = P.preprocessing_stages(scaler=scaler, spec=SPEC).fit(train)
+    values = F.posexplode(vector_to_array(source_col)).alias("slot", "value")
+    return model.transform(signals).select("beat_id", values).withColumn("value", r6("value"))
+
+
+@query(
+    "e01_descriptor_stage",
+    f"""WITH {EVENT_FEATS} SELECT beat_id, signal_length, {r('amp_mean')} AS amp_mean FROM feats""",
+)
+def e01(spark, sf_dir):
+    described = P.SignalDescriptors("signal", 31, SPEC.sampling_hz).transform(beats(spark, sf_dir))
+    return described.select("beat_id", "signal_length", r6("amp_mean").alias("amp_mean"))
+
+
+@query(
+    "e02_array_to_vector",
+    f"""WITH {EVENT_FEATS} SELECT beat_id, CAST(slot AS INTEGER) AS slot, {r('x')} AS value FROM long""",
+)
+def e02(spark, sf_dir):
+    vectors = P.ArrayToVector("signal", "v").transform(beats(spark, sf_dir))
+    values = F.posexplode(vector_to_array("v")).alias("slot", "value")
+    return vectors.select("beat_id", values).withColumn("value", r6("value"))
+
+
+@query(
+    "e03_assembled_features",
+    f"WITH {_ASSEMBLED} SELECT beat_id, CAST(slot AS INTEGER) AS slot, {r('x')} AS value FROM slots",
+)
+def e03(spark, sf_dir):
+    return _transformed(spark, sf_dir, None)
+
+
+@query(
+    "e03_skipped_rows",
+    f"""WITH {EVENT_FEATS}
+SELECT {big('count(*)')} AS rows, {big('sum(CASE WHEN amp_min IS NULL OR mean_abs_diff IS NULL THEN 1 ELSE 0 END)')} AS skipped
+FROM feats""",
+)
+def e03_skipped(spark, sf_dir):
+    return P.skipped_rows(beats(spark, sf_dir), spec=SPEC)
+
+
+@query(
+    "e04_standard_scaling",
+    f"""WITH {_ASSEMBLED}
+SELECT beat_id, CAST(slot AS INTEGER) AS slot,
+       {r('CASE WHEN sd > 0 THEN (x - mean) / sd ELSE 0 END')} AS value FROM slots JOIN fitted USING (slot)""",
+)
+def e04(spark, sf_dir):
+    return _transformed(spark, sf_dir, "standard")
+
+
+@query(
+    "e05_minmax_scaling",
+    f"""WITH {_ASSEMBLED}
+SELECT beat_id, CAST(slot AS INTEGER) AS slot,
+       {r('CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0.5 END')} AS value FROM slots JOIN fitted USING (slot)""",
+)
+def e05(spark, sf_dir):
+    return _transformed(spark, sf_dir, "minmax")
+
+
+@query("e06_preprocessing_stages")
+def e06(spark, sf_dir):
+    signals = beats(spark, sf_dir)
+    model = P.preprocessing_stages([], "standard", spec=SPEC).fit(signals)
+    return model.transform(signals).select("beat_id", F.size(vector_to_array("features")).alias("width"))
+
+
+@query("e07_build_dataset")
+def e07(spark, sf_dir):
+    rows = dataset(spark, sf_dir)
+    return rows.groupBy("split_final", "label", "label_name").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.max("class_weight"), 6).alias("class_weight")
+    )
+
+
+@query("a17_load_dataset")
+def a17(spark, sf_dir):
+    path = scratch_path(spark, "model")
+    P.build_dataset(stored(spark, sf_dir), "a", True, destination=path, spec=SPEC)
+    return P.load_dataset(spark, path).select("beat_id", "split_final", "label", "class_weight")
+
+
+@query("e08_load_stages")
+def e08(spark, sf_dir):
+    path = scratch_path(spark, "model")
+    signals = stored(spark, sf_dir)
+    rows, _ = P.build_dataset(signals, "a", True, destination=path, spec=SPEC)
+    again: PipelineModel = P.load_stages(path)
+    fresh = again.transform(signals).select("beat_id", vector_to_array("features").alias("fresh"))
+    kept = rows.select("beat_id", vector_to_array("features").alias("kept"))
+    gap = F.array_max(F.zip_with("fresh", "kept", lambda a, b: F.abs(a - b)))
+    return fresh.join(kept, "beat_id").select("beat_id", F.round(gap, 9).alias("difference"))
+
+
+# --- classifiers ------------------------------------------------------------
+
+
+def _fit(name: str):
+    def run(spark, sf_dir):
+        frames = dataset(spark, sf_dir)
+        spec = L.BASELINES[name]
+        train = frames.where(F.col("split_final") == "train")
+        model, _ = L.fit_baseline(spec, train, len(NAMES), **LIGHT[name])
+        scored = L.predict(model, frames.where(F.col("split_final") == "test"), keep=["beat_id"])
+        return scored.select("beat_id", "label", "prediction")
+
+    return run
+
+
+for _number, _name in enumerate(
+    ("logistic-regression", "random-forest", "gradient-boosted-trees", "linear-svc"), start=10
+):
+    query(f"e{_number}_{_name.replace('-', '_')}")(_fit(_name))
+
+
+@query("e14_fit_baseline")
+def e14(spark, sf_dir):
+    train = dataset(spark, sf_dir).where(F.col("split_final") == "train")
+    model, _ = L.fit_baseline(L.BASELINES["logistic-regression"], train, 5, maxIter=5)
+    steps = model.summary.objectiveHistory
+    return train.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.lit(len(steps) > 1).alias("fitted")
+    )
+
+
+@query("e15_evaluate_baseline")
+def e15(spark, sf_dir):
+    rows = dataset(spark, sf_dir)
+    spec = L.BASELINES["random-forest"]
+    model, _ = L.fit_baseline(
+        spec, rows.where(F.col("split_final") == "train"), 5, **LIGHT["random-forest"]
+    )
+    test = rows.where(F.col("split_final") == "test")
+    return L.evaluate_baseline(model, test, NAMES, spec, "test")["summary"]
+
+
+@query("e16_run_baselines")
+def e16(spark, sf_dir):
+    names = ["logistic-regression", "random-forest"]
+    results = L.run_baselines(dataset(spark, sf_dir), NAMES, names, overrides=LIGHT)
+    parts = [e["summary"] for fitted in results.values() for e in fitted.evaluations.values()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+@query("e17_save_and_e18_load_model")
+def e17(spark, sf_dir):
+    rows = dataset(spark, sf_dir)
+    train = rows.where(F.col("split_final") == "train")
+    folder = scratch_path(spark, "models")
+    model, _ = L.fit_baseline(L.BASELINES["random-forest"], train, 5, **LIGHT["random-forest"])
+    L.save_model(model, folder, "a", "random-forest")
+    again = L.load_model(folder, "a", "random-forest", 5)
+    first = L.predict(model, rows, keep=["beat_id"]).select("beat_id", "prediction")
+    second = L.predict(again, rows, keep=["beat_id"]).select(
+        "beat_id", F.col("prediction").alias("reloaded")
+    )
+    return first.join(second, "beat_id").where("prediction = reloaded")
+
+
+@query("e19_results_table")
+def e19(spark, sf_dir):
+    names = ["logistic-regression", "linear-svc"]
+    results = L.run_baselines(dataset(spark, sf_dir), NAMES, names, splits=["test"], overrides=LIGHT)
+    return L.results_table(results).drop("fit_seconds")
+
+
+def _importances(spark, sf_dir, top):
+    train = dataset(spark, sf_dir).where(F.col("split_final") == "train")
+    model, _ = L.fit_baseline(L.BASELINES["random-forest"], train, 5, **LIGHT["random-forest"])
+    names = P.assembled_feature_names(spec=SPEC)
+    return L.feature_importances(train, model, names, top)
+
+
+@query("e20_feature_importances")
+def e20(spark, sf_dir):
+    return _importances(spark, sf_dir, 20)
+
+
+@query("e22_importance_groups")
+def e22(spark, sf_dir):
+    return L.importance_groups(_importances(spark, sf_dir, None), MODEL_FEATURE_COLUMNS)
+
+
+# --- transfer arms ----------------------------------------------------------
+
+ARM_OPTIONS = {"hidden": 8, "max_iter": 8}
+
+
+def arm_inputs(spark, sf_dir):
+    """Source network of collection ``a``; balanced training and test rows of ``b``."""
+    signals = stored(spark, sf_dir)
+    parts = {}
+    for source in ("a", "b"):
+        rows, _ = P.build_dataset(
+            signals, source, True, destination=scratch_path(spark, "model"), spec=SPEC
+        )
+        parts[source] = rows.select("beat_id", "split_final", "label", "features")
+    source_train = parts["a"].where(F.col("split_final") == "train")
+    network = R.fit_source(
+        R.balanced_train(source_train), N_INPUTS, len(NAMES), **ARM_OPTIONS
+    )
+    train = parts["b"].where(F.col("split_final") == "train")
+    test = parts["b"].where(F.col("split_final") == "test")
+    return network, train, test
+
+
+@query("g01_predict")
+def g01(spark, sf_dir):
+    network, _, test = arm_inputs(spark, sf_dir)
+    scored = L.predict(network, test, keep=["beat_id"])
+    total = F.aggregate("probability", F.lit(0.0), lambda acc, x: acc + x)
+    return scored.select("beat_id", "label", "prediction", F.round(total, 6).alias("total"))
+
+
+@query("g02_build_arm")
+def g02(spark, sf_dir):
+    network, train, test = arm_inputs(spark, sf_dir)
+    model = R.build_arm("frozen", N_INPUTS, len(NAMES), network, **ARM_OPTIONS).fit(train)
+    return model.transform(test).select("beat_id", F.size(vector_to_array("hidden")).alias("units"))
+
+
+@query("g03_run_arm")
+def g03(spark, sf_dir):
+    network, train, test = arm_inputs(spark, sf_dir)
+    balanced = R.balanced_train(train)
+    folder = scratch_path(spark, "arms")
+    result = R.run_arm(
+        "finetune", balanced, test, NAMES, N_INPUTS, network, save_to=folder, **ARM_OPTIONS
+    )
+    return result.summary.drop("seconds")
+
+
+@query("g04_run_all_arms")
+def g04(spark, sf_dir):
+    network, train, test = arm_inputs(spark, sf_dir)
+    results = R.run_all_arms(
+        R.balanced_train(train), test, NAMES, N_INPUTS, network, **ARM_OPTIONS
+    )
+    out = None
+    for result in results.values():
+        out = result.summary if out is None else out.unionByName(result.summary)
+    return out.drop("seconds")
+
+
+@query("g05_arms_table")
+def g05(spark, sf_dir):
+    network, train, test = arm_inputs(spark, sf_dir)
+    results = R.run_all_arms(
+        R.balanced_train(train), test, NAMES, N_INPUTS, network, ("scratch", "frozen"), **ARM_OPTIONS
+    )
+    return R.arms_table(results).drop("seconds")
+
+
+@query("g07_learning_curve")
+def g07(spark, sf_dir):
+    network, train, test = arm_inputs(spark, sf_dir)
+    curve = R.learning_curve(
+        train, test, NAMES, N_INPUTS, network, (0.25, 1.0), ("scratch", "finetune"), **ARM_OPTIONS
+    )
+    return curve.drop("seconds")
+
+
+@query("g09_repeat_arms")
+def g09(spark, sf_dir):
+    network, train, test = arm_inputs(spark, sf_dir)
+    runs = R.repeat_arms(
+        R.balanced_train(train), test, NAMES, N_INPUTS, network, (42, 7), ("scratch", "frozen"), **ARM_OPTIONS
+    )
+    return runs.drop("seconds")
