@@ -240,16 +240,6 @@ def summary_metrics(
 # --- ranking metrics --------------------------------------------------------
 
 
-def _score_steps(
-    scores: DataFrame, by: list[str], rows_per_bucket: int
-) -> DataFrame:
-    """Distinct scores with positives and negatives at and below each of them."""
-    steps = scores.groupBy(*by, "score").agg(
-        F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
-    )
-    return running_totals(steps, by, "score", ["pos", "neg"], rows_per_bucket)
-
-
 def _curve_sums(scores: DataFrame, by: list[str], rows_per_bucket: int) -> DataFrame:
     """ROC AUC and average precision per group of (score, positive) rows.
 
@@ -257,23 +247,20 @@ def _curve_sums(scores: DataFrame, by: list[str], rows_per_bucket: int) -> DataF
     scores counting one half. Average precision sums, from the highest score
     down, the recall gained at a score times the precision reached there.
     """
-    steps = _score_steps(scores, by, rows_per_bucket)
+    distinct = scores.groupBy(*by, "score").agg(
+        F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
+    )
+    steps = running_totals(distinct, by, "score", ["pos", "neg"], rows_per_bucket)
     pos, neg = F.col("pos"), F.col("neg")
-    totals = steps.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    if by:
-        steps = attach(steps, totals, by)
-        grouped = steps.groupBy(*by)
-    else:
-        row = totals.first()
-        steps = steps.withColumns({"P": F.lit(row["P"]), "N": F.lit(row["N"])})
-        grouped = steps.groupBy()
-    tp = F.col("P") - F.col("pos_below")
-    fp = F.col("N") - F.col("neg_below")
-    P = F.nullif(F.col("P"), F.lit(0)).cast("double")
-    N = F.nullif(F.col("N"), F.lit(0)).cast("double")
-    right_pairs = (pos / P) * ((F.col("neg_below") + neg / 2.0) / N)
-    gained = (pos / P) * (tp / F.nullif(tp + fp, F.lit(0)))
-    return grouped.agg(F.sum(right_pairs).alias("roc_auc"), F.sum(gained).alias("pr_auc"))
+    all_pos = F.nullif(F.col("pos_total"), F.lit(0)).cast("double")
+    all_neg = F.nullif(F.col("neg_total"), F.lit(0)).cast("double")
+    tp = F.col("pos_total") - F.col("pos_below")
+    fp = F.col("neg_total") - F.col("neg_below")
+    right_pairs = (pos / all_pos) * ((F.col("neg_below") + neg / 2.0) / all_neg)
+    gained = (pos / all_pos) * (tp / F.nullif(tp + fp, F.lit(0)))
+    return steps.groupBy(*by).agg(
+        F.sum(right_pairs).alias("roc_auc"), F.sum(gained).alias("pr_auc")
+    )
 
 
 def binary_curves(
@@ -301,9 +288,14 @@ def one_vs_rest_auc(
     NULL when any class is missing from the truth.
     """
     by = list(by)
-    scores = predictions.select(
-        *by, "label", F.posexplode("probability").alias("code", "score")
-    ).select(*by, "code", "score", (F.col("label") == F.col("code")).alias("positive"))
+    # Exploding an expression, not the column: for a column the optimizer adds a
+    # size filter, moves it below the model and has it predict twice.
+    per_code = F.transform(
+        "probability", lambda p, i: F.struct(i.alias("code"), p.alias("score"))
+    )
+    scores = predictions.select(*by, "label", F.inline(per_code)).select(
+        *by, "code", "score", (F.col("label") == F.col("code")).alias("positive")
+    )
     per_class = _curve_sums(scores, [*by, "code"], rows_per_bucket)
     defined = F.count("roc_auc") == n_classes
     return per_class.groupBy(*by).agg(F.when(defined, F.avg("roc_auc")).alias("roc_auc_ovr_macro"))

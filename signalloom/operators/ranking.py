@@ -114,7 +114,9 @@ def running_totals(
     sums: Sequence[str],
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """For each (group, value) row add ``<sum>_below``: the total over smaller values.
+    """For each (group, value) row add two columns per sum.
+
+    ``<sum>_below`` is the total over smaller values, ``<sum>_total`` that of the group.
 
     ``df`` holds one row per (group, value), so ties and hot values were already
     collapsed by a partial aggregate. When the largest group is too long for one
@@ -123,40 +125,41 @@ def running_totals(
     The quantiles only balance the ranges, the result is exact either way.
     """
     groups, sums = list(groups), list(sums)
-    base = materialise(df, "distinct-values")
-    sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")) if groups else base.agg(
-        F.count(F.lit(1)).alias("n")
+    base = materialise(df, "distinct-values").withColumn("__g", F.lit(1))
+    by = [*groups, "__g"]
+    sizes, _ = small_table(
+        base.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("__rows"), *[F.sum(s).alias(f"{s}_total") for s in sums]
+        )
     )
-    longest = sizes.agg(F.max("n")).first()[0] or 0
+    base = attach(base, sizes.drop("__rows"), by)
+    longest = sizes.agg(F.max("__rows")).first()[0] or 0
     n_ranges = math.ceil(longest / rows_per_bucket)
     if n_ranges <= 1:
-        return _running(base, groups, value, sums)
+        return _running(base, by, value, sums).drop("__g")
 
     n_ranges = min(n_ranges, 1024)
     steps = [i / n_ranges for i in range(1, n_ranges)]
-    limits = base.groupBy(*groups).agg(
+    limits = base.groupBy(*by).agg(
         F.percentile_approx(value, steps, 10 * n_ranges).alias("__limits")
     )
-    limits, _ = small_table(limits.withColumn("__g", F.lit(1)))
-    ranged = attach(base.withColumn("__g", F.lit(1)), limits, [*groups, "__g"]).drop("__g")
-    ranged = ranged.withColumn(
-        "__range", F.size(F.filter("__limits", lambda b: b < F.col(value)))
-    ).drop("__limits")
-
-    totals = ranged.groupBy(*groups, "__range").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
-    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(
+    position = F.size(F.filter("__limits", lambda b: b < F.col(value)))
+    ranged = attach(base, limits, by).withColumn("__range", position).drop("__limits")
+
+    totals = ranged.groupBy(*by, "__range").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = totals.select(
-        *groups,
+        *by,
         "__range",
         *[F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__{s}") for s in sums],
     )
-    local = _running(ranged, [*groups, "__range"], value, sums)
-    shifted = attach(local, offsets, [*groups, "__range"])
+    local = _running(ranged, [*by, "__range"], value, sums)
+    shifted = attach(local, offsets, [*by, "__range"])
     for s in sums:
         shifted = shifted.withColumn(f"{s}_below", F.col(f"{s}_below") + F.col(f"__{s}"))
-    return shifted.drop("__range", *[f"__{s}" for s in sums])
+    return shifted.drop("__g", "__range", *[f"__{s}" for s in sums])
 
 
 def _running(df: DataFrame, groups: list[str], value: str, sums: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +46,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A table from values in the program, as a local relation of known size."""
+    return spark.createDataFrame(pa.table(columns), schema)
+
+
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Check that ``df`` is small and, if so, turn it into a local relation.
 
-    At most ``max_rows + 1`` rows reach the driver. When the table fits, Catalyst
-    knows its exact size and later plans do not recompute it; when it does not,
-    ``df`` comes back unchanged and the caller joins it by shuffle.
+    At most ``max_rows + 1`` rows reach the driver, as one Arrow table. When the
+    table fits, Catalyst knows its exact size and later plans do not recompute it;
+    when it does not, ``df`` comes back unchanged and the caller joins by shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True
 

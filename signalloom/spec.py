@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalloom.runtime import literal_table
+
 
 @dataclass(frozen=True)
 class Collection:
@@ -127,8 +129,10 @@ def label_dimension(spark: SparkSession, spec: SignalSpec = HEARTBEAT) -> DataFr
         for source, coll in spec.collections.items()
         for order, (code, name) in enumerate(coll.labels.items())
     ]
+    columns = ["source", "label", "label_name", "description", "label_order"]
     schema = "source string, label int, label_name string, description string, label_order int"
-    return spark.createDataFrame(rows, schema)
+    values = dict(zip(columns, map(list, zip(*rows)))) if rows else {c: [] for c in columns}
+    return literal_table(spark, values, schema)
 
 
 def describe_labels(df: DataFrame, spec: SignalSpec = HEARTBEAT) -> DataFrame:
