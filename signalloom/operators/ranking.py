@@ -25,10 +25,7 @@ ROWS_PER_BUCKET = 2_000_000
 
 def _order_key(seed: int, keys: Sequence[str]) -> Column:
     """Hash first, key second: rows can share a hash but not a key."""
-    return F.struct(
-        hash_order(seed, *keys).alias("h"),
-        *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)],
-    )
+    return F.array(hash_order(seed, *keys), *[F.col(k).cast("string") for k in keys])
 
 
 def take_in_hash_order(
@@ -56,7 +53,7 @@ def take_in_hash_order(
     """
     groups, keys = list(groups), list(keys)
     narrow = df.select(*groups, _order_key(seed, keys).alias("__key"))
-    narrow = narrow.withColumn("__bucket", F.substring("__key.h", 1, digits))
+    narrow = narrow.withColumn("__bucket", F.substring(F.get("__key", F.lit(0)), 1, digits))
 
     per_group = Window.partitionBy(*groups)
     histogram = (
