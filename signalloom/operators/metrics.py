@@ -285,7 +285,7 @@ def one_vs_rest_auc(
 ) -> DataFrame:
     """``roc_auc_ovr_macro``: mean over classes of one-against-the-rest ROC AUC.
 
-    NULL when any class is missing from the truth.
+    NULL when any class is missing from the truth, or has no probability.
     """
     by = list(by)
     # Exploding an expression, not the column: for a column the optimizer adds a
@@ -297,7 +297,7 @@ def one_vs_rest_auc(
         *by, "code", "score", (F.col("label") == F.col("code")).alias("positive")
     )
     per_class = _curve_sums(scores, [*by, "code"], rows_per_bucket)
-    defined = F.count("roc_auc") == n_classes
+    defined = (F.count("roc_auc") == n_classes) & (F.count(F.lit(1)) == n_classes)
     return per_class.groupBy(*by).agg(F.when(defined, F.avg("roc_auc")).alias("roc_auc_ovr_macro"))
 
 
