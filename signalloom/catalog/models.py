@@ -136,7 +136,26 @@ def e06(spark, sf_dir):
     return model.transform(signals).select("beat_id", F.size(vector_to_array("features")).alias("width"))
 
 
-@query("e07_build_dataset")
+_READY = f"""{EVENT_FEATS},
+ours AS (SELECT beat_id, split, label, label_name FROM feats WHERE source = 'a'),
+ordered AS (SELECT *, percent_rank() OVER (PARTITION BY label ORDER BY md5('42:' || beat_id), beat_id) AS p
+  FROM ours WHERE split = 'train'),
+placed AS (
+  SELECT beat_id, label, label_name, CASE WHEN p < CAST(0.85 AS DOUBLE) THEN 'train' ELSE 'val' END AS split_final FROM ordered
+  UNION ALL SELECT beat_id, label, label_name, split FROM ours WHERE split <> 'train'),
+counted AS (SELECT label, count(*) AS n FROM placed WHERE split_final = 'train' GROUP BY label),
+weights AS (SELECT label, {r('CAST((SELECT sum(n) FROM counted) AS DOUBLE) / ((SELECT count(*) FROM counted) * n)')} AS class_weight
+  FROM counted),
+ready AS (SELECT p.*, w.class_weight FROM placed p LEFT JOIN weights w ON p.label = w.label
+  WHERE beat_id IN (SELECT beat_id FROM feats WHERE amp_min IS NOT NULL AND mean_abs_diff IS NOT NULL))"""
+
+
+@query(
+    "e07_build_dataset",
+    f"""WITH {_READY}
+SELECT split_final, label, label_name, {big('count(*)')} AS n, max(class_weight) AS class_weight
+FROM ready GROUP BY split_final, label, label_name""",
+)
 def e07(spark, sf_dir):
     rows = dataset(spark, sf_dir)
     return rows.groupBy("split_final", "label", "label_name").agg(
@@ -144,11 +163,12 @@ def e07(spark, sf_dir):
     )
 
 
-@query("a17_load_dataset")
+@query("a17_load_dataset", f"WITH {_READY} SELECT beat_id, split_final, label, class_weight FROM ready")
 def a17(spark, sf_dir):
     path = scratch_path(spark, "model")
     P.build_dataset(stored(spark, sf_dir), "a", True, destination=path, spec=SPEC)
-    return P.load_dataset(spark, path).select("beat_id", "split_final", "label", "class_weight")
+    rows = P.load_dataset(spark, path).select("beat_id", "split_final", "label", "class_weight")
+    return rows.withColumn("class_weight", r6("class_weight"))
 
 
 @query("e08_load_stages")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from signalloom.functions.ordering import hash_order
 from signalloom.operators.ranking import ROWS_PER_BUCKET, running_totals
-from signalloom.runtime import attach, small_table
+from signalloom.runtime import attach, materialise, small_table
 
 PRIMARY_METRIC = "macro_f1"
 
@@ -313,10 +313,13 @@ def evaluate(
 ) -> dict[str, DataFrame]:
     """Summary, per-class report and confusion (counts and row shares) of one model.
 
-    Predictions are read once for the confusion counts, which every table then
-    shares, and once more for the ranking metrics when there are probabilities.
+    Every table shares one set of confusion counts. Ranking metrics need a second
+    look at the predictions, so these are stored first and the model runs once.
     """
     k = len(label_names)
+    if "probability" in predictions.columns:
+        narrow = predictions.select("label", "prediction", "probability")
+        predictions = materialise(narrow, "predictions")
     confusion, _ = small_table(confusion_counts(predictions, label_names), k * k)
     summary = summary_metrics(confusion, decimals=decimals)
     if "probability" in predictions.columns:
