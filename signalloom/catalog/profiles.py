@@ -192,24 +192,24 @@ def c05_across(spark, sf_dir):
     return P.duplicate_report(rows, by=[], fingerprint_col="h")
 
 
-def _padding_sql(feats: str, n: int) -> str:
+def _padding_sql(feats: str, n: int, hz: str) -> str:
     return f"""WITH {feats},
 last AS (SELECT f.*, l.x AS tail FROM feats f
   LEFT JOIN long l ON f.beat_id = l.beat_id AND l.slot = f.signal_length - 1)
 SELECT source, label_name, {big('count(*)')} AS n_beats, min(signal_length) AS min_length,
        quantile_disc(signal_length, 0.5) AS median_length, max(signal_length) AS max_length,
-       {r('avg(signal_length)', 1)} AS mean_length, {r('avg(duration_s)', 4)} AS mean_duration_s,
+       {r('avg(signal_length)', 1)} AS mean_length, {r(f'avg(signal_length) / {hz}', 4)} AS mean_duration_s,
        {share(f'sum(CASE WHEN signal_length = {n} THEN 1 ELSE 0 END)', 'count(*)', 2)} AS pct_unpadded,
        {share('sum(CASE WHEN tail < 0.01 THEN 1 ELSE 0 END)', 'count(*)', 2)} AS pct_ambiguous_tail
 FROM last GROUP BY source, label_name"""
 
 
-@query("c06_padding_report", _padding_sql(EVENT_FEATS, 31))
+@query("c06_padding_report", _padding_sql(EVENT_FEATS, 31, EVENT_HZ))
 def c06(spark, sf_dir):
     return P.padding_report(beats(spark, sf_dir), spec=SPEC)
 
 
-@query("c06_padding_report_of_lines", _padding_sql(LINE_FEATS, 84))
+@query("c06_padding_report_of_lines", _padding_sql(LINE_FEATS, 84, 'CAST(12 AS DOUBLE)'))
 def c06_lines(spark, sf_dir):
     return P.padding_report(lines(spark, sf_dir), spec=LINE_SPEC)
 
@@ -368,7 +368,7 @@ def c13(spark, sf_dir):
     "c14_collection_comparison",
     f"""WITH {EVENT_FEATS}
 SELECT source, {big('count(*)')} AS n_beats, {big('count(DISTINCT label)')} AS n_classes,
-       {r('avg(signal_length)', 1)} AS mean_length, {r('avg(duration_s)', 3)} AS mean_duration_s,
+       {r('avg(signal_length)', 1)} AS mean_length, {r(f'avg(signal_length) / {EVENT_HZ}', 3)} AS mean_duration_s,
        {r('avg(amp_mean)', 4)} AS mean_amplitude, {r('avg(mean_abs_diff)', 5)} AS mean_abs_diff
 FROM feats GROUP BY source""",
 )
