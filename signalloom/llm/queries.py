@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, packing, repeats, simhash, tokenfile
+from signalloom.llm import bpe, packing, repeats, sharding, simhash, tokenfile
 from signalloom.llm.tokenizing import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.written_and_read(documents(spark, folder), default_tokenizer())
+
+
+@query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards_of(documents(spark, folder), 16)
