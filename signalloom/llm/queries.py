@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, packing, repeats, sharding, simhash, tokenfile
+from signalloom.llm import bpe, packing, repeats, rules, sharding, simhash, tokenfile
 from signalloom.llm.tokenizing import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,12 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards_of(documents(spark, folder), 16)
+
+
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+@query
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(documents(spark, folder), labels(spark, folder))[0]
