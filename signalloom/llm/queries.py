@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, imatch, packing, repeats, rules, sharding, simhash, tokenfile
+from signalloom.llm import bpe, imatch, packing, repeats, rules, sharding, simhash, tokenfile, toxicity
 from signalloom.llm.tokenizing import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints_with_edits(documents(spark, folder))
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(documents(spark, folder), labels(spark, folder))
