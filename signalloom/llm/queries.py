@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, imatch, packing, repeats, rules, sharding, simhash, tokenfile, toxicity
+from signalloom.llm import bpe, editing, imatch, packing, repeats, rules, sharding, simhash, tokenfile, toxicity
 from signalloom.llm.tokenizing import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(documents(spark, folder), labels(spark, folder))
+
+
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every text before and after three edits of it."""
+    docs = documents(spark, folder).withColumn("edits", editing.sample_edits())
+    return editing.edited_counts(docs, default_tokenizer())
