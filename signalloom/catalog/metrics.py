@@ -70,6 +70,52 @@ def f02_wide(spark, sf_dir):
     return M.wide_confusion(confusion(spark, sf_dir), NAMES)
 
 
+FEWER = NAMES[:-1]
+_CODES = range(len(FEWER))
+# The last class is not in the list: rows with its label or its prediction are outside.
+_FEW = f"""{PRED},
+coded AS (SELECT CASE WHEN label < {len(FEWER)} THEN label END AS label,
+                 CASE WHEN prediction < {len(FEWER)} THEN prediction END AS prediction FROM pred),
+per_code AS (SELECT c AS code,
+    count(*) FILTER (label = c AND prediction = c) AS tp,
+    count(*) FILTER (label = c) AS support, count(*) FILTER (prediction = c) AS predicted_n
+  FROM coded, (VALUES {", ".join(f"({c})" for c in _CODES)}) codes(c) GROUP BY c),
+f AS (SELECT *, CAST(tp AS DOUBLE) / nullif(support, 0) AS recall,
+    CAST(2 * tp AS DOUBLE) / nullif(support + predicted_n, 0) AS f1 FROM per_code),
+rest AS (SELECT count(*) AS n, count(*) FILTER (label IS NULL) AS t, count(*) FILTER (prediction IS NULL) AS p FROM coded),
+shares AS (SELECT n, (SELECT sum(tp) FROM f) / CAST(n AS DOUBLE) AS accuracy,
+    ((SELECT sum(support * predicted_n) FROM f) + t * p) / (CAST(n AS DOUBLE) * n) AS chance,
+    ((SELECT sum(support * support) FROM f) + t * t) / (CAST(n AS DOUBLE) * n) AS tt,
+    ((SELECT sum(predicted_n * predicted_n) FROM f) + p * p) / (CAST(n AS DOUBLE) * n) AS pp FROM rest)"""
+_FEW_SUMMARY = f"""SELECT {big('n')} AS n, {r('(SELECT avg(f1) FROM f)', 4)} AS macro_f1,
+  {r('(SELECT sum(f1 * support) FROM f) / n', 4)} AS weighted_f1,
+  {r('(SELECT avg(recall) FROM f)', 4)} AS balanced_accuracy, {r('accuracy', 4)} AS accuracy,
+  {r('(accuracy - chance) / sqrt((1 - tt) * (1 - pp))', 4)} AS mcc, {r('(accuracy - chance) / (1 - chance)', 4)} AS cohen_kappa"""
+
+
+def _few_confusion(spark, sf_dir):
+    return M.confusion_counts(predictions(spark, sf_dir), FEWER)
+
+
+@query(
+    "f02_confusion_outside",
+    f"""WITH {_FEW},
+names(code, name) AS (VALUES {", ".join(f"({c}, '{n}')" for c, n in enumerate(FEWER))}, (NULL, '{M.OUTSIDE}')),
+cells AS (SELECT t.code AS label, t.name AS "true", p.code AS prediction, p.name AS predicted FROM names t, names p)
+SELECT CAST(c.label AS INTEGER) AS label, "true", CAST(c.prediction AS INTEGER) AS prediction, predicted, {big('count(x.one)')} AS n
+FROM cells c LEFT JOIN (SELECT *, 1 AS one FROM coded) x
+  ON x.label IS NOT DISTINCT FROM c.label AND x.prediction IS NOT DISTINCT FROM c.prediction
+GROUP BY ALL HAVING count(x.one) > 0 OR (c.label IS NOT NULL AND c.prediction IS NOT NULL)""",
+)
+def f02_outside(spark, sf_dir):
+    return _few_confusion(spark, sf_dir)
+
+
+@query("f05_summary_outside", f"WITH {_FEW} {_FEW_SUMMARY} FROM shares")
+def f05_outside(spark, sf_dir):
+    return M.summary_metrics(_few_confusion(spark, sf_dir))
+
+
 def _normalised(axis: str) -> str:
     total = f"sum(n) OVER (PARTITION BY {axis})"
     share = f"CASE WHEN {total} > 0 THEN CAST(n AS DOUBLE) / {total} ELSE 0 END"
@@ -180,6 +226,25 @@ def f10(spark, sf_dir):
     return M.evaluate(narrow, NAMES, "hash", "test")["summary"]
 
 
+_FEW_VS_REST = " UNION ALL ".join(
+    f"SELECT {c} AS code, label = {c} AS pos, {_TIED_RANKS.format(s=f'p{c}')} AS rk FROM pred" for c in _CODES
+)
+
+
+@query(
+    "f10_evaluate_outside",
+    f"""WITH {_FEW},
+ranked AS ({_FEW_VS_REST}),
+auc AS (SELECT code, {_AUC} AS a FROM ranked GROUP BY code)
+{_FEW_SUMMARY}, 'hash' AS model, 'test' AS split,
+       (SELECT {r('avg(a)', 4)} FROM auc) AS roc_auc_ovr_macro FROM shares""",
+)
+def f10_outside(spark, sf_dir):
+    narrow = M.narrow_predictions(predictions(spark, sf_dir))
+    listed = narrow.withColumn("probability", F.slice("probability", 1, len(FEWER)))
+    return M.evaluate(listed, FEWER, "hash", "test")["summary"]
+
+
 def _variants(spark, sf_dir, names_and_pulls, keep=()):
     """The same events predicted by several pseudo models, told apart by ``model``."""
     pairs = F.array(

@@ -22,6 +22,9 @@ from signalloom.runtime import attach, materialise, small_table
 
 PRIMARY_METRIC = "macro_f1"
 
+#: Class of labels and predictions that are NULL or not in the class list.
+OUTSIDE = "outside"
+
 # Metric names in report order.
 SUMMARY_METRICS = [
     "macro_f1",
@@ -59,28 +62,40 @@ def narrow_predictions(
 def confusion_counts(
     predictions: DataFrame, label_names: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Dense confusion counts: one line per true and predicted class, zeros included."""
+    """Dense confusion counts: one line per true and predicted class, zeros included.
+
+    A label or prediction that is NULL or not in the class list is ``OUTSIDE``: its rows
+    get lines of their own, with a NULL code, where there are any. So the counts always
+    add up to all rows.
+    """
     by, k = list(by), len(label_names)
-    known = F.col("label").between(0, k - 1) & F.col("prediction").between(0, k - 1)
-    # Rows outside the class list share the NULL cell. A filter on the prediction
-    # would be moved below the model and have it predict twice.
-    cell = F.when(known, F.col("label").cast("int") * k + F.col("prediction").cast("int"))
+
+    def code(name: str) -> Column:
+        # The rest shares code k. A filter on the prediction would be moved below the
+        # model and have it predict twice.
+        return F.when(F.col(name).between(0, k - 1), F.col(name).cast("int")).otherwise(F.lit(k))
+
+    cell = code("label") * (k + 1) + code("prediction")
     counts = predictions.groupBy(*by, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    # The collected map has at most k * k entries.
-    entry = F.when(F.col("cell").isNotNull(), F.struct("cell", "n"))
-    found = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("__n"))
+    # The collected map has at most (k + 1) * (k + 1) entries.
+    found = counts.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("__n")
+    )
     names = F.array(*[F.lit(name) for name in label_names])
-    true, pred = F.floor(F.col("cell") / k).cast("int"), F.pmod("cell", F.lit(k))
-    return found.select(
-        *by, "__n", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("cell")
-    ).select(
+    true, pred = F.floor(F.col("cell") / (k + 1)).cast("int"), F.pmod("cell", F.lit(k + 1))
+    cells = found.select(
+        *by, "__n", F.explode(F.sequence(F.lit(0), F.lit((k + 1) * (k + 1) - 1))).alias("cell")
+    )
+    lines = cells.select(
         *by,
-        true.alias("label"),
-        F.get(names, true).alias("true"),
-        pred.alias("prediction"),
-        F.get(names, pred).alias("predicted"),
+        F.when(true < k, true).alias("label"),
+        F.coalesce(F.get(names, true), F.lit(OUTSIDE)).alias("true"),
+        F.when(pred < k, pred).alias("prediction"),
+        F.coalesce(F.get(names, pred), F.lit(OUTSIDE)).alias("predicted"),
         F.coalesce(F.try_element_at("__n", F.col("cell")), F.lit(0)).alias("n"),
     )
+    inside = F.col("label").isNotNull() & F.col("prediction").isNotNull()
+    return lines.where(inside | (F.col("n") > 0))
 
 
 def confusion_matrix(
@@ -153,11 +168,13 @@ def per_class_report(
 ) -> DataFrame:
     """Precision, recall, F1 and support per class, then the macro and weighted averages.
 
-    The averages run over every class of the list, seen or not.
+    The averages run over every class of the list, seen or not. Rows outside the list count
+    against the recall of their class, or the precision of the one predicted; they have no
+    line of their own.
     """
     by = list(by)
     scores = ["precision", "recall", "f1"]
-    lines = _class_lines(confusion, by)
+    lines = _class_lines(confusion, by).where(F.col("code").isNotNull())
     total = F.sum("support")
 
     def average(name: str, order: int, fn) -> Column:
@@ -190,16 +207,22 @@ def summary_metrics(
     """Headline metrics from confusion counts, one line per ``by`` group.
 
     ``macro_f1`` averages classes seen in truth or prediction, ``balanced_accuracy``
-    those seen in truth. Kappa is NULL when chance agreement is already perfect.
+    those seen in truth. Kappa is NULL when chance agreement is already perfect. Rows
+    outside the class list count in ``n`` and are never right; for kappa and ``mcc`` they
+    are one more class.
     """
     by = list(by)
     lines = _class_lines(confusion, by)
     all_rows = F.sum("support")
+    listed = F.col("code").isNotNull()
+    seen = listed & (F.col("support") + F.col("predicted_n") > 0)
     sums = lines.groupBy(*by).agg(
         all_rows.alias("n"),
-        F.avg(F.when(F.col("support") + F.col("predicted_n") > 0, F.col("f1"))).alias("macro_f1"),
-        (F.sum(F.col("f1") * F.col("support")) / F.nullif(all_rows, F.lit(0))).alias("weighted_f1"),
-        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
+        F.avg(F.when(seen, F.col("f1"))).alias("macro_f1"),
+        (
+            F.sum(F.when(listed, F.col("f1") * F.col("support"))) / F.nullif(all_rows, F.lit(0))
+        ).alias("weighted_f1"),
+        F.avg(F.when(listed & (F.col("support") > 0), F.col("recall"))).alias("balanced_accuracy"),
         F.sum("tp").alias("__hits"),
         F.collect_list(F.struct("support", "predicted_n")).alias("__classes"),  # one per class
     )
@@ -268,11 +291,14 @@ def binary_curves(
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """``roc_auc`` and ``pr_auc`` (average precision) of class 1; NULL if a class is missing."""
+    """``roc_auc`` and ``pr_auc`` (average precision) of class 1; NULL if a class is missing.
+
+    Any label but 1, NULL included, is a negative row.
+    """
     scores = predictions.select(
         *by,
         F.get("probability", F.lit(1)).alias("score"),
-        (F.col("label") == 1).alias("positive"),
+        F.coalesce(F.col("label") == 1, F.lit(False)).alias("positive"),
     )
     return _curve_sums(scores, list(by), rows_per_bucket)
 
@@ -294,7 +320,10 @@ def one_vs_rest_auc(
         "probability", lambda p, i: F.struct(i.alias("code"), p.alias("score"))
     )
     scores = predictions.select(*by, "label", F.inline(per_code)).select(
-        *by, "code", "score", (F.col("label") == F.col("code")).alias("positive")
+        *by,
+        "code",
+        "score",
+        F.coalesce(F.col("label") == F.col("code"), F.lit(False)).alias("positive"),
     )
     per_class = _curve_sums(scores, [*by, "code"], rows_per_bucket)
     defined = (F.count("roc_auc") == n_classes) & (F.count(F.lit(1)) == n_classes)
@@ -320,7 +349,7 @@ def evaluate(
     if "probability" in predictions.columns:
         narrow = predictions.select("label", "prediction", "probability")
         predictions = materialise(narrow, "predictions")
-    confusion, _ = small_table(confusion_counts(predictions, label_names), k * k)
+    confusion, _ = small_table(confusion_counts(predictions, label_names), (k + 1) ** 2)
     summary = summary_metrics(confusion, decimals=decimals)
     if "probability" in predictions.columns:
         curves = (
@@ -343,8 +372,11 @@ def evaluate(
 
 
 def majority_predictions(truth: DataFrame) -> DataFrame:
-    """Predict the most frequent label for every row; the smallest label on a tie."""
-    counts = truth.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """Predict the most frequent label for every row; the smallest label on a tie.
+
+    Rows without a label have no vote, but get the prediction too.
+    """
+    counts = truth.where(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.col("n").desc(), "label").first()
     code = None if top is None else top["label"]
     return truth.withColumn("prediction", F.lit(code).cast("int"))

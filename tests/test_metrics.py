@@ -163,3 +163,22 @@ def test_error_examples_and_recall_delta(spark):
     report = M.per_class_report(M.confusion_counts(tagged, ["a", "b"], ["loss"]), ["loss"])
     deltas = as_dicts(M.recall_delta(report, "loss", "w", "u"))
     assert [d["delta"] for d in deltas] == [-0.5, -0.5]
+
+
+def test_rows_outside_the_class_list_count(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 1.0), (1, 2.0), (None, 0.0)], "label int, prediction double")
+    df = df.withColumn("probability", F.array(F.lit(0.4), F.col("prediction") * 0.1 + 0.2))
+    out = M.evaluate(df, ["a", "b"])
+    (row,) = as_dicts(out["summary"])
+    assert row["n"] == 4 and row["accuracy"] == 0.5
+    # Two positives against a labelled and an unlabelled negative.
+    assert row["roc_auc"] == 1.0
+    cells = {(r["true"], r["predicted"]): r["n"] for r in out["confusion"].collect()}
+    assert cells["b", "outside"] == 1 and cells["outside", "a"] == 1 and sum(cells.values()) == 4
+    lines = by_key(out["per_class"], "class")
+    assert lines["b"]["recall"] == 0.5 and lines["a"]["precision"] == 0.5 and "outside" not in lines
+
+
+def test_majority_ignores_missing_labels(spark):
+    df = spark.createDataFrame([(None,), (None,), (1,)], "label int")
+    assert {r["prediction"] for r in M.majority_predictions(df).collect()} == {1}
