@@ -8,8 +8,9 @@ digit, and a suffix leaves as soon as its group holds one document:
    suffixes are sorted by anchor instead of by first byte, which needs one entry for
    every ten or so bytes of text.
 2. The digit of all bytes of the run. Equal runs in a smaller document settle every
-   window of the run at once.
-3. Where runs of different bytes share an anchor, their single windows, to full depth.
+   window of the run at once. Runs of different bytes go on only if they agree beyond the
+   anchor: a window holds half of what it has besides the anchor on one side of it.
+3. The single windows of the runs that go on, to full depth.
 
 Groups that remain equal after the last digit are exactly the repeated windows. Digits
 are fingerprints of the bytes (96 bits to full depth). Text is read in slices of whole
@@ -39,7 +40,9 @@ SLICE_BYTES = 4 << 20
 BLOCK = 1 << 20
 #: Bytes of entries that meet in one task.
 BUCKET_BYTES = 8 << 20
-ENTRY = np.dtype([("digit", "<u4"), ("rest", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("run", "u1")])
+ENTRY = np.dtype(
+    [("digit", "<u4"), ("left", "<u2"), ("right", "<u2"), ("rest", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("run", "u1")]
+)
 SPAN = np.dtype([("at", "<u4"), ("run", "u1")])
 
 _RNG = np.random.default_rng(20240229)
@@ -102,7 +105,9 @@ def runs_of(raw: np.ndarray, starts: np.ndarray, docs: np.ndarray, window: int,
     for low in range(0, max(len(raw) - window + 1, 0), BLOCK):
         part = _LETTERS[raw[low : low + BLOCK + window - 1]]
         whole = grams(part, window)
+        half = (window - anchor + 1) // 2
         hashes = mixed(grams(part, anchor))
+        beyond = mixed(grams(part, anchor + half)) >> np.uint64(48)
         place = first_least(hashes, window - anchor + 1)[: len(whole)]
         at = np.arange(low, low + len(whole))
         doc = np.searchsorted(ends_at, at, side="right")
@@ -115,8 +120,11 @@ def runs_of(raw: np.ndarray, starts: np.ndarray, docs: np.ndarray, window: int,
         stop = np.minimum(np.append(begin[1:], len(whole)), ends_at[doc[begin]] - window + 1 - low)
         run = stop - begin
         out = np.empty(len(begin), ENTRY)
-        key = hashes[place[begin]]
+        key, spot = hashes[place[begin]], place[begin].astype(np.int64)
         out["digit"] = key >> np.uint64(32)
+        # Where the block has no room on a side, its windows reach farther on the other.
+        out["right"] = np.where(spot < len(beyond), beyond[np.minimum(spot, len(beyond) - 1)], 0)
+        out["left"] = np.where(spot >= half, beyond[np.clip(spot - half, 0, len(beyond) - 1)], 0)
         out["rest"] = mixed(whole[begin] * _MIX + (whole[stop - 1] ^ run.astype(np.uint64)))
         out["doc"], out["at"], out["run"] = docs[doc[begin]], begin + low, run
         yield out
@@ -136,7 +144,7 @@ def windows_of(raw: np.ndarray, spans: np.ndarray, starts: np.ndarray, docs: np.
             half = whole
             if k == window // 2:
                 first = mixed(half)
-        out = np.empty(len(at), ENTRY)
+        out = np.zeros(len(at), ENTRY)
         out["digit"], out["rest"] = first >> np.uint64(32), mixed(half)
         out["doc"] = docs[np.searchsorted(starts[1:], at, side="right")]
         out["at"], out["run"] = at, 1
@@ -162,7 +170,7 @@ def spans_of(entries: np.ndarray) -> np.ndarray:
 
 def sort_by_digits(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(repeated, open) masks: equal to an entry of a smaller document in both digits;
-    equal to another document in the first digit only."""
+    equal to other bytes in the first digit and beyond it on one side."""
     repeated, left = np.zeros(len(entries), bool), np.zeros(len(entries), bool)
     order = np.argsort(entries["digit"], kind="stable")
     digit, doc = entries["digit"][order], entries["doc"][order]
@@ -179,12 +187,79 @@ def sort_by_digits(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     group[1:] = digit[1:] != digit[:-1]
     same[1:] = group[1:] | (rest[1:] != rest[:-1])
     least = doc[same][np.cumsum(same) - 1]
-    kinds = np.bincount(np.cumsum(group) - 1, weights=same)[np.cumsum(group) - 1] if len(order) else least
     repeated[order] = doc > least
-    left[order] = (doc == least) & (kinds > 1)
+    firsts = order[doc == least]
+    left[firsts] = _differ_beside(entries[firsts], "right") | _differ_beside(entries[firsts], "left")
     return repeated, left
 
 
+def _differ_beside(entries: np.ndarray, side: str) -> np.ndarray:
+    """Which entries share their digit and what is beside it with an entry of other bytes."""
+    key = entries["digit"].astype(np.uint64) << np.uint64(16) | entries[side]
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    heads = np.flatnonzero(new)
+    out = np.zeros(len(order), bool)
+    if len(heads):
+        rest = entries["rest"][order]
+        out[order] = (np.minimum.reduceat(rest, heads) != np.maximum.reduceat(rest, heads))[np.cumsum(new) - 1]
+    return out
+
+
+# --- entries as bytes ---
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Counts in the fewest of 0, 1, 2, 4 or 8 bytes that hold them all, after their width."""
+    top = int(values.max()) if len(values) else 0
+    width = next(w for w in (0, 1, 2, 4, 8) if top < 1 << 8 * w)
+    if not width:
+        return b"\0"
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = raw[at]
+    if not width:
+        return np.zeros(n, np.uint64), at + 1
+    return np.frombuffer(raw, f"<u{width}", n, at + 1).astype(np.uint64), at + 1 + n * width
+
+
+def to_bytes(entries: np.ndarray) -> bytes:
+    """Entries column by column, by place: places and documents ascend, so their steps are small."""
+    entries = entries[np.argsort(entries["at"], kind="stable")]
+    new = np.append(True, entries["doc"][1:] != entries["doc"][:-1])
+    heads = np.flatnonzero(new)
+    docs = entries["doc"][heads].view(np.uint64) if len(heads) else np.zeros(0, np.uint64)
+    at = entries["at"].astype(np.uint64)
+    steps = lambda x: np.diff(x, prepend=x[:1])
+    return b"".join(
+        [
+            np.array([len(entries), len(heads)], "<u4").tobytes(), at[:1].tobytes(), docs[:1].tobytes(),
+            _narrow(steps(at)), _narrow(steps(docs)), _narrow(np.diff(np.append(heads, len(entries)))),
+            _narrow(entries["run"]), _narrow(entries["left"]), _narrow(entries["right"]),
+            entries["digit"].tobytes(), entries["rest"].tobytes(),
+        ]
+    )
+
+
+def from_bytes(raw: bytes) -> np.ndarray:
+    n, k = np.frombuffer(raw, "<u4", 2).tolist()
+    first_at, first_doc = np.frombuffer(raw, "<u8", 2, 8)
+    at, pos = _wide(raw, 24, n)
+    docs, pos = _wide(raw, pos, k)
+    counts, pos = _wide(raw, pos, k)
+    out = np.empty(n, ENTRY)
+    for name in ("run", "left", "right"):
+        out[name], pos = _wide(raw, pos, n)
+    out["at"] = np.cumsum(at) + first_at
+    out["doc"] = np.repeat((np.cumsum(docs) + first_doc).view(np.int64), counts.astype(np.int64))
+    out["digit"] = np.frombuffer(raw, "<u4", n, pos)
+    out["rest"] = np.frombuffer(raw, "<u8", n, pos + 4 * n)
+    return out
+
+
 # --- Spark ---
 
 
@@ -246,7 +321,7 @@ def _dealt(number: int, chunks: Iterator[np.ndarray], buckets: int) -> Iterator[
     order = np.argsort(bucket, kind="stable")
     send, bucket = send[order], bucket[order].astype(np.int64)
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else [], len(bucket)).astype(int)
-    rows = [(int(bucket[a]), send[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    rows = [(int(bucket[a]), to_bytes(send[a:b])) for a, b in zip(cuts, cuts[1:])]
     if len(spans):
         rows.append((-1 - number % buckets, spans.tobytes()))
     for low in range(0, len(rows), 256):
@@ -267,7 +342,7 @@ def _met(table: pa.Table) -> pa.Table:
     if bucket and bucket[0] < 0:
         out = [(n, "repeated", b) for n, b in zip(numbers, blobs)]
     elif bucket:
-        parts = [np.frombuffer(b, ENTRY) for b in blobs]
+        parts = [from_bytes(b) for b in blobs]
         entries = np.concatenate(parts)
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         for kind, mask in zip(("repeated", "open"), sort_by_digits(entries)):
@@ -314,13 +389,15 @@ def without_repeats(
     anchor: int = ANCHOR,
     slice_bytes: int = SLICE_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
+    decoded: bool = False,
 ) -> DataFrame:
     """Find every ``window``-byte string of a text that also starts in a document of smaller key.
 
     Adds to the rows: ``kept`` (binary, the bytes outside such strings) and ``spans``
     (array of start and length of the maximal removed runs, in bytes). Strings are judged
     on the input and never cross documents. A NULL text counts as empty; a NULL key comes
-    before all others. Rows that share a key are one another's equals: neither removes
+    before all others. ``decoded`` gives ``kept`` as a string, without the characters of
+    which a byte went. Rows that share a key are one another's equals: neither removes
     from the other. Texts shorter than the window stay whole.
     """
     if not anchor <= window <= MAX_WINDOW:
@@ -352,17 +429,17 @@ def without_repeats(
         for batch in batches:
             for payload, blobs in zip(*(c.to_pylist() for c in batch.columns)):
                 s = Slice(payload, key, text)
-                yield kept_rows(s, removed_bytes(len(s.raw), _spans(blobs), window))
+                yield kept_rows(s, removed_bytes(len(s.raw), _spans(blobs), window), decoded)
 
     spans = first.where("kind = 'repeated'").union(second.where("kind = 'repeated'"))
-    schema = T.StructType([*fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", SPANS)])
+    schema = T.StructType([*fields, T.StructField("kept", T.StringType() if decoded else T.BinaryType()), T.StructField("spans", SPANS)])
     return _with_spans(table, spans, "left").select("payload", "blobs").mapInArrow(give, schema)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
 
-def kept_rows(s: Slice, gone: np.ndarray) -> pa.RecordBatch:
+def kept_rows(s: Slice, gone: np.ndarray, decoded: bool) -> pa.RecordBatch:
     kept, spans = [], []
     for a, b in zip(s.starts, s.starts[1:]):
         mask = gone[a:b]
@@ -374,5 +451,6 @@ def kept_rows(s: Slice, gone: np.ndarray) -> pa.RecordBatch:
             kept.append(s.raw[a:b].tobytes())
             spans.append([])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    columns = [*s.rows.columns, pa.array(kept, pa.binary()), pa.array(spans, kind)]
+    column = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary())
+    columns = [*s.rows.columns, column, pa.array(spans, kind)]
     return pa.RecordBatch.from_arrays(columns, names=[*s.rows.schema.names, "kept", "spans"])
