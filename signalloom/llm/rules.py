@@ -10,6 +10,7 @@ list is applied as one ordered CASE expression.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,8 +41,9 @@ def _equal_neighbour(item: Column, k: Column, items: Column, part) -> Column:
     return (part(item) == part(before)) | (part(item) == part(after))
 
 
-def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts of every whole text: key, the base counts, and the statistics of the rules.
+def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", also: Sequence[str] = ()) -> DataFrame:
+    """Counts of every whole text: key, columns to carry along, the base counts, and the
+    statistics of the rules.
 
     Words are runs of characters other than ASCII white space. ``n_dup_lines`` counts
     lines with a word that equal an earlier line. ``n_repeat_words`` counts the words
@@ -49,9 +51,10 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     their place in the other half; those that meet another are compared by their words.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), raw.alias("t"))
+    carried = [f"__also{k}" for k in range(len(also))]
+    rows = docs.select(F.col(key).alias("key"), *[F.col(c).alias(a) for c, a in zip(also, carried)], raw.alias("t"))
     rows = rows.select(
-        "key",
+        "key", *carried,
         F.char_length(_without(F.col("t"), SPACES)).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(_without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.char_length("t") - F.char_length(_without(F.col("t"), ".,;:!?|"))).cast("long").alias("n_marks"),
@@ -79,7 +82,7 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("again", F.sort_array(F.transform(again, lambda x: x["i"])))
     covered = F.transform("again", lambda i, k: F.least(F.lit(3), F.coalesce(F.get(F.col("again"), k + 1) - i, F.lit(3))))
     rows = rows.select(
-        "key", "word_chars", "n_symbols", "n_marks",
+        "key", *carried, "word_chars", "n_symbols", "n_marks",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -88,7 +91,7 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     per_line = F.greatest(F.col("n_lines"), F.lit(1))
     return rows.select(
-        F.col("key").alias(key), *BASE_COUNTS,
+        F.col("key").alias(key), *[F.col(a).alias(c) for c, a in zip(also, carried)], *BASE_COUNTS,
         per_word("word_chars").alias("mean_word"), per_word("n_symbols").alias("symbols_per_word"),
         (F.col("n_dup_lines") / per_line).alias("dup_line_share"), per_word("n_repeat_words").alias("repeat_share"),
         (F.col("n_words") / per_line).alias("words_per_line"), per_word("n_marks").alias("mark_share"),
@@ -247,16 +250,19 @@ def _prune(rows: DataFrame, grown: list, holds) -> tuple[list, tuple[int, int]]:
 # --- the operator ---
 
 
-def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", good: str = "quality", settings: Settings = Settings()) -> tuple[DataFrame, list[Rule]]:
-    """(key, base counts, base_failed, kept) of every row, and the rules learned.
+def judged(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", good: str = "quality",
+    settings: Settings = Settings(), also: Sequence[str] = (),
+) -> tuple[DataFrame, list[Rule]]:
+    """(key, columns ``also``, base counts, base_failed, kept) of every row, and the rules learned.
 
     ``good`` is 1 for labelled rows to keep and 0 for those to reject. NULL texts have no
     words and fail the base rule, as do short ones. Rows that repeat a key are judged each
     by its own text. Other columns are not looked at.
     """
-    counted = settle(text_statistics(docs, key, text), "statistics")
+    counted = settle(text_statistics(docs, key, text, also), "statistics")
     marks = labels.groupBy(key).agg((F.min(good) == 0).alias("bad")).where(F.col(key).isNotNull())
     rules = learn(counted.join(marks, key).where(~base_failed()), key, "bad", settings)
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules, F.lit(True)))
     out = counted.withColumn("base_failed", base_failed()).withColumn("kept", kept)
-    return out.select(key, *BASE_COUNTS, "base_failed", "kept"), rules
+    return out.select(key, *also, *BASE_COUNTS, "base_failed", "kept"), rules

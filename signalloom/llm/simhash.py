@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import combinations
 
@@ -52,14 +52,18 @@ def fingerprint(raw: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(key, fingerprint as a signed long) of every row; NULL texts count as empty."""
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, also: Sequence[str] = ()
+) -> DataFrame:
+    """(key, columns ``also``, fingerprint as a signed long) of every row; NULL texts count as empty."""
 
     def run(batch):
         found = np.array([fingerprint(raw, width) for raw in raw_texts(batch.column(1))], dtype=np.uint64)
-        return {key: batch.column(0), "fingerprint": found.view(np.int64)}
+        return dict(zip([key, *also], [batch.column(0), *batch.columns[2:]])) | {"fingerprint": found.view(np.int64)}
 
-    return map_batches(docs, [key, text], run, f"`{key}` {dict(docs.dtypes)[key]}, fingerprint long")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (key, *also)), "fingerprint long"])
+    return map_batches(docs, [key, text, *also], run, schema)
 
 
 # --- distances ---
@@ -245,9 +249,10 @@ def _drain(forest: Forest) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, also: Sequence[str] = ()
 ) -> DataFrame:
-    """Every row with its fingerprint and group: key, fingerprint (16 hex digits), component_id.
+    """Every row with its fingerprint and group: key, columns ``also``, fingerprint (16 hex
+    digits), component_id.
 
     Fingerprints are linked when at most ``radius`` bits differ; a group is what links
     connect, named by its smallest key. Equal fingerprints are compared once. Texts
@@ -255,7 +260,7 @@ def near_duplicates(
     give a row each. A NULL key never names a group unless the group has no other.
     Other columns are not looked at.
     """
-    prints = materialise(fingerprints(docs, key, text, width), "fingerprints")
+    prints = materialise(fingerprints(docs, key, text, width, also), "fingerprints")
     different = prints.groupBy("fingerprint").agg(F.min(key).alias("first"))
     links = bucket_links(different.select("fingerprint"), radius)
     roots = components(links)
@@ -265,5 +270,5 @@ def near_duplicates(
     named = group.groupBy("root").agg(F.min("first").alias("component_id"))
     named = group.join(named, "root").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select(
-        key, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+        key, *also, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )

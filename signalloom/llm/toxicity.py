@@ -14,6 +14,7 @@ fall into one slot the most frequent one keeps it, the others count as unseen.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -247,7 +248,9 @@ CLEAR, STRONG = 1.0, 1.5
 MEASURES = ["per_letter", "clear", "highest", "strong"]
 
 
-def measures(docs: DataFrame, table: RatioTable, name: str, key: str, text: str, order: int) -> DataFrame:
+def measures(
+    docs: DataFrame, table: RatioTable, name: str, key: str, text: str, order: int, also: Sequence[str] = ()
+) -> DataFrame:
     """(key, per_letter, clear, highest, strong) of the different words of every whole text.
 
     ``per_letter`` is the log-ratio of the text by its length in letters, ``clear`` what its
@@ -276,12 +279,14 @@ def measures(docs: DataFrame, table: RatioTable, name: str, key: str, text: str,
                 else:
                     rows.append((0.0, 0.0, 0.0, 0.0))
             columns = {n: pa.array(c, pa.float64()) for n, c in zip(MEASURES, zip(*rows))}
-            yield pa.RecordBatch.from_pydict({key: batch.column(0), **columns})
+            carried = dict(zip([key, *also], [batch.column(0), *batch.columns[2:]]))
+            yield pa.RecordBatch.from_pydict(carried | columns)
             if len(known) > REMEMBERED:
                 known.clear()
 
-    schema = ", ".join([f"`{key}` {dict(docs.dtypes)[key]}", *(f"{n} double" for n in MEASURES)])
-    return docs.select(key, text).mapInArrow(run, schema)
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (key, *also)), *(f"{n} double" for n in MEASURES)])
+    return docs.select(key, text, *also).mapInArrow(run, schema)
 
 
 def features() -> list[Column]:
@@ -308,8 +313,12 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % folds
 
 
-def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", settings: Settings = Settings()) -> DataFrame:
-    """Toxicity of every whole text: key, held_out, score (0 to 1), predicted, log_ratio.
+def scored(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
+    settings: Settings = Settings(), also: Sequence[str] = (),
+) -> DataFrame:
+    """Toxicity of every whole text: key, columns ``also``, held_out, score (0 to 1), predicted,
+    log_ratio.
 
     Rows of fold 0 (crc32 of the key as text) are held out: their labels are not used. The
     last fold fits the curve, the others the counts. Labels, language, source and key never
@@ -323,7 +332,7 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     grams = class_counts(training, text, "__toxic", settings)
     table = RatioTable.of(log_ratios(grams, settings), settings)
     name = f"{docs.sparkSession.sparkContext.applicationId}-{id(table)}"
-    found = settle(measures(docs, table, name, key, text, settings.order), "measures")
+    found = settle(measures(docs, table, name, key, text, settings.order, also), "measures")
     x = features()
     fit = found.join(marks.where(which == settings.folds - 1), key).select(*[c.alias(f"x{k}") for k, c in enumerate(x)], F.col("__toxic").cast("double").alias("y"), F.xxhash64(key).alias("h"))
     sample = fit.orderBy("h", "x0").limit(settings.calibration_rows).toArrow()
@@ -338,4 +347,4 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         score = F.lit(float(y.mean()) if len(y) else 0.0)
     out = found.withColumn("score", score)
     held = F.coalesce(which == 0, F.lit(False))
-    return out.select(key, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("per_letter").alias("log_ratio"))
+    return out.select(key, *also, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("per_letter").alias("log_ratio"))
