@@ -1,7 +1,7 @@
 """Section E and the model-fitting part of G: Spark ML on the event signals.
 
-The settings of the registered queries are smaller than the registry's, so that a
-check run stays short; the rows are always all rows.
+Models are fitted with the registry's settings on both collections. SQL knows which rows
+must be scored, by what, and in which range; how good a model is belongs to the tests.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from signalloom.catalog.base import (
     r6,
 )
 from signalloom.operators.descriptors import MODEL_FEATURE_COLUMNS
+from signalloom.operators.experiments import ARMS
+from signalloom.operators.metrics import SUMMARY_METRICS
 from signalloom.plans import arms as R
 from signalloom.plans import features as P
 from signalloom.plans import models as L
@@ -29,12 +31,7 @@ from signalloom.runtime import scratch_path
 from signalloom.sources.ingest import write_parquet
 
 N_INPUTS = SPEC.n_samples + len(MODEL_FEATURE_COLUMNS)
-LIGHT = {
-    "logistic-regression": {"maxIter": 15},
-    "linear-svc": {"maxIter": 5},
-    "random-forest": {"numTrees": 10, "maxDepth": 5},
-    "gradient-boosted-trees": {"maxIter": 2, "maxDepth": 3},
-}
+COLLECTIONS = ("a", "b")
 
 
 def stored(spark, sf_dir) -> DataFrame:
@@ -43,14 +40,42 @@ def stored(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def dataset(spark, sf_dir, source: str = "a") -> DataFrame:
+def dataset(spark, sf_dir, source: str = "a", signals: DataFrame | None = None) -> DataFrame:
     """Model-ready rows of one collection, stored."""
+    signals = stored(spark, sf_dir) if signals is None else signals
     rows, _ = P.build_dataset(
-        stored(spark, sf_dir), source, True, destination=scratch_path(spark, "model"), spec=SPEC
+        signals, source, True, destination=scratch_path(spark, "model"), spec=SPEC
     )
     return rows
 
 
+def each_collection(spark, sf_dir, job) -> DataFrame:
+    """``job(rows)`` for both collections, stacked under a ``source`` column."""
+    signals, out = stored(spark, sf_dir), None
+    for source in COLLECTIONS:
+        part = job(dataset(spark, sf_dir, source, signals)).withColumn("source", F.lit(source))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def stacked(parts) -> DataFrame:
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def in_range(summary: DataFrame) -> DataFrame:
+    """One boolean instead of the metrics: each lies where it can, or is missing."""
+    low = {"mcc": -1.0, "cohen_kappa": -1.0}
+    names = [*SUMMARY_METRICS, "roc_auc", "pr_auc", "roc_auc_ovr_macro"]
+    found = [n for n in names if n in summary.columns]
+    fine = F.lit(True)
+    for n in found:
+        fine = fine & F.coalesce(F.col(n).between(low.get(n, 0.0), 1.0), F.lit(True))
+    return summary.withColumn("in_range", fine).drop(*found)
+
+
 # --- feature stages ---------------------------------------------------------
 
 _SLOTS = "UNION ALL ".join(
@@ -129,7 +154,10 @@ def e05(spark, sf_dir):
     return _transformed(spark, sf_dir, "minmax")
 
 
-@query("e06_preprocessing_stages")
+@query(
+    "e06_preprocessing_stages",
+    f"WITH {EVENT_FEATS} SELECT beat_id, CAST({SPEC.n_samples} AS INTEGER) AS width FROM feats",
+)
 def e06(spark, sf_dir):
     signals = beats(spark, sf_dir)
     model = P.preprocessing_stages([], "standard", spec=SPEC).fit(signals)
@@ -171,7 +199,7 @@ def a17(spark, sf_dir):
     return rows.withColumn("class_weight", r6("class_weight"))
 
 
-@query("e08_load_stages")
+@query("e08_load_stages", f"WITH {_READY} SELECT beat_id, CAST(0 AS DOUBLE) AS difference FROM ready")
 def e08(spark, sf_dir):
     path = scratch_path(spark, "model")
     signals = stored(spark, sf_dir)
@@ -185,179 +213,243 @@ def e08(spark, sf_dir):
 
 # --- classifiers ------------------------------------------------------------
 
+_BOTH = f"""{EVENT_FEATS},
+ordered AS (SELECT *, percent_rank() OVER (PARTITION BY source, label ORDER BY md5('42:' || beat_id), beat_id) AS p
+  FROM feats WHERE split = 'train' AND source IN ('a', 'b')),
+placed AS (
+  SELECT source, beat_id, label, CASE WHEN p < CAST(0.85 AS DOUBLE) THEN 'train' ELSE 'val' END AS split_final FROM ordered
+  UNION ALL SELECT source, beat_id, label, split FROM feats WHERE split <> 'train' AND source IN ('a', 'b')),
+ready AS (SELECT * FROM placed
+  WHERE beat_id IN (SELECT beat_id FROM feats WHERE amp_min IS NOT NULL AND mean_abs_diff IS NOT NULL)),
+sizes AS (SELECT source, split_final AS split, {big('count(*)')} AS n FROM ready GROUP BY ALL)"""
+
+
+def _values(name: str, column: str, values) -> str:
+    listed = ", ".join(f"({v!r})" for v in values)
+    return f"{name}({column}) AS (VALUES {listed})"
+
+
+_MODELS = _values("models", "model", L.DEFAULT_BASELINES)
+_ARMS = _values("arms", "arm", ARMS)
+
 
 def _fit(name: str):
-    def run(spark, sf_dir):
-        frames = dataset(spark, sf_dir)
-        spec = L.BASELINES[name]
+    def scored(frames: DataFrame) -> DataFrame:
         train = frames.where(F.col("split_final") == "train")
-        model, _ = L.fit_baseline(spec, train, len(NAMES), **LIGHT[name])
-        scored = L.predict(model, frames.where(F.col("split_final") == "test"), keep=["beat_id"])
-        return scored.select("beat_id", "label", "prediction")
+        model, _ = L.fit_baseline(L.BASELINES[name], train, len(NAMES))
+        rows = L.predict(model, frames.where(F.col("split_final") == "test"), keep=["beat_id"])
+        known = F.col("prediction").between(0, len(NAMES) - 1)
+        return rows.select("beat_id", "label", known.alias("known"))
 
-    return run
+    return lambda spark, sf_dir: each_collection(spark, sf_dir, scored)
 
 
 for _number, _name in enumerate(
     ("logistic-regression", "random-forest", "gradient-boosted-trees", "linear-svc"), start=10
 ):
-    query(f"e{_number}_{_name.replace('-', '_')}")(_fit(_name))
+    query(
+        f"e{_number}_{_name.replace('-', '_')}",
+        f"WITH {_BOTH} SELECT source, beat_id, label, true AS known FROM ready WHERE split_final = 'test'",
+    )(_fit(_name))
 
 
-@query("e14_fit_baseline")
+@query(
+    "e14_fit_baseline",
+    f"""WITH {_BOTH} SELECT source, label, {big('count(*)')} AS n, true AS improved FROM ready
+WHERE split_final = 'train' GROUP BY source, label""",
+)
 def e14(spark, sf_dir):
-    train = dataset(spark, sf_dir).where(F.col("split_final") == "train")
-    model, _ = L.fit_baseline(L.BASELINES["logistic-regression"], train, 5, maxIter=5)
-    steps = model.summary.objectiveHistory
-    return train.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.lit(len(steps) > 1).alias("fitted")
-    )
+    def fitted(rows: DataFrame) -> DataFrame:
+        train = rows.where(F.col("split_final") == "train")
+        model, _ = L.fit_baseline(L.BASELINES["logistic-regression"], train, len(NAMES))
+        losses = model.summary.objectiveHistory
+        counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        return counts.withColumn("improved", F.lit(bool(losses[-1] < losses[0])))
 
+    return each_collection(spark, sf_dir, fitted)
 
-@query("e15_evaluate_baseline")
+
+@query(
+    "e15_evaluate_baseline",
+    f"WITH {_BOTH} SELECT source, 'random-forest' AS model, split, n, true AS in_range FROM sizes WHERE split = 'test'",
+)
 def e15(spark, sf_dir):
-    rows = dataset(spark, sf_dir)
-    spec = L.BASELINES["random-forest"]
-    model, _ = L.fit_baseline(
-        spec, rows.where(F.col("split_final") == "train"), 5, **LIGHT["random-forest"]
-    )
-    test = rows.where(F.col("split_final") == "test")
-    return L.evaluate_baseline(model, test, NAMES, spec, "test")["summary"]
+    def evaluated(rows: DataFrame) -> DataFrame:
+        spec = L.BASELINES["random-forest"]
+        model, _ = L.fit_baseline(spec, rows.where(F.col("split_final") == "train"), len(NAMES))
+        test = rows.where(F.col("split_final") == "test")
+        return in_range(L.evaluate_baseline(model, test, NAMES, spec, "test")["summary"])
+
+    return each_collection(spark, sf_dir, evaluated)
 
 
-@query("e16_run_baselines")
+@query(
+    "e16_run_baselines",
+    f"""WITH {_BOTH}, {_MODELS} SELECT source, model, split, n, true AS in_range FROM sizes, models
+WHERE split IN ('val', 'test')""",
+)
 def e16(spark, sf_dir):
-    names = ["logistic-regression", "random-forest"]
-    results = L.run_baselines(dataset(spark, sf_dir), NAMES, names, overrides=LIGHT)
-    parts = [e["summary"] for fitted in results.values() for e in fitted.evaluations.values()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    def every(rows: DataFrame) -> DataFrame:
+        results = L.run_baselines(rows, NAMES)
+        return stacked(in_range(e["summary"]) for f in results.values() for e in f.evaluations.values())
+
+    return each_collection(spark, sf_dir, every)
 
 
-@query("e17_save_and_e18_load_model")
+@query("e17_save_and_e18_load_model", f"WITH {_BOTH} SELECT source, beat_id, true AS same FROM ready")
 def e17(spark, sf_dir):
-    rows = dataset(spark, sf_dir)
-    train = rows.where(F.col("split_final") == "train")
-    folder = scratch_path(spark, "models")
-    model, _ = L.fit_baseline(L.BASELINES["random-forest"], train, 5, **LIGHT["random-forest"])
-    L.save_model(model, folder, "a", "random-forest")
-    again = L.load_model(folder, "a", "random-forest", 5)
-    first = L.predict(model, rows, keep=["beat_id"]).select("beat_id", "prediction")
-    second = L.predict(again, rows, keep=["beat_id"]).select(
-        "beat_id", F.col("prediction").alias("reloaded")
-    )
-    return first.join(second, "beat_id").where("prediction = reloaded")
+    def reloaded(rows: DataFrame) -> DataFrame:
+        train = rows.where(F.col("split_final") == "train")
+        folder = scratch_path(spark, "models")
+        model, _ = L.fit_baseline(L.BASELINES["random-forest"], train, len(NAMES))
+        L.save_model(model, folder, "any", "random-forest")
+        again = L.load_model(folder, "any", "random-forest", len(NAMES))
+        first, second = (L.predict(m, rows, keep=["beat_id"]) for m in (model, again))
+        second = second.select("beat_id", F.col("prediction").alias("reloaded"))
+        both = first.join(second, "beat_id", "full")
+        return both.select("beat_id", F.col("prediction").eqNullSafe(F.col("reloaded")).alias("same"))
+
+    return each_collection(spark, sf_dir, reloaded)
 
 
-@query("e19_results_table")
+@query(
+    "e19_results_table",
+    f"""WITH {_BOTH}, {_MODELS} SELECT source, model, split, n, true AS in_range, true AS described FROM sizes, models
+WHERE split = 'test'""",
+)
 def e19(spark, sf_dir):
-    names = ["logistic-regression", "linear-svc"]
-    results = L.run_baselines(dataset(spark, sf_dir), NAMES, names, splits=["test"], overrides=LIGHT)
-    return L.results_table(results).drop("fit_seconds")
+    def table_of(rows: DataFrame) -> DataFrame:
+        results = L.run_baselines(rows, NAMES, splits=["test"])
+        table = in_range(L.results_table(results)).withColumn("described", F.length("description") > 0)
+        return table.drop("fit_seconds", "description")
 
+    return each_collection(spark, sf_dir, table_of)
 
-def _importances(spark, sf_dir, top):
-    train = dataset(spark, sf_dir).where(F.col("split_final") == "train")
-    model, _ = L.fit_baseline(L.BASELINES["random-forest"], train, 5, **LIGHT["random-forest"])
-    names = P.assembled_feature_names(spec=SPEC)
-    return L.feature_importances(train, model, names, top)
+
+def _importances(rows: DataFrame, top: int | None) -> DataFrame:
+    train = rows.where(F.col("split_final") == "train")
+    model, _ = L.fit_baseline(L.BASELINES["random-forest"], train, len(NAMES))
+    return L.feature_importances(train, model, P.assembled_feature_names(spec=SPEC), top)
 
 
-@query("e20_feature_importances")
+@query(
+    "e20_feature_importances",
+    """SELECT source, CAST(rank AS INTEGER) AS rank, true AS in_range
+FROM (VALUES ('a'), ('b')) sources(source), range(1, 21) ranks(rank)""",
+)
 def e20(spark, sf_dir):
-    return _importances(spark, sf_dir, 20)
+    def ranks(rows: DataFrame) -> DataFrame:
+        return _importances(rows, 20).select("rank", F.col("importance").between(0.0, 1.0).alias("in_range"))
 
+    return each_collection(spark, sf_dir, ranks)
 
-@query("e22_importance_groups")
+
+@query(
+    "e22_importance_groups",
+    f"""SELECT source, CAST({len(MODEL_FEATURE_COLUMNS) + 1} AS BIGINT) AS groups, CAST(1 AS DOUBLE) AS total
+FROM (VALUES ('a'), ('b')) sources(source)""",
+)
 def e22(spark, sf_dir):
-    return L.importance_groups(_importances(spark, sf_dir, None), MODEL_FEATURE_COLUMNS)
+    def sums(rows: DataFrame) -> DataFrame:
+        groups = L.importance_groups(_importances(rows, None), MODEL_FEATURE_COLUMNS)
+        return groups.agg(F.count(F.lit(1)).alias("groups"), F.round(F.sum("importance"), 6).alias("total"))
+
+    return each_collection(spark, sf_dir, sums)
 
 
 # --- transfer arms ----------------------------------------------------------
 
-ARM_OPTIONS = {"hidden": 8, "max_iter": 8}
+FRACTIONS = (0.02, 0.05, 0.10, 0.25, 0.50, 1.00)
+SEEDS = (42, 7, 2024)
+_TARGET = f"{_BOTH}, target AS (SELECT n FROM sizes WHERE source = 'b' AND split = 'test')"
 
 
 def arm_inputs(spark, sf_dir):
-    """Source network of collection ``a``; balanced training and test rows of ``b``."""
+    """Source network of collection ``a``; training and test rows of ``b``."""
     signals = stored(spark, sf_dir)
-    parts = {}
-    for source in ("a", "b"):
-        rows, _ = P.build_dataset(
-            signals, source, True, destination=scratch_path(spark, "model"), spec=SPEC
-        )
-        parts[source] = rows.select("beat_id", "split_final", "label", "features")
+    parts = {
+        source: dataset(spark, sf_dir, source, signals).select("beat_id", "split_final", "label", "features")
+        for source in COLLECTIONS
+    }
     source_train = parts["a"].where(F.col("split_final") == "train")
-    network = R.fit_source(
-        R.balanced_train(source_train), N_INPUTS, len(NAMES), **ARM_OPTIONS
-    )
+    network = R.fit_source(R.balanced_train(source_train), N_INPUTS, len(NAMES))
     train = parts["b"].where(F.col("split_final") == "train")
     test = parts["b"].where(F.col("split_final") == "test")
     return network, train, test
 
 
-@query("g01_predict")
+@query(
+    "g01_predict",
+    f"""WITH {_BOTH} SELECT beat_id, label, CAST(1 AS DOUBLE) AS total, true AS known FROM ready
+WHERE source = 'b' AND split_final = 'test'""",
+)
 def g01(spark, sf_dir):
     network, _, test = arm_inputs(spark, sf_dir)
     scored = L.predict(network, test, keep=["beat_id"])
-    total = F.aggregate("probability", F.lit(0.0), lambda acc, x: acc + x)
-    return scored.select("beat_id", "label", "prediction", F.round(total, 6).alias("total"))
+    total = F.round(F.aggregate("probability", F.lit(0.0), lambda acc, x: acc + x), 6)
+    known = F.col("prediction").between(0, len(NAMES) - 1)
+    return scored.select("beat_id", "label", total.alias("total"), known.alias("known"))
 
 
-@query("g02_build_arm")
+@query(
+    "g02_build_arm",
+    f"""WITH {_BOTH} SELECT beat_id, CAST(16 AS INTEGER) AS units, true AS in_range FROM ready
+WHERE source = 'b' AND split_final = 'test'""",
+)
 def g02(spark, sf_dir):
     network, train, test = arm_inputs(spark, sf_dir)
-    model = R.build_arm("frozen", N_INPUTS, len(NAMES), network, **ARM_OPTIONS).fit(train)
-    return model.transform(test).select("beat_id", F.size(vector_to_array("hidden")).alias("units"))
+    model = R.build_arm("frozen", N_INPUTS, len(NAMES), network).fit(train)
+    hidden = vector_to_array("hidden")
+    inside = F.forall(hidden, lambda x: x.between(0.0, 1.0))
+    return model.transform(test).select("beat_id", F.size(hidden).alias("units"), inside.alias("in_range"))
 
 
-@query("g03_run_arm")
+@query(
+    "g03_run_arm",
+    f"WITH {_TARGET} SELECT 'finetune' AS arm, 'test' AS split, n, true AS in_range FROM target",
+)
 def g03(spark, sf_dir):
     network, train, test = arm_inputs(spark, sf_dir)
-    balanced = R.balanced_train(train)
     folder = scratch_path(spark, "arms")
-    result = R.run_arm(
-        "finetune", balanced, test, NAMES, N_INPUTS, network, save_to=folder, **ARM_OPTIONS
-    )
-    return result.summary.drop("seconds")
+    result = R.run_arm("finetune", R.balanced_train(train), test, NAMES, N_INPUTS, network, save_to=folder)
+    return in_range(result.summary).drop("seconds")
 
 
-@query("g04_run_all_arms")
+@query("g04_run_all_arms", f"WITH {_TARGET}, {_ARMS} SELECT arm, 'test' AS split, n, true AS in_range FROM target, arms")
 def g04(spark, sf_dir):
     network, train, test = arm_inputs(spark, sf_dir)
-    results = R.run_all_arms(
-        R.balanced_train(train), test, NAMES, N_INPUTS, network, **ARM_OPTIONS
-    )
-    out = None
-    for result in results.values():
-        out = result.summary if out is None else out.unionByName(result.summary)
-    return out.drop("seconds")
+    results = R.run_all_arms(R.balanced_train(train), test, NAMES, N_INPUTS, network)
+    return stacked(in_range(r.summary) for r in results.values()).drop("seconds")
 
 
-@query("g05_arms_table")
+@query(
+    "g05_arms_table",
+    f"WITH {_TARGET}, {_ARMS} SELECT arm, 'test' AS split, n, true AS in_range, true AS described FROM target, arms",
+)
 def g05(spark, sf_dir):
     network, train, test = arm_inputs(spark, sf_dir)
-    results = R.run_all_arms(
-        R.balanced_train(train), test, NAMES, N_INPUTS, network, ("scratch", "frozen"), **ARM_OPTIONS
-    )
-    return R.arms_table(results).drop("seconds")
+    results = R.run_all_arms(R.balanced_train(train), test, NAMES, N_INPUTS, network)
+    table = in_range(R.arms_table(results)).withColumn("described", F.length("description") > 0)
+    return table.drop("seconds", "description")
 
 
-@query("g07_learning_curve")
+@query(
+    "g07_learning_curve",
+    f"""WITH {_TARGET}, {_ARMS}, {_values("fractions", "fraction", FRACTIONS)}
+SELECT CAST(fraction AS DOUBLE) AS fraction, arm, 'test' AS split, n, true AS in_range FROM target, arms, fractions""",
+)
 def g07(spark, sf_dir):
     network, train, test = arm_inputs(spark, sf_dir)
-    curve = R.learning_curve(
-        train, test, NAMES, N_INPUTS, network, (0.25, 1.0), ("scratch", "finetune"), **ARM_OPTIONS
-    )
-    return curve.drop("seconds")
+    curve = R.learning_curve(train, test, NAMES, N_INPUTS, network, FRACTIONS)
+    return in_range(curve).drop("seconds", "n_train")
 
 
-@query("g09_repeat_arms")
+@query(
+    "g09_repeat_arms",
+    f"""WITH {_TARGET}, {_ARMS}, {_values("seeds", "seed", SEEDS)}
+SELECT CAST(seed AS INTEGER) AS seed, arm, 'test' AS split, n, true AS in_range FROM target, arms, seeds""",
+)
 def g09(spark, sf_dir):
     network, train, test = arm_inputs(spark, sf_dir)
-    runs = R.repeat_arms(
-        R.balanced_train(train), test, NAMES, N_INPUTS, network, (42, 7), ("scratch", "frozen"), **ARM_OPTIONS
-    )
-    return runs.drop("seconds")
+    runs = R.repeat_arms(R.balanced_train(train), test, NAMES, N_INPUTS, network, SEEDS)
+    return in_range(runs).drop("seconds")

@@ -36,9 +36,13 @@ def test_every_section_is_registered():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+# Queries that fit models with full settings take minutes; test_models covers what they call.
+FITTING = re.compile(r"e(10|11|12|13|14|15|16|17|19|20|22)_|g0(1|2|3|4|5|7|9)_")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not FITTING.match(n)))
 def test_query_equals_sql(spark, con, name):
     from tools.compare import compare
 
     status, *_ = compare(spark, con, name, FOLDER)
-    assert status in ("ok", "NO ROWS"), status
+    assert status == "ok", status
