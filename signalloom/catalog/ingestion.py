@@ -16,6 +16,7 @@ from signalloom.catalog.base import (
     r,
     r6,
     rounded_doubles,
+    table,
 )
 from signalloom.catalog.metrics import PER_CLASS_LINES, SCORED, predictions
 from signalloom.catalog.profiles import DISTRIBUTION
@@ -294,3 +295,36 @@ def a18(spark, sf_dir):
 
 
 __all__ = ["FILES", "canonical_schema", "write_matrices"]
+
+
+_ODD = """CASE CAST(user_id AS BIGINT) % 6 WHEN 0 THEN CAST(1.7 AS DOUBLE) WHEN 1 THEN CAST('nan' AS DOUBLE)
+  WHEN 2 THEN CAST('inf' AS DOUBLE) WHEN 3 THEN CAST(3000000000 AS DOUBLE) WHEN 4 THEN NULL ELSE CAST(user_id % 5 AS DOUBLE) END"""
+
+
+def _odd_labels(spark, sf_dir):
+    kind = F.col("user_id").cast("long") % 6
+    odd = [F.lit(1.7), F.lit(float("nan")), F.lit(float("inf")), F.lit(3e9), F.lit(None).cast("double")]
+    label = F.when(F.lit(False), F.lit(0.0))
+    for k, value in enumerate(odd):
+        label = label.when(kind == k, value)
+    label = label.otherwise((F.col("user_id") % 5).cast("double"))
+    return table(spark, sf_dir, "events").select("event_id", label.alias(I.RAW_LABEL))
+
+
+@query(
+    "a04_odd_labels",
+    f"""WITH raw AS (SELECT event_id, {_ODD} AS x FROM events)
+SELECT event_id, CAST(CASE WHEN x BETWEEN 0 AND 4 AND x = floor(x) THEN x END AS INTEGER) AS label FROM raw""",
+)
+def a04_odd(spark, sf_dir):
+    return _odd_labels(spark, sf_dir).select("event_id", I.label_code(F.col(I.RAW_LABEL)).alias("label"))
+
+
+@query(
+    "a13_label_problems",
+    f"""WITH raw AS (SELECT CAST(user_id AS BIGINT) % 6 AS k, count(*) AS n FROM events GROUP BY 1),
+checks("check", k) AS (VALUES ('non_integer_label', 0), ('nan_label', 1), ('infinite_label', 2), ('label_out_of_range', 3), ('null_label', 4))
+SELECT "check", CAST(coalesce(n, 0) AS BIGINT) AS n_rows FROM checks LEFT JOIN raw USING (k)""",
+)
+def a13_problems(spark, sf_dir):
+    return I.label_problems(_odd_labels(spark, sf_dir))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.operators.ranking import take_in_hash_order
-from signalloom.runtime import SMALL_ROWS, attach, small_table
+from signalloom.runtime import attach
 
 #: Copies of one row that a single explode may produce.
 COPIES_PER_STEP = 4096
@@ -43,12 +43,14 @@ def class_weights(
     """Balanced weights ``n / (k * n_c)``: label, n, weight.
 
     Without ``labels``, k is the number of classes found. With it, k is their
-    number and an absent class has weight 0.
+    number and an absent class has weight 0. n counts all rows, also those whose
+    label is missing or not in the list.
     """
-    counts = class_counts(df, label_col, labels=labels)
-    every = Window.partitionBy()  # the counted classes, one row each
-    k = F.count(F.lit(1)).over(every)
-    weight = F.sum("n").over(every) / (k * F.col("n"))
+    found = class_counts(df, label_col)
+    totals = found.agg(F.sum("n").alias("every"), F.count(F.lit(1)).alias("k")).first()
+    counts = found if labels is None else class_counts(df, label_col, labels=labels)
+    k = totals["k"] if labels is None else len(labels)
+    weight = F.lit(float(totals["every"] or 0)) / (F.lit(k) * F.col("n"))
     return counts.withColumn("weight", F.when(F.col("n") > 0, weight).otherwise(F.lit(0.0)))
 
 
@@ -71,14 +73,6 @@ def add_class_weight(
     return attach(df, side, [label_col])
 
 
-def _class_sizes(df: DataFrame, label_col: str) -> dict:
-    """Class sizes on the driver: one number per class, refused when it is no class column."""
-    table, fits = small_table(class_counts(df, label_col).where(F.col(label_col).isNotNull()))
-    if not fits:
-        raise ValueError(f"{label_col!r} has more than {SMALL_ROWS} values, it is not a class")
-    return {row[label_col]: row["n"] for row in table.collect()}
-
-
 def resample(
     df: DataFrame,
     strategy: str = "undersample",
@@ -97,30 +91,29 @@ def resample(
         raise ValueError(f"unknown strategy {strategy!r}, use 'undersample' or 'oversample'")
     if mode not in ("exact", "bernoulli"):
         raise ValueError(f"unknown mode {mode!r}, use 'exact' or 'bernoulli'")
-    sizes = _class_sizes(df, label_col)
-    if not sizes:
-        return df
     labelled = df.where(F.col(label_col).isNotNull())
+    sizes = class_counts(labelled, label_col).withColumnRenamed("n", "__size")
+    ends = sizes.agg(F.min("__size").alias("least"), F.max("__size").alias("most")).first()
+    if ends["least"] is None:
+        return df
+    target = ends["least"] if strategy == "undersample" else ends["most"]
+    largest_factor = -(-target // ends["least"])
+    size = F.col("__size")
+
+    if mode == "bernoulli":
+        # A class of any number of others: its size comes by a join, not as a map.
+        rows = attach(labelled, sizes, [label_col])
+        if strategy == "undersample":
+            return rows.where(F.rand(seed) < F.lit(target) / size).drop("__size")
+        factor = F.ceil(F.lit(target) / size)
+        copied = _replicate(rows, factor, largest_factor, key_cols)
+        return copied.where(F.rand(seed) < F.lit(target) / (factor * size)).drop("__size")
 
     if strategy == "undersample":
-        target = min(sizes.values())
-        if mode == "bernoulli":
-            return labelled.sampleBy(label_col, {c: target / n for c, n in sizes.items()}, seed)
         marked = take_in_hash_order(
             labelled, [label_col], key_cols, seed, lambda n: [F.lit(target)]
         )
         return marked.where("__in_0").drop("__n", "__in_0")
-
-    target = max(sizes.values())
-    largest_factor = -(-target // min(sizes.values()))
-    if mode == "bernoulli":
-        factors = {c: -(-target // n) for c, n in sizes.items()}
-        pairs = [F.lit(x) for item in factors.items() for x in item]
-        factor = F.create_map(*pairs)[F.col(label_col)]
-        copied = _replicate(labelled, factor, largest_factor, key_cols)
-        return copied.sampleBy(
-            label_col, {c: target / (factors[c] * n) for c, n in sizes.items()}, seed
-        )
     # Every row is kept target // n times; the first target % n rows once more.
     marked = take_in_hash_order(
         labelled, [label_col], key_cols, seed, lambda n: [F.lit(target) % n]

@@ -135,7 +135,6 @@ def running_totals(
     if n_ranges <= 1:
         return _running(base, by, value, sums).drop("__g")
 
-    n_ranges = min(n_ranges, 1024)
     steps = [i / n_ranges for i in range(1, n_ranges)]
     limits = base.groupBy(*by).agg(
         F.percentile_approx(value, steps, 10 * n_ranges).alias("__limits")

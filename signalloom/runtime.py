@@ -8,11 +8,13 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-#: A table of at most this many rows may be copied to every executor.
+#: A table of at most this many rows and bytes may be copied to every executor.
 SMALL_ROWS = 10_000
+SMALL_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,14 +53,25 @@ def literal_table(spark: SparkSession, columns: dict[str, list], schema: str) ->
     return spark.createDataFrame(pa.table(columns), schema)
 
 
+def _open_ended(df: DataFrame) -> bool:
+    """Whether a row may be of any length: a column holds arrays or maps."""
+    return any(isinstance(f.dataType, (T.ArrayType, T.MapType)) for f in df.schema.fields)
+
+
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Check that ``df`` is small and, if so, turn it into a local relation.
 
-    At most ``max_rows + 1`` rows reach the driver, as one Arrow table. When the
-    table fits, Catalyst knows its exact size and later plans do not recompute it;
+    At most ``max_rows + 1`` rows reach the driver, as one Arrow table. Where columns hold
+    arrays or maps, their length is summed on the executors first.
+    When the table fits, Catalyst knows its exact size and later plans do not recompute it;
     when it does not, ``df`` comes back unchanged and the caller joins by shuffle.
     """
-    rows = df.limit(max_rows + 1).toArrow()
+    few = df.limit(max_rows + 1)
+    if _open_ended(df):
+        size = few.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0]
+        if (size or 0) > SMALL_BYTES:
+            return df, False
+    rows = few.toArrow()
     if rows.num_rows > max_rows:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True

@@ -106,7 +106,7 @@ def schema_violations(df: DataFrame, spec: SignalSpec = HEARTBEAT) -> DataFrame:
     checks: list[tuple[str, Column]] = [
         (f"null_{name}", F.col(name).isNull()) for name in canonical_schema().names
     ]
-    checks.append(("wrong_length", F.size("signal") != spec.n_samples))
+    checks.append(("wrong_length", F.col("signal").isNotNull() & (F.size("signal") != spec.n_samples)))
     for name, broken in reversed(checks):
         rule = F.when(broken, F.lit(name)).otherwise(rule)
     return df.withColumn("violation", rule).where(F.col("violation").isNotNull())

@@ -153,3 +153,23 @@ def test_running_totals(spark, limit):
     ungrouped = R.running_totals(values.groupBy("v").agg(F.sum("c").alias("c")), [], "v", ["c"], limit)
     top = ungrouped.orderBy(F.col("v").desc()).first()
     assert top.c_below + top.c == 200
+
+
+def test_weights_count_rows_outside_the_list(spark):
+    df = spark.createDataFrame([(0,), (0,), (1,), (9,), (None,)], "label int")
+    w = {r["label"]: r["weight"] for r in B.class_weights(df, labels=[0, 1]).collect()}
+    assert w == {0: pytest.approx(5 / 4), 1: pytest.approx(5 / 2)}
+
+
+@pytest.mark.parametrize("mode", ["exact", "bernoulli"])
+def test_resample_takes_any_number_of_classes(spark, mode):
+    df = spark.range(25_000).selectExpr("id as beat_id", "cast(id % 12000 as int) as label")
+    under = B.resample(df, "undersample", mode=mode).groupBy("label").count()
+    over = B.resample(df, "oversample", mode=mode).groupBy("label").count()
+    if mode == "exact":
+        assert under.count() == over.count() == 12_000
+        assert {r[0] for r in under.select("count").distinct().collect()} == {2}
+        assert {r[0] for r in over.select("count").distinct().collect()} == {3}
+    else:
+        assert abs(under.agg(F.sum("count")).first()[0] - 24_000) < 700
+        assert abs(over.agg(F.sum("count")).first()[0] - 36_000) < 1_000
