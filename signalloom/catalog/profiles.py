@@ -246,7 +246,7 @@ _COMPLETE = (
 )
 
 
-def _pairs_sql(source: str) -> str:
+def _pairs_sql(source: str, digits: int | None = 3) -> str:
     """Every pair of columns from a long form, by one self-join on the row."""
     unpivot = " UNION ALL ".join(
         f"SELECT beat_id, '{c}' AS feature, {c} AS v FROM {source}" for c in _COLUMNS
@@ -254,7 +254,7 @@ def _pairs_sql(source: str) -> str:
     return f"""tall AS ({unpivot}),
 pairs AS (
   SELECT a.feature, b.feature AS other,
-         CASE WHEN a.feature = b.feature THEN 1 WHEN stddev_pop(a.v) > 0 AND stddev_pop(b.v) > 0 THEN {r('corr(a.v, b.v)', 3)} END AS r
+         CASE WHEN a.feature = b.feature THEN 1 WHEN stddev_pop(a.v) > 0 AND stddev_pop(b.v) > 0 THEN {r('corr(a.v, b.v)', digits) if digits else 'corr(a.v, b.v)'} END AS r
   FROM tall a JOIN tall b ON a.beat_id = b.beat_id GROUP BY a.feature, b.feature)"""
 
 
@@ -378,12 +378,12 @@ def c14(spark, sf_dir):
 
 @query(
     "c15_label_correlation",
-    f"""WITH {EVENT_FEATS},\n{_COMPLETE},\n{_pairs_sql('complete')}
-SELECT feature, r AS r_with_label FROM pairs WHERE other = 'label' AND feature <> 'label'
+    f"""WITH {EVENT_FEATS},\n{_COMPLETE},\n{_pairs_sql('complete', None)}
+SELECT feature, {r('r', 3)} AS r_with_label FROM pairs WHERE other = 'label' AND feature <> 'label'
 ORDER BY abs(r) DESC NULLS LAST, feature LIMIT 8""",
 )
 def c15(spark, sf_dir):
-    return P.label_correlation(P.feature_correlation(beats(spark, sf_dir), spec=SPEC), 8)
+    return P.label_correlation(P.feature_correlation(beats(spark, sf_dir), spec=SPEC, decimals=None), 8)
 
 
 @query(
