@@ -252,12 +252,14 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, also: Sequence[str] = ()
 ) -> DataFrame:
     """Every row with its fingerprint and group: key, columns ``also``, fingerprint (16 hex
-    digits), component_id.
+    digits), component_id, root.
 
     Fingerprints are linked when at most ``radius`` bits differ; a group is what links
     connect, named by its smallest key. Equal fingerprints are compared once. Texts
     without a word have fingerprint zero and are linked like any other. Rows that repeat
-    give a row each. A NULL key never names a group unless the group has no other.
+    give a row each. A NULL key never names a group unless the group has no other. Where
+    rows share a key, two groups may share their smallest one; ``root`` (a fingerprint, as a
+    signed long) tells them apart.
     Other columns are not looked at.
     """
     prints = materialise(fingerprints(docs, key, text, width, also), "fingerprints")
@@ -268,7 +270,7 @@ def near_duplicates(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "first"
     )
     named = group.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = group.join(named, "root").select("fingerprint", "component_id")
+    named = group.join(named, "root").select("fingerprint", "component_id", "root")
     return prints.join(named, "fingerprint").select(
-        key, *also, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+        key, *also, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id", "root"
     )

@@ -114,7 +114,7 @@ def plain_groups(prints, radius=4):
 
 
 def test_fingerprints_and_groups(spark, odd, empty):
-    rows = simhash.near_duplicates(odd.withColumn("fingerprint", odd.text)).collect()
+    rows = simhash.near_duplicates(odd.withColumn("fingerprint", odd.text)).drop("root").collect()
     prints = [plain_fingerprint(t) for _, t in ODD_ROWS]
     roots = plain_groups(prints)
     want = []
@@ -184,7 +184,7 @@ def test_op5_query(spark, folder, documents):
     for key, root in zip(documents.doc_id, roots):
         first[root] = min(first.get(root, key), key)
     want = {(key, f"{p:016x}", first[root]) for key, p, root in zip(documents.doc_id, prints, roots)}
-    assert {tuple(r) for r in QUERIES["op5_simhash"](spark, folder).collect()} == want
+    assert {tuple(r)[:3] for r in QUERIES["op5_simhash"](spark, folder).collect()} == want
 
 
 # --- I-Match ---
