@@ -114,6 +114,8 @@ def main() -> None:
     # Metrics on a prediction per event.
     timed("summary_metrics", lambda: M.summary_metrics(M.confusion_counts(predictions(spark, SF_DIR), base.NAMES)))
     timed("binary_curves", lambda: M.binary_curves(two_class(spark, SF_DIR)))
+    narrow = M.narrow_predictions(predictions(spark, SF_DIR))
+    timed("evaluate", lambda: M.evaluate(narrow, base.NAMES)["summary"])
     timed("one_vs_rest_auc", lambda: M.one_vs_rest_auc(predictions(spark, SF_DIR), len(base.NAMES)))
 
     # Features and classifiers, with the registry's full settings.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,9 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 SMALL_ROWS = 10_000
 SMALL_BYTES = 32 << 20
 
+#: Paths handed out in each open :func:`scratch_scope`.
+_SCOPES: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach.
@@ -34,7 +39,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; never reused."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for handed_out in _SCOPES:
+        handed_out.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables made inside when the block ends.
+
+    Results are lazy: what is needed later must be collected or written inside.
+    """
+    handed_out: list[str] = []
+    _SCOPES.append(handed_out)
+    try:
+        yield
+    finally:
+        _SCOPES[:] = [s for s in _SCOPES if s is not handed_out]
+        for path in handed_out:
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
