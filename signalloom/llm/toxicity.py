@@ -328,7 +328,8 @@ def scored(
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(key).agg(F.max(toxic).alias("__toxic"))
     which = fold(key, settings.folds)
-    training = docs.select(key, text).join(marks.where(~which.isin(0, settings.folds - 1)), key)
+    # Both tables grow with the corpus: a shuffle join at every size.
+    training = docs.select(key, text).join(marks.where(~which.isin(0, settings.folds - 1)).hint("merge"), key)
     grams = class_counts(training, text, "__toxic", settings)
     table = RatioTable.of(log_ratios(grams, settings), settings)
     name = f"{docs.sparkSession.sparkContext.applicationId}-{id(table)}"
