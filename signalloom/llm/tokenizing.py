@@ -18,12 +18,14 @@ import regex
 #: Fixed value: the pre-token pattern of this family of vocabularies.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS = regex.compile(PRE_TOKENS)
-#: Different pieces, and different words, remembered by one Python worker: some 80 MB each.
-REMEMBERED = 500_000
+#: Different pieces, and different words, of one generation of a worker's memory: some 60 MB each.
+REMEMBERED = 400_000
+#: Marks that are pre-tokens of their own after letters.
+STOPS = ".,;:!?"
 #: Words in one call of the library.
 JOINED = 4_000
-#: The first letter after the Cyrillic ones.
-PLAIN_BELOW = "\u0530"
+#: Finds a character after the Cyrillic letters.
+NOT_PLAIN = re.compile("[^\0-\u052f]").search
 #: Longer pieces (in characters) are not remembered.
 LONG_PIECE = 64
 
@@ -61,6 +63,37 @@ class PieceSplitter:
         return text.split(" ")
 
 
+class Memory:
+    """Remembers what was used lately: two generations, of which the older one is dropped
+    when the younger one is full. Long strings are forgotten after their batch."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def unknown(self, wanted: set[str]) -> set[str]:
+        """What of ``wanted`` is not remembered; what is becomes young again."""
+        missing = wanted.difference(self.young)
+        if self.old:
+            again = missing.intersection(self.old)
+            self.young.update((x, self.old[x]) for x in again)
+            missing -= again
+        return missing
+
+    def learn(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        self.long += [x for x in found if len(x) > LONG_PIECE]
+
+    def end_batch(self) -> None:
+        for x in self.long:
+            self.young.pop(x, None)
+        self.long = []
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+
 class TextEncoder:
     """Ids of texts, in three steps: pieces, then the words of new pieces, then new words.
 
@@ -82,21 +115,18 @@ class TextEncoder:
         self.encode_words = encode_words
         self.encode_pieces = encode_pieces
         self.dtype = dtype
-        self.remembered = remembered
-        self.words: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _packed(self, lists: Iterable[list[int]]) -> list[bytes]:
-        return [np.array(ids, dtype=self.dtype).tobytes() for ids in lists]
-
-    def _learn(self, known: dict[str, bytes], missing: set[str], lead: str) -> None:
-        words, single, mixed, other = self.words, [], [], []
-        for piece in missing:
-            if not piece.isascii() and max(piece) >= PLAIN_BELOW:
-                other.append(piece)
-            elif piece.isalpha():  # a pre-token as it is
-                single.append(piece)
+        self.words, self.inner, self.first = (Memory(remembered) for _ in range(3))
+
+    def _learn(self, memory: Memory, pieces: set[str], lead: str, plain: bool) -> None:
+        unknown = memory.unknown(pieces)
+        other = [] if plain else [p for p in unknown if NOT_PLAIN(p)]
+        unknown.difference_update(other)
+        single = [p for p in unknown if p.isalpha()]  # pre-tokens as they are
+        unknown.difference_update(single)
+        mixed = []
+        for piece in unknown:
+            if piece[:-1].isalpha() and piece[-1] in STOPS:  # a pre-token and a mark
+                mixed.append((piece, (lead + piece[:-1], piece[-1])))
             elif self.marked and self.marked(piece):
                 other.append(piece)
             else:
@@ -104,38 +134,45 @@ class TextEncoder:
         wanted = {lead + p for p in single}
         for _, found in mixed:
             wanted.update(found)
-        fresh = list(wanted.difference(words))
-        words.update(zip(fresh, self.encode_words(fresh)))
-        for piece in single:
-            known[piece] = words[lead + piece]
+        fresh = list(self.words.unknown(wanted))
+        self.words.learn(dict(zip(fresh, self.encode_words(fresh))))
+        words = self.words.young
+        learned = {p: words[lead + p] for p in single}
         for piece, found in mixed:
-            known[piece] = b"".join([words[w] for w in found])
-        known.update(zip(other, self._packed(self.encode_pieces([lead + p for p in other]))))
-        if len(words) > self.remembered:
-            words.clear()
-        for word in fresh:
-            if len(word) > LONG_PIECE:
-                words.pop(word, None)
+            learned[piece] = b"".join([words[w] for w in found])
+        for piece, ids in zip(other, self.encode_pieces([lead + p for p in other])):
+            learned[piece] = np.array(ids, dtype=self.dtype).tobytes()
+        memory.learn(learned)
+        self.words.end_batch()
+
+    def _cut(self, batch: list[str]) -> tuple[list[str], list[list[str]]]:
+        """First pieces and other pieces of every text; afterwards all of them are known."""
+        cut = [self.split(text) for text in batch]
+        heads = [pieces.pop(0) for pieces in cut]
+        plain = not any(map(NOT_PLAIN, batch))
+        self._learn(self.inner, set().union(*cut), " ", plain)
+        self._learn(self.first, set(heads), "", plain)
+        return heads, cut
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        inner, first = self.inner, self.first
-        cut = [self.split(text) for text in batch]
-        missing: set[str] = set()
-        for pieces in cut:
-            missing |= set(pieces[1:]).difference(inner)
-        heads = {p[0] for p in cut}.difference(first)
-        self._learn(inner, missing, " ")
-        self._learn(first, heads, "")
+        heads, cut = self._cut(batch)
+        first, inner = self.first.young, self.inner.young.__getitem__
+        out = [np.frombuffer(first[h] + b"".join(map(inner, p)), dtype=self.dtype) for h, p in zip(heads, cut)]
+        self.inner.end_batch()
+        self.first.end_batch()
+        return out
+
+    def counts(self, batch: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """Pieces of every text, joined they are the text, and the number of ids of each."""
+        heads, cut = self._cut(batch)
+        first, inner = self.first.young, self.inner.young.__getitem__
+        size = np.dtype(self.dtype).itemsize
         out = []
-        for pieces in cut:
-            ids = [inner[p] for p in pieces[1:]]
-            out.append(np.frombuffer(first[pieces[0]] + b"".join(ids), dtype=self.dtype))
-        for known, fresh in ((inner, missing), (first, heads)):
-            if len(known) > self.remembered:
-                known.clear()
-            for piece in fresh:
-                if len(piece) > LONG_PIECE:
-                    known.pop(piece, None)
+        for h, p in zip(heads, cut):
+            sizes = np.fromiter(map(len, map(inner, p)), np.int64, len(p))
+            out.append(([h, *[" " + x for x in p]], np.append(len(first[h]), sizes) // size))
+        self.inner.end_batch()
+        self.first.end_batch()
         return out
 
 
