@@ -35,16 +35,26 @@ def fingerprint(raw: bytes, width: int = 4) -> int:
     A-Z are lower-cased and words end at ASCII white space. Fewer words than a shingle
     has are one shingle; no word gives zero. A bit is 1 only if set in over half the hashes.
     """
+    return majority(shingles(raw, width))
+
+
+def shingles(raw: bytes, width: int) -> np.ndarray:
+    """Hashes of all ``width``-word shingles in their order, repeats included."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: -width] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype=">u8")
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes, as one number."""
+    hashes = hashes.astype(">u8")
     ones = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), PAIRS):
         bits = np.unpackbits(hashes[start : start + PAIRS].view(np.uint8).reshape(-1, 8), axis=1)
