@@ -6,19 +6,21 @@ classes share: discounted counts and continuation counts of ever shorter histori
 over the classes. What is rare therefore speaks for neither. A text's score is its log-likelihood
 ratio per letter, with what its words of highest ratio add, put through a logistic curve fitted on labelled rows the counts never saw.
 
-Counts cover all labelled training rows and stay distributed. What every task needs for
-scoring is a table of log-ratios with a fixed number of slots: of letter sequences that
-fall into one slot the most frequent one keeps it, the others count as unseen.
+Counts cover all labelled training rows and stay distributed, and so do the log-ratios of all
+letter sequences: they are joined by shuffle with the different words of the texts. Word scores
+go to every task while they are few enough for it, and are joined by shuffle if not.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +45,18 @@ class Settings:
     discount: float = 0.75
     #: Occurrences by which a class must outweigh the shared probability.
     prior: float = 3.0
-    #: Slots of the scoring table, as a power of two; 6 bytes each.
+    #: Different words, as a power of two, whose scores every task holds; more are joined by shuffle.
     slot_bits: int = 22
     #: Labelled rows the logistic curve is fitted on, chosen by a hash of the key.
     calibration_rows: int = 100_000
     folds: int = 5
 
 
+def weights_of(raw: bytes) -> dict[bytes, int]:
+    """The words of a text, each once."""
+    return dict.fromkeys(words_of(raw), 1)
+
+
 def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().translate(_PLAIN).split()
 
@@ -191,53 +198,58 @@ def log_ratios(grams: DataFrame, settings: Settings) -> DataFrame:
 # --- scoring ---
 
 
-def _mixed(keys: np.ndarray) -> np.ndarray:
-    x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+def different_words(docs: DataFrame, text: str) -> DataFrame:
+    """(word): every word of the texts once."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in slices(batches):
+            for raw in raw_texts(batch.column(0)):
+                seen.update(words_of(raw))
+            if len(seen) > COUNTED:
+                yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary())})
+                seen.clear()
+        if seen:
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary())})
 
+    return docs.select(text).mapInArrow(run, "word binary").distinct()
 
-class RatioTable:
-    """Log-ratios by letter sequence in a fixed number of slots, with 16 check bits each."""
 
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.check = np.zeros(1 << bits, np.uint16)
-        self.ratio = np.zeros(1 << bits, np.float32)
+def word_scores(words: DataFrame, ratios: DataFrame, settings: Settings) -> DataFrame:
+    """(word, score): sum of the log-ratios of each word's letters, joined by shuffle with all of them."""
+
+    def letters(batches):
+        for batch in slices(batches, 50_000):
+            if batch.num_rows:
+                gram, of = grams_of(batch.column(0).to_pylist(), settings.order)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(gram)], names=["word", "gram"])
+
+    grams = settle(words.mapInArrow(letters, "word binary, gram long"), "letters")
+    ratio = settled_ratios(grams.select("gram").distinct(), ratios, settings)
+    scores = grams.join(ratio, "gram").groupBy("word").agg(F.sum("ratio").alias("score"))
+    return settle(scores, "words")
 
-    def _where(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = _mixed(keys)
-        return (x & np.uint64((1 << self.bits) - 1)).astype(np.int64), (x >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot, check = self._where(keys)
-        return self.check[slot] == check, self.ratio[slot]
+def settled_ratios(grams: DataFrame, ratios: DataFrame, settings: Settings) -> DataFrame:
+    """(gram, ratio) of every sequence; one never seen says nothing."""
+    found = grams.join(ratios.select(F.col("key").alias("gram"), "ratio"), "gram", "left")
+    return found.select("gram", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
-    @classmethod
-    def of(cls, ratios: DataFrame, settings: Settings) -> RatioTable:
-        """Keep the most frequent sequence of every slot; at most one row a slot reaches the driver."""
-        table = cls(settings.slot_bits)
 
-        def slotted(batches):
-            for batch in batches:
-                key = batch.column(0).to_numpy()
-                slot, check = table._where(key)
-                columns = [pa.array(slot), pa.array(check.astype(np.int32)), *batch.columns]
-                yield pa.RecordBatch.from_arrays(columns, names=["slot", "check", "key", "n", "ratio"])
+def _word_hash(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
-        rows = ratios.mapInArrow(slotted, "slot long, check int, key long, n long, ratio double")
-        best = rows.groupBy("slot").agg(F.max(F.struct("n", "key", "check", "ratio")).alias("best"))
-        kept = best.select("slot", "best.check", F.col("best.ratio").cast("float").alias("ratio")).toArrow()
-        slot = kept.column("slot").to_numpy()
-        table.check[slot] = kept.column("check").to_numpy()
-        table.ratio[slot] = kept.column("ratio").to_numpy()
-        return table
 
-    def words(self, words: list[bytes], order: int) -> list[float]:
-        """Sum of the log-ratios of each word's letters; sequences never seen say nothing."""
-        gram, of = grams_of(words, order)
-        known, ratio = self.get(gram)
-        return np.bincount(of, weights=np.where(known, ratio, 0.0), minlength=len(words)).tolist()
+class WordTable:
+    """Scores of all words by a 64-bit hash, for as many as every task may hold."""
+
+    def __init__(self, words: list[bytes], scores: np.ndarray):
+        hashes = _word_hash(words)
+        order = np.argsort(hashes)
+        self.hashes, self.scores = hashes[order], scores[order]
+
+    def get(self, words: list[bytes]) -> list[float]:
+        return self.scores[np.searchsorted(self.hashes, _word_hash(words))].tolist()
 
 
 _SCORES: dict[str, dict[bytes, float]] = {}
@@ -249,15 +261,20 @@ MEASURES = ["per_letter", "clear", "highest", "strong"]
 
 
 def measures(
-    docs: DataFrame, table: RatioTable, name: str, key: str, text: str, order: int, also: Sequence[str] = ()
+    docs: DataFrame, scores: DataFrame, key: str, text: str, settings: Settings, also: Sequence[str] = ()
 ) -> DataFrame:
-    """(key, per_letter, clear, highest, strong) of the different words of every whole text.
+    """(key, per_letter, clear, highest, strong) of the words of every whole text.
 
     ``per_letter`` is the log-ratio of the text by its length in letters, ``clear`` what its
     words have above ``CLEAR``, by their number, ``highest`` its highest word's, and
-    ``strong`` the sum of what its words have above ``STRONG``.
+    ``strong`` the sum of what its words have above ``STRONG``. Up to 2^``slot_bits``
+    scores go to every task; more are joined by shuffle, with the same result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    if scores.count() > 1 << settings.slot_bits:
+        return shuffled_measures(docs, scores, key, text, also)
+    rows = scores.toArrow()
+    table = WordTable(rows.column("word").to_pylist(), rows.column("score").to_numpy())
+    shared, name = docs.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches):
         if name not in _SCORES:
@@ -265,17 +282,16 @@ def measures(
             _SCORES[name] = {}
         known = _SCORES[name]
         for batch in slices(batches):
-            cut = [set(words_of(raw)) for raw in raw_texts(batch.column(1))]
+            cut = [weights_of(raw) for raw in raw_texts(batch.column(1))]
             fresh = list(set().union(*cut).difference(known))
-            for low in range(0, len(fresh), 100_000):
-                part = fresh[low : low + 100_000]
-                known.update(zip(part, shared.value.words(part, order)))
+            known.update(zip(fresh, shared.value.get(fresh)))
             rows = []
             for words in cut:
                 if words:
-                    v = np.sort(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
-                    letters = sum(map(len, words)) + len(words)
-                    rows.append((v.sum() / letters, np.maximum(v - CLEAR, 0).mean(), v[-1], np.maximum(v - STRONG, 0).sum()))
+                    v = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                    n = np.fromiter(words.values(), np.float64, len(words))
+                    letters = sum((len(w) + 1) * c for w, c in words.items())
+                    rows.append(((v * n).sum() / letters, np.maximum(v - CLEAR, 0).mean(), v.max(), np.maximum(v - STRONG, 0).sum()))
                 else:
                     rows.append((0.0, 0.0, 0.0, 0.0))
             columns = {n: pa.array(c, pa.float64()) for n, c in zip(MEASURES, zip(*rows))}
@@ -289,6 +305,26 @@ def measures(
     return docs.select(key, text, *also).mapInArrow(run, schema)
 
 
+def shuffled_measures(docs: DataFrame, scores: DataFrame, key: str, text: str, also: Sequence[str] = ()) -> DataFrame:
+    """The same measures where no task can hold all scores: every text's words are joined with them."""
+    rows = settle(docs.select(key, text, *also).withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+    def run(batches):
+        for batch in slices(batches):
+            for row, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                words = weights_of(raw)
+                columns = [pa.array([row] * len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["__row", "word", "n"])
+
+    words = rows.select("__row", text).mapInArrow(run, "__row long, word binary, n long").join(scores, "word")
+    v, n, above = F.col("score"), F.col("n"), lambda limit: F.greatest(F.col("score") - limit, F.lit(0.0))
+    found = words.groupBy("__row").agg(
+        (F.sum(v * n) / F.sum((F.octet_length("word") + 1) * n)).alias("per_letter"),
+        F.avg(above(CLEAR)).alias("clear"), F.max(v).alias("highest"), F.sum(above(STRONG)).alias("strong"),
+    )
+    return rows.join(found, "__row", "left").select(key, *also, *[F.coalesce(m, F.lit(0.0)).alias(m) for m in MEASURES])
+
+
 def features() -> list[Column]:
     """The measures on a scale on which they differ by factors."""
     return [F.signum(F.col(n)) * F.log1p(20 * F.abs(F.col(n))) for n in MEASURES]
@@ -331,9 +367,8 @@ def scored(
     # Both tables grow with the corpus: a shuffle join at every size.
     training = docs.select(key, text).join(marks.where(~which.isin(0, settings.folds - 1)).hint("merge"), key)
     grams = class_counts(training, text, "__toxic", settings)
-    table = RatioTable.of(log_ratios(grams, settings), settings)
-    name = f"{docs.sparkSession.sparkContext.applicationId}-{id(table)}"
-    found = settle(measures(docs, table, name, key, text, settings.order, also), "measures")
+    scores = word_scores(different_words(docs, text), log_ratios(grams, settings), settings)
+    found = settle(measures(docs, scores, key, text, settings, also), "measures")
     x = features()
     fit = found.join(marks.where(which == settings.folds - 1), key).select(*[c.alias(f"x{k}") for k, c in enumerate(x)], F.col("__toxic").cast("double").alias("y"), F.xxhash64(key).alias("h"))
     sample = fit.orderBy("h", "x0").limit(settings.calibration_rows).toArrow()
