@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 1).
 
-Both classes have a model of how the letters of a word follow one another. A letter's
-probability after its history is the class's own count smoothed by a probability that both
-classes share: discounted counts and continuation counts of ever shorter histories, pooled
-over the classes. What is rare therefore speaks for neither. A text's score is its log-likelihood
-ratio per letter, with what its words of highest ratio add, put through a logistic curve fitted on labelled rows the counts never saw.
+Both classes have a model of how the letters of a word follow one another: discounted counts
+of the class, interpolated into a Kneser-Ney model that both share, of discounted counts and
+continuation counts of ever shorter histories. A sequence that neither class has seen is
+judged after shorter histories. The log-likelihood ratio of a text per letter weighs every word by its
+number in the text. A logistic curve, fitted on labelled rows the counts never saw, makes the score of it
+and of three measures of the text's different words (``MEASURES``).
 
 Counts cover all labelled training rows and stay distributed, and so do the log-ratios of all
 letter sequences: they are joined by shuffle with the different words of the texts. Word scores
@@ -17,6 +18,7 @@ import uuid
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ _MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
 _PLAIN = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 #: Bytes that never occur in UTF-8 stand for the begin and the end of a word.
 BEGIN, END = 0xFF, 0xFE
+#: Marks the key of a history for the letters never seen after it.
+UNSEEN = 1 << 52
 #: Words whose scores one worker remembers.
 REMEMBERED = 600_000
 #: Different words counted together before they are handed on.
@@ -43,7 +47,7 @@ class Settings:
     #: Letters (bytes) of a sequence: a history of five and what follows. At most 6.
     order: int = 6
     discount: float = 0.75
-    #: Occurrences by which a class must outweigh the shared probability.
+    #: Occurrences of the pooled model in the model of either class.
     prior: float = 3.0
     #: Different words, as a power of two, whose scores every task holds; more are joined by shuffle.
     slot_bits: int = 22
@@ -53,8 +57,8 @@ class Settings:
 
 
 def weights_of(raw: bytes) -> dict[bytes, int]:
-    """The words of a text, each once."""
-    return dict.fromkeys(words_of(raw), 1)
+    """The words of a text with their numbers."""
+    return Counter(words_of(raw))
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -145,54 +149,79 @@ def class_counts(labelled: DataFrame, text: str, toxic: str, settings: Settings)
     return settle(grams.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
 
 
-def shared_backoff(grams: DataFrame, settings: Settings) -> DataFrame:
-    """(gram, p): the pooled Kneser-Ney probability of every sequence shortened by one letter.
+def suffix_counts(grams: DataFrame, settings: Settings) -> DataFrame:
+    """(gram, n0, n1): counts of every letter sequence of any length, from those after whole histories."""
+    whole = F.col("gram")
+    every = [whole]
+    for _ in range(settings.order - 1):
+        every.append(F.when(_length(every[-1]) > 1, _shorter(every[-1])))
+    suffixes = grams.select(F.explode(F.array(*every)).alias("gram"), "n0", "n1").where("gram is not null")
+    return settle(suffixes.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "suffixes")
+
+
+def _begins(key: Column) -> Column:
+    """Whether a sequence starts with the begin of its word."""
+    first = F.call_function("shiftright", _bytes(key), (8 * (_length(key) - 1)).cast("int"))
+    return first == BEGIN
 
-    A sequence counts by how many different letters come before it. Levels are built from
-    single letters up, each smoothed by the one below.
+
+def _shared(suffixes: DataFrame, settings: Settings) -> list[DataFrame]:
+    """(gram, p) by length: the Kneser-Ney probability of every sequence, pooled over the classes.
+
+    A sequence counts by how many different letters come before it. Those of full length or
+    from the begin of a word, which nothing comes before, count by how often they occur.
     """
-    d = settings.discount
-    levels = []
-    above = grams.select("gram")
-    for _ in range(settings.order - 1):
-        level = above.where(_length(F.col("gram")) > 1).groupBy(_shorter(F.col("gram")).alias("gram")).agg(F.count("*").alias("n"))
-        level = settle(level, "continuations")
-        levels.append(level)
-        above = level.select("gram")
-    below = None
-    for k, level in enumerate(reversed(levels)):
-        level = level.withColumn("history", _history(F.col("gram")))
-        total = level.groupBy("history").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        level = level.join(total, "history")
-        own = F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total")
-        spare = d * F.col("kinds") / F.col("total")
-        if below is None:
+    d, levels = settings.discount, []
+    before = suffixes.where(_length(F.col("gram")) > 1).groupBy(_shorter(F.col("gram")).alias("gram")).agg(F.count("*").alias("kinds_before"))
+    seen = F.col("n0") + F.col("n1")
+    often = F.when((_length(F.col("gram")) == settings.order) | _begins(F.col("gram")), seen).otherwise(F.coalesce("kinds_before", seen))
+    counts = settle(suffixes.join(before, "gram", "left").select("gram", _history(F.col("gram")).alias("history"), often.alias("n")), "continuations")
+    total = settle(counts.groupBy("history").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "histories")
+    counts = settle(counts.join(total, "history"), "counted")
+    own = F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total")
+    spare = d * F.col("kinds") / F.col("total")
+    for length in range(1, settings.order + 1):
+        level = counts.where(_length(F.col("gram")) == length)
+        if length == 1:
             level = level.select("gram", (own + spare / 257).alias("p"))
         else:
-            shorter = below.select(F.col("gram").alias("shorter"), F.col("p").alias("q"))
-            level = level.withColumn("shorter", _shorter(F.col("gram"))).join(shorter, "shorter", "left")
-            level = level.select("gram", (own + spare * F.coalesce("q", F.lit(1 / 257))).alias("p"))
-        below = settle(level, f"backoff{k}")
-    return below
+            shorter = levels[-1].select(F.col("gram").alias("shorter"), F.col("p").alias("q"))
+            level = level.withColumn("shorter", _shorter(F.col("gram"))).join(shorter, "shorter").select("gram", (own + spare * F.col("q")).alias("p"))
+        levels.append(settle(level, f"backoff{length}"))
+    return levels
 
 
-def log_ratios(grams: DataFrame, settings: Settings) -> DataFrame:
-    """(key, n, ratio): log of the toxic over the ordinary probability of every sequence seen.
+def shared_backoff(grams: DataFrame, settings: Settings) -> DataFrame:
+    """(gram, p): the pooled Kneser-Ney probability of all sequences below full length."""
+    levels = _shared(suffix_counts(grams, settings), settings)[:-1]
+    return levels[0] if len(levels) == 1 else reduce(DataFrame.union, levels)
+
 
-    Both class models rest on the pooled Kneser-Ney probability of the letter after its
-    whole history: a class multiplies it by (seen + prior) / (expected + prior), expected
-    being how often the class would show the sequence if classes did not matter. A
-    sequence too rare to tell keeps the shared probability in both.
+def class_models(grams: DataFrame, settings: Settings) -> DataFrame:
+    """(key, p0, p1): each class's probability of a sequence's last letter after the rest.
+
+    A class discounts its own counts and gives what that frees, and ``prior`` occurrences more,
+    to the pooled probability of the same sequence, so its letters after a history sum to
+    one. A row with the key of a history and ``UNSEEN`` holds what each class gives a letter that
+    neither has seen there, as a share of the pooled probability.
     """
-    d, prior = settings.discount, F.lit(settings.prior)
-    rows = grams.withColumn("history", _history(F.col("gram"))).withColumn("n", F.col("n0") + F.col("n1"))
-    history = rows.groupBy("history").agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"), F.count("*").alias("kinds"))
-    backoff = shared_backoff(grams, settings).select(F.col("gram").alias("shorter"), "p")
-    rows = rows.join(history, "history").withColumn("shorter", _shorter(F.col("gram"))).join(backoff, "shorter")
-    total = F.col("total0") + F.col("total1")
-    pooled = F.greatest(F.col("n") - d, F.lit(0.0)) / total + d * F.col("kinds") / total * F.col("p")
-    odds = [(F.col(f"n{c}") + prior) / (F.col(f"total{c}") * pooled + prior) for c in "01"]
-    return rows.select(F.col("gram").alias("key"), "n", F.log(odds[1] / odds[0]).alias("ratio"))
+    d, prior = settings.discount, settings.prior
+    suffixes = suffix_counts(grams, settings)
+    shared = reduce(DataFrame.union, _shared(suffixes, settings))
+    rows = suffixes.withColumn("history", _history(F.col("gram")))
+    sums = [F.sum(f"n{c}").alias(f"total{c}") for c in "01"] + [F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"kinds{c}") for c in "01"]
+    history = settle(rows.groupBy("history").agg(*sums), "class_histories")
+    spare = [(d * F.col(f"kinds{c}") + prior) / (F.col(f"total{c}") + prior) for c in "01"]
+    own = [F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / (F.col(f"total{c}") + prior) for c in "01"]
+    seen = rows.join(history, "history").join(shared, "gram")
+    seen = seen.select(F.col("gram").alias("key"), *[(own[c] + spare[c] * F.col("p")).alias(f"p{c}") for c in (0, 1)])
+    unseen = history.select(F.col("history").bitwiseOR(F.lit(UNSEEN)).alias("key"), *[spare[c].alias(f"p{c}") for c in (0, 1)])
+    return settle(seen.union(unseen), "models")
+
+
+def log_ratios(grams: DataFrame, settings: Settings) -> DataFrame:
+    """(key, ratio): log of the toxic over the ordinary probability, for all of ``class_models``."""
+    return class_models(grams, settings).select("key", F.log(F.col("p1") / F.col("p0")).alias("ratio"))
 
 
 # --- scoring ---
@@ -231,9 +260,18 @@ def word_scores(words: DataFrame, ratios: DataFrame, settings: Settings) -> Data
 
 
 def settled_ratios(grams: DataFrame, ratios: DataFrame, settings: Settings) -> DataFrame:
-    """(gram, ratio) of every sequence; one never seen says nothing."""
-    found = grams.join(ratios.select(F.col("key").alias("gram"), "ratio"), "gram", "left")
-    return found.select("gram", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+    """(gram, ratio) of every sequence; one never seen backs off.
+
+    Where its history was seen, both classes give it their share of the same pooled
+    probability; where not, it is judged after the next shorter history. 0 with no counts at all.
+    """
+    chain, gram = [], F.col("gram")
+    for _ in range(settings.order):
+        chain += [gram, _history(gram).bitwiseOR(F.lit(UNSEEN))]
+        gram = F.when(_length(gram) > 1, _shorter(gram))
+    asked = grams.select("gram", F.posexplode(F.array(*chain)).alias("step", "key")).where("key is not null")
+    first = asked.join(ratios, "key").groupBy("gram").agg(F.min_by("ratio", "step").alias("ratio"))
+    return grams.join(first, "gram", "left").select("gram", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
 def _word_hash(words: list[bytes]) -> np.ndarray:
@@ -265,9 +303,9 @@ def measures(
 ) -> DataFrame:
     """(key, per_letter, clear, highest, strong) of the words of every whole text.
 
-    ``per_letter`` is the log-ratio of the text by its length in letters, ``clear`` what its
-    words have above ``CLEAR``, by their number, ``highest`` its highest word's, and
-    ``strong`` the sum of what its words have above ``STRONG``. Up to 2^``slot_bits``
+    ``per_letter`` is the log-ratio of the text, repeated words included, by its length in
+    letters; the others look at different words: ``clear`` is what they have above ``CLEAR``, by their number, ``highest`` the highest word's, and
+    ``strong`` the sum of what they have above ``STRONG``. Up to 2^``slot_bits``
     scores go to every task; more are joined by shuffle, with the same result.
     """
     if scores.count() > 1 << settings.slot_bits:
