@@ -100,11 +100,16 @@ def _history(key: Column) -> Column:
     return F.shiftright(_bytes(key), 8).bitwiseOR(F.shiftleft((_length(key) - 1).cast("long"), 48))
 
 
+def _suffix(key: Column, gone: int) -> Column:
+    """All but the first ``gone`` letters; NULL if none is left. Keys are not nested, or plans would explode."""
+    left = _length(key) - gone
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (8 * left).cast("int")) - 1
+    return F.when(left > 0, key.bitwiseAND(mask).bitwiseOR(F.shiftleft(left.cast("long"), 48)))
+
+
 def _shorter(key: Column) -> Column:
     """All but the first letter, of two letters or more."""
-    left = _length(key) - 1
-    tail = F.call_function("shiftleft", F.lit(1).cast("long"), (8 * left).cast("int")) - 1
-    return key.bitwiseAND(tail).bitwiseOR(F.shiftleft(left.cast("long"), 48))
+    return _suffix(key, 1)
 
 
 # --- counts ---
@@ -151,10 +156,7 @@ def class_counts(labelled: DataFrame, text: str, toxic: str, settings: Settings)
 
 def suffix_counts(grams: DataFrame, settings: Settings) -> DataFrame:
     """(gram, n0, n1): counts of every letter sequence of any length, from those after whole histories."""
-    whole = F.col("gram")
-    every = [whole]
-    for _ in range(settings.order - 1):
-        every.append(F.when(_length(every[-1]) > 1, _shorter(every[-1])))
+    every = [_suffix(F.col("gram"), k) for k in range(settings.order)]
     suffixes = grams.select(F.explode(F.array(*every)).alias("gram"), "n0", "n1").where("gram is not null")
     return settle(suffixes.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "suffixes")
 
@@ -265,10 +267,10 @@ def settled_ratios(grams: DataFrame, ratios: DataFrame, settings: Settings) -> D
     Where its history was seen, both classes give it their share of the same pooled
     probability; where not, it is judged after the next shorter history. 0 with no counts at all.
     """
-    chain, gram = [], F.col("gram")
-    for _ in range(settings.order):
+    chain = []
+    for k in range(settings.order):
+        gram = _suffix(F.col("gram"), k)
         chain += [gram, _history(gram).bitwiseOR(F.lit(UNSEEN))]
-        gram = F.when(_length(gram) > 1, _shorter(gram))
     asked = grams.select("gram", F.posexplode(F.array(*chain)).alias("step", "key")).where("key is not null")
     first = asked.join(ratios, "key").groupBy("gram").agg(F.min_by("ratio", "step").alias("ratio"))
     return grams.join(first, "gram", "left").select("gram", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
