@@ -255,8 +255,9 @@ def word_scores(words: DataFrame, ratios: DataFrame, settings: Settings) -> Data
                 gram, of = grams_of(batch.column(0).to_pylist(), settings.order)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(gram)], names=["word", "gram"])
 
-    grams = settle(words.mapInArrow(letters, "word binary, gram long"), "letters")
-    ratio = settled_ratios(grams.select("gram").distinct(), ratios, settings)
+    # Letters are cut twice: ten rows a word are cheaper to make than to keep.
+    grams = settle(words, "different").mapInArrow(letters, "word binary, gram long")
+    ratio = settle(settled_ratios(settle(grams.select("gram").distinct(), "asked"), ratios, settings), "ratios")
     scores = grams.join(ratio, "gram").groupBy("word").agg(F.sum("ratio").alias("score"))
     return settle(scores, "words")
 
