@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from signalloom.spec import HEARTBEAT, canonical_schema  # noqa: E402
+from signalloom.spec import canonical_schema  # noqa: E402
+from signal_rows import beat_rows, pad  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -28,19 +29,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def pad(samples, n=HEARTBEAT.n_samples):
-    return [float(x) for x in samples] + [0.0] * (n - len(samples))
-
-
-def beat_rows(rows):
-    """(id, split, label, samples) with the five-class names."""
-    names = HEARTBEAT.collection("mitbih").names
-    return [
-        (i, "mitbih", split, label, None if label is None else names[label], signal)
-        for i, split, label, signal in rows
-    ]
-
-
 @pytest.fixture(scope="session")
 def five_classes(spark):
     """60 / 20 / 12 / 4 / 4 signals; every fifth one is in the test split."""
@@ -52,15 +40,3 @@ def five_classes(spark):
             samples = [1.0] + [plateau] * (length - 2) + [0.5]
             rows.append((f"{label}-{i}", "test" if i % 5 == 0 else "train", label, pad(samples)))
     return spark.createDataFrame(beat_rows(rows), canonical_schema()).cache()
-
-
-def as_dicts(df):
-    return [row.asDict() for row in df.collect()]
-
-
-def by_key(df, *keys):
-    out = {}
-    for row in as_dicts(df):
-        key = tuple(row[k] for k in keys)
-        out[key if len(key) > 1 else key[0]] = row
-    return out

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import as_dicts, beat_rows, pad
+from signal_rows import as_dicts, beat_rows, pad
 from signalloom.functions import arrays as A
 from signalloom.operators.descriptors import FEATURE_COLUMNS, add_descriptors, add_fingerprint, pin
 from signalloom.spec import canonical_schema

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import as_dicts, by_key
+from signal_rows import as_dicts, by_key
 from signalloom.operators import experiments as X
 
 # Published runs, curve and arms, and the tables made from them.

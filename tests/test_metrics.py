@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import as_dicts, by_key
+from signal_rows import as_dicts, by_key
 from signalloom.operators import metrics as M
 
 FIVE = ["N", "S", "V", "F", "Q"]

@@ -2,7 +2,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from conftest import as_dicts, beat_rows, by_key
+from signal_rows import as_dicts, beat_rows, by_key
 from signalloom.plans import arms as R
 from signalloom.plans import features as P
 from signalloom.plans import models as L

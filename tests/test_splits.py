@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import by_key
+from signal_rows import by_key
 from signalloom.functions.ordering import hash_order
 from signalloom.operators import balance as B
 from signalloom.operators import ranking as R
