@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, editing, imatch, packing, repeats, rules, sharding, simhash, tokenfile, toxicity
+from signalloom.llm import bpe, editing, imatch, packing, repeats, rules, sharding, simhash, tokenfile, toxicity, turns
+from signalloom.llm.tables import settle
 from signalloom.llm.tokenizing import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,12 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every text before and after three edits of it."""
     docs = documents(spark, folder).withColumn("edits", editing.sample_edits())
     return editing.edited_counts(docs, default_tokenizer())
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage to a quarter of its rows."""
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    damaged = turns.sample_damage(rows)
+    audits = settle(turns.audited(damaged), "audits")
+    return turns.checked(rows, audits, turns.digests(turns.repaired(damaged, audits)))
