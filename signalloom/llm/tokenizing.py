@@ -77,7 +77,7 @@ class Memory:
         """What of ``wanted`` is not remembered; what is becomes young again."""
         missing = wanted.difference(self.young)
         if self.old:
-            again = missing.intersection(self.old)
+            again = {x for x in missing if x in self.old}
             self.young.update((x, self.old[x]) for x in again)
             missing -= again
         return missing
@@ -238,15 +238,21 @@ class JoinedWords:
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
-def library_encoder(path: str) -> TextEncoder:
-    """The tokenizers library behind the piece memory; one per worker and file."""
-    if path not in _ENCODERS:
+def library_encoder(path: str, plain: bool = False, remembered: int = REMEMBERED) -> TextEncoder:
+    """The tokenizers library behind the piece memory; one per worker and file.
+
+    ``plain`` takes the strings of special ids in a text for ordinary text.
+    """
+    name = f"{path}:plain" if plain else path
+    if name not in _ENCODERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        tokenizer.encode_special_tokens = plain
         dtype = id_dtype(tokenizer.get_vocab_size(with_added_tokens=True))
         words = JoinedWords(tokenizer, dtype)
-        _ENCODERS[path] = TextEncoder(list(special_strings(path)), words, words.singly, dtype)
-    return _ENCODERS[path]
+        specials = [] if plain else list(special_strings(path))
+        _ENCODERS[name] = TextEncoder(specials, words, words.singly, dtype, remembered)
+    return _ENCODERS[name]
