@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import alignment, bpe, editing, imatch, packing, repeats, rules, sharding, simhash, tokenfile, toxicity, turns
+from signalloom.llm import alignment, bpe, editing, imatch, packing, quality, repeats, rules, sharding, simhash, tokenfile, toxicity, turns
 from signalloom.llm.tables import settle
 from signalloom.llm.tokenizing import default_tokenizer
 
@@ -102,3 +102,8 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """How the tokens of two vocabularies align in every text."""
     return alignment.report(documents(spark, folder), default_tokenizer(), alignment.default_pieces())
+
+
+@query
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored(documents(spark, folder), labels(spark, folder))

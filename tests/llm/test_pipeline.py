@@ -12,7 +12,7 @@ from signalloom.llm.tables import settle
 
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
     assert {*QUERIES, "pipeline"} <= set(names)
 
 
