@@ -16,8 +16,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import accumulate
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +73,11 @@ def same_bytes(a: list[bytes], b: list[bytes], byte_ids: set[int]) -> np.ndarray
     return np.array([first.get(raw, -1) for raw in a], np.int64)
 
 
-# --- one piece ---
+# --- pieces ---
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """A piece: its groups as text, its links as numbers, and how many tokens it has."""
+class Aligned(NamedTuple):
+    """A piece or a text: its groups as text, its links as numbers, and how many tokens it has."""
 
     groups: bytes
     links: bytes
@@ -102,46 +101,73 @@ class Aligner:
         self.b_bytes = [piece_bytes(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(n)]
         self.space = self.model.piece_to_id("▁")
         self.a_bytes = a_strings(path_a)
-        self.encoder: TextEncoder = library_encoder(path_a, plain=True, remembered=remembered)
+        self.encoder: TextEncoder = library_encoder(path_a, plain=True, remembered=remembered // 3)
         self.size_b = n
         self.dtype = "<u4" if len(self.a_bytes) * n <= 1 << 32 else "<u8"
         self.same = same_bytes(self.a_bytes, self.b_bytes, {i for i in range(n) if self.model.is_byte(i)})
         self.memory = Memory(remembered)
+        self.size_of = [np.array([len(x) for x in raw], np.int64) for raw in (self.a_bytes, self.b_bytes)]
+        # How an id is written: by side, and by whether it is the last one of its group.
+        ids = [range(len(self.a_bytes)), range(len(self.a_bytes)), range(n), range(n)]
+        self.written = [b"%d%c" % (i, mark) for of, mark in zip(ids, b",|,;") for i in of]
+        self.width = np.array([len(x) for x in self.written], np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """Pieces without the space each begins with; the first one's is put before the text."""
         return self.cut(text) if self.unclear(text) else text.split(" ")
 
-    def _aligned(self, piece: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        """None if the tokens of A or B are not the piece's bytes."""
-        raw_a, raw_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(raw_a) != piece or b"".join(raw_b) != piece:
-            return None
-        ends_a, ends_b = list(accumulate(map(len, raw_a))), list(accumulate(map(len, raw_b)))
-        both = set(ends_a).intersection(ends_b)
-        groups, links, i, j = [], [], 0, 0
-        while i < len(a):
-            m, n = i, j
-            while ends_a[m] not in both:
-                m += 1
-            while ends_b[n] != ends_a[m]:
-                n += 1
-            groups.append(f"{','.join(map(str, a[i : m + 1]))}|{','.join(map(str, b[j : n + 1]))}")
-            links.append(a[m] * self.size_b + b[n])
-            i, j = m + 1, n + 1
-        return Aligned(";".join(groups).encode(), np.array(links, self.dtype).tobytes(), len(a), len(b))
+    def _spelled(self, raw: list[bytes], flat: np.ndarray, n: np.ndarray, strings: list[bytes], size_of: np.ndarray) -> np.ndarray:
+        """Which pieces the strings of their ids spell; ``flat`` has the ids of all pieces, ``n`` of each."""
+        sizes = np.bincount(np.repeat(np.arange(len(n)), n), weights=size_of[flat], minlength=len(n))
+        fine = sizes == np.fromiter(map(len, raw), np.int64, len(raw))
+        parts = [strings[i] for i in flat.tolist()]
+        if not fine.all() or b"".join(parts) != b"".join(raw):
+            ends = np.cumsum(n).tolist()
+            fine = np.array([b"".join(parts[a:b]) == r for r, a, b in zip(raw, [0, *ends], ends)], bool)
+        return fine
+
+    def _aligned(self, raw: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> list[Aligned | None]:
+        """All pieces in one pass over their joined bytes; None where tokens are not the piece's bytes."""
+        fine = self._spelled(raw, a, n_a, self.a_bytes, self.size_of[0]) & self._spelled(raw, b, n_b, self.b_bytes, self.size_of[1])
+        out: list[Aligned | None] = [None] * len(raw)
+        spelled = np.flatnonzero(fine).tolist()
+        if not spelled:
+            return out
+        a, b = a[np.repeat(fine, n_a)], b[np.repeat(fine, n_b)]
+        ends_a, ends_b = np.cumsum(self.size_of[0][a]), np.cumsum(self.size_of[1][b])
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        links = (a[last_a] * self.size_b + b[last_b]).astype(self.dtype).tobytes()
+        # A token's place in the written groups: after all tokens of the other side in groups before.
+        of_a, of_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.append(0, last_b + 1)[of_a]] = a + len(self.a_bytes) * (ends_a == ends[of_a])
+        order[np.arange(len(b)) + last_a[of_b] + 1] = 2 * len(self.a_bytes) + b + self.size_b * (ends_b == ends[of_b])
+        text = b"".join([self.written[i] for i in order.tolist()])
+        # Where each piece ends: in groups, in tokens of either side, in the text.
+        upto = np.searchsorted(ends, np.cumsum([len(raw[k]) for k in spelled])) + 1
+        upto_a, upto_b = last_a[upto - 1] + 1, last_b[upto - 1] + 1
+        upto_text = np.cumsum(self.width[order])[upto_a + upto_b - 1]
+        n_a, n_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        wide, group, at = np.dtype(self.dtype).itemsize, 0, 0
+        for k, g, t, x, y in zip(spelled, upto.tolist(), upto_text.tolist(), n_a.tolist(), n_b.tolist()):
+            out[k] = Aligned(text[at : t - 1], links[group * wide : g * wide], x, y)
+            group, at = g, t
+        return out
 
     def learn(self, pieces: set[str]) -> None:
         fresh = list(self.memory.unknown(pieces))
         if not fresh:
             return
-        ids_a = self.encoder.encode([" " + p for p in fresh])
-        ids_b = self.model.encode(fresh, num_threads=1)
-        found = {}
-        for piece, a, b in zip(fresh, ids_a, ids_b):
-            # The model adds no space to an empty string.
-            found[piece] = self._aligned(b" " + piece.encode(), a.tolist(), b if piece else [self.space])
-        self.memory.learn(found)
+        packed = self.encoder.parts(fresh)
+        a = np.frombuffer(b"".join(packed), self.encoder.dtype).astype(np.int64)
+        n_a = np.fromiter(map(len, packed), np.int64, len(fresh)) // np.dtype(self.encoder.dtype).itemsize
+        ids = self.model.encode(fresh, num_threads=1)
+        if "" in fresh:  # the model adds no space to an empty string
+            ids[fresh.index("")] = [self.space]
+        n_b = np.fromiter(map(len, ids), np.int64, len(fresh))
+        b = np.fromiter(chain.from_iterable(ids), np.int64, int(n_b.sum()))
+        self.memory.learn(dict(zip(fresh, self._aligned([b" " + p.encode() for p in fresh], a, n_a, b, n_b))))
 
     def align(self, batch: list[str | None]) -> list[Aligned | None]:
         """The alignment of every text; None for NULL and empty ones and those the tokens do not spell."""

@@ -162,6 +162,13 @@ class TextEncoder:
         self.first.end_batch()
         return out
 
+    def parts(self, batch: list[str]) -> list[bytes]:
+        """Packed ids of different pieces, without the space that each begins with."""
+        self._learn(self.inner, set(batch), " ", not any(map(NOT_PLAIN, batch)))
+        out = list(map(self.inner.young.__getitem__, batch))
+        self.inner.end_batch()
+        return out
+
     def counts(self, batch: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """Pieces of every text, joined they are the text, and the number of ids of each."""
         heads, cut = self._cut(batch)
