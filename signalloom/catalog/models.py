@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.catalog.base import (
@@ -22,12 +22,14 @@ from signalloom.catalog.base import (
     r6,
 )
 from signalloom.operators.descriptors import MODEL_FEATURE_COLUMNS
+from signalloom.operators import experiments as X
 from signalloom.operators.experiments import ARMS
 from signalloom.operators.metrics import SUMMARY_METRICS
 from signalloom.plans import arms as R
 from signalloom.plans import features as P
 from signalloom.plans import models as L
-from signalloom.runtime import scratch_path
+from signalloom.plans.arms import stacked
+from signalloom.runtime import materialise, scratch_path
 from signalloom.sources.ingest import write_parquet
 
 N_INPUTS = SPEC.n_samples + len(MODEL_FEATURE_COLUMNS)
@@ -58,13 +60,6 @@ def each_collection(spark, sf_dir, job) -> DataFrame:
     return out
 
 
-def stacked(parts) -> DataFrame:
-    out = None
-    for part in parts:
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
 def in_range(summary: DataFrame) -> DataFrame:
     """One boolean instead of the metrics: each lies where it can, or is missing."""
     low = {"mcc": -1.0, "cohen_kappa": -1.0}
@@ -361,95 +356,162 @@ def e22(spark, sf_dir):
 
 FRACTIONS = (0.02, 0.05, 0.10, 0.25, 0.50, 1.00)
 SEEDS = (42, 7, 2024)
-_TARGET = f"{_BOTH}, target AS (SELECT n FROM sizes WHERE source = 'b' AND split = 'test')"
+UNITS = 16
+#: Numbers each arm learns: a hidden layer and a head, or the head alone.
+_WEIGHTS = f"""CAST(CASE arm WHEN 'frozen' THEN {(UNITS + 1) * len(NAMES)}
+  ELSE {(N_INPUTS + 1) * UNITS + (UNITS + 1) * len(NAMES)} END AS BIGINT) AS trainable_parameters"""
+_TARGET = f"{_BOTH}, target AS (SELECT split, n FROM sizes WHERE source = 'b' AND split IN ('val', 'test'))"
 
 
-def arm_inputs(spark, sf_dir):
-    """Source network of collection ``a``; training and test rows of ``b``."""
+def arm_inputs(spark, sf_dir) -> dict:
+    """Source network of collection ``a``; training, validation and test rows of ``b``."""
     signals = stored(spark, sf_dir)
     parts = {
         source: dataset(spark, sf_dir, source, signals).select("beat_id", "split_final", "label", "features")
         for source in COLLECTIONS
     }
     source_train = parts["a"].where(F.col("split_final") == "train")
-    network = R.fit_source(R.balanced_train(source_train), N_INPUTS, len(NAMES))
-    train = parts["b"].where(F.col("split_final") == "train")
-    test = parts["b"].where(F.col("split_final") == "test")
-    return network, train, test
+    network = R.fit_source(R.balanced_train(source_train), N_INPUTS, len(NAMES), UNITS)
+    split = {s: parts["b"].where(F.col("split_final") == s) for s in ("train", "val", "test")}
+    return {"source": network, "label_names": NAMES, "n_inputs": N_INPUTS, "hidden": UNITS, **split}
+
+
+def balanced(inputs: dict) -> dict:
+    """The inputs with oversampled training rows, made once for all arms."""
+    return {**inputs, "train": materialise(R.balanced_train(inputs["train"]), "balanced")}
+
+
+def arm_lines(lines: DataFrame) -> DataFrame:
+    """Lines without what differs from run to run; the best round is one of those run."""
+    fine = F.col("best_epoch").between(1, F.col("epochs"))
+    return in_range(lines).withColumn("in_range", F.col("in_range") & fine).drop("seconds", "epochs", "best_epoch")
 
 
 @query(
     "g01_predict",
-    f"""WITH {_BOTH} SELECT beat_id, label, CAST(1 AS DOUBLE) AS total, true AS known FROM ready
+    f"""WITH {_BOTH} SELECT beat_id, label, CAST(1 AS DOUBLE) AS total, true AS likeliest FROM ready
 WHERE source = 'b' AND split_final = 'test'""",
 )
 def g01(spark, sf_dir):
-    network, _, test = arm_inputs(spark, sf_dir)
-    scored = L.predict(network, test, keep=["beat_id"])
+    inputs = arm_inputs(spark, sf_dir)
+    scored = L.predict(inputs["source"], inputs["test"], keep=["beat_id"])
     total = F.round(F.aggregate("probability", F.lit(0.0), lambda acc, x: acc + x), 6)
-    known = F.col("prediction").between(0, len(NAMES) - 1)
-    return scored.select("beat_id", "label", total.alias("total"), known.alias("known"))
+    likeliest = F.get("probability", F.col("prediction")) == F.array_max("probability")
+    return scored.select("beat_id", "label", total.alias("total"), likeliest.alias("likeliest"))
 
 
 @query(
     "g02_build_arm",
-    f"""WITH {_BOTH} SELECT beat_id, CAST(16 AS INTEGER) AS units, true AS in_range FROM ready
+    f"""WITH {_BOTH} SELECT beat_id, CAST({UNITS} AS INTEGER) AS units, true AS in_range, true AS same FROM ready
 WHERE source = 'b' AND split_final = 'test'""",
 )
 def g02(spark, sf_dir):
-    network, train, test = arm_inputs(spark, sf_dir)
-    model = R.build_arm("frozen", N_INPUTS, len(NAMES), network).fit(train)
-    hidden = vector_to_array("hidden")
-    inside = F.forall(hidden, lambda x: x.between(0.0, 1.0))
-    return model.transform(test).select("beat_id", F.size(hidden).alias("units"), inside.alias("in_range"))
+    """The kept layer's outputs, against the same sums taken one by one in the JVM."""
+    inputs = arm_inputs(spark, sf_dir)
+    network = inputs["source"]
+    model = R.build_arm("frozen", N_INPUTS, len(NAMES), network).fit(inputs["train"])
+    weights, biases = R.hidden_part(network)
+    slots = [
+        F.struct(F.array(*map(F.lit, w)).alias("w"), F.lit(b).alias("b"))
+        for w, b in zip(weights.tolist(), biases.tolist())
+    ]
+    hidden, x = vector_to_array("hidden"), vector_to_array("features")
+    rows = model.transform(inputs["test"]).select("beat_id", hidden.alias("h"), x.alias("x"))
+
+    def unit(s):
+        total = F.aggregate(F.zip_with("x", s["w"], lambda a, w: a * w), s["b"], lambda acc, v: acc + v)
+        return 1.0 / (1.0 + F.exp(-total))
+
+    plain = rows.withColumn("plain", F.transform(F.array(*slots), unit))
+    gap = F.array_max(F.zip_with("h", "plain", lambda a, b: F.abs(a - b)))
+    inside = F.forall("h", lambda v: v.between(0.0, 1.0))
+    return plain.select("beat_id", F.size("h").alias("units"), inside.alias("in_range"), (gap < 1e-9).alias("same"))
 
 
 @query(
     "g03_run_arm",
-    f"WITH {_TARGET} SELECT 'finetune' AS arm, 'test' AS split, n, true AS in_range FROM target",
+    f"""WITH {_TARGET}, arms(arm) AS (VALUES ('finetune'))
+SELECT arm, split, n, {_WEIGHTS}, true AS in_range FROM target, arms""",
 )
 def g03(spark, sf_dir):
-    network, train, test = arm_inputs(spark, sf_dir)
-    folder = scratch_path(spark, "arms")
-    result = R.run_arm("finetune", R.balanced_train(train), test, NAMES, N_INPUTS, network, save_to=folder)
-    return in_range(result.summary).drop("seconds")
+    inputs = balanced(arm_inputs(spark, sf_dir))
+    return arm_lines(R.run_arm("finetune", **inputs, save_to=scratch_path(spark, "arms")).lines)
 
 
-@query("g04_run_all_arms", f"WITH {_TARGET}, {_ARMS} SELECT arm, 'test' AS split, n, true AS in_range FROM target, arms")
+@query("g04_run_all_arms", f"WITH {_TARGET}, {_ARMS} SELECT arm, split, n, {_WEIGHTS}, true AS in_range FROM target, arms")
 def g04(spark, sf_dir):
-    network, train, test = arm_inputs(spark, sf_dir)
-    results = R.run_all_arms(R.balanced_train(train), test, NAMES, N_INPUTS, network)
-    return stacked(in_range(r.summary) for r in results.values()).drop("seconds")
+    results = R.run_all_arms(**balanced(arm_inputs(spark, sf_dir)))
+    return arm_lines(stacked(r.lines for r in results.values()))
 
 
 @query(
     "g05_arms_table",
-    f"WITH {_TARGET}, {_ARMS} SELECT arm, 'test' AS split, n, true AS in_range, true AS described FROM target, arms",
+    f"""WITH {_TARGET}, {_ARMS}
+SELECT arm, split, n, {_WEIGHTS}, true AS in_range, true AS described FROM target, arms WHERE split = 'test'""",
 )
 def g05(spark, sf_dir):
-    network, train, test = arm_inputs(spark, sf_dir)
-    results = R.run_all_arms(R.balanced_train(train), test, NAMES, N_INPUTS, network)
-    table = in_range(R.arms_table(results)).withColumn("described", F.length("description") > 0)
-    return table.drop("seconds", "description")
+    results = R.run_all_arms(**balanced(arm_inputs(spark, sf_dir)))
+    table = arm_lines(R.arms_table(results)).withColumn("described", F.length("description") > 0)
+    return table.drop("description")
 
 
 @query(
     "g07_learning_curve",
-    f"""WITH {_TARGET}, {_ARMS}, {_values("fractions", "fraction", FRACTIONS)}
-SELECT CAST(fraction AS DOUBLE) AS fraction, arm, 'test' AS split, n, true AS in_range FROM target, arms, fractions""",
+    f"""WITH {_TARGET}, {_ARMS}, {_values("fractions", "fraction", FRACTIONS)},
+train AS (SELECT label, count(*) AS n FROM ready WHERE source = 'b' AND split_final = 'train' GROUP BY label),
+used AS (SELECT fraction, {big('sum(CASE WHEN fraction = 1 THEN train.n ELSE least(train.n, greatest(2, round_even(train.n * CAST(fraction AS DOUBLE), 0))) END)')} AS n_train
+  FROM fractions CROSS JOIN train GROUP BY fraction)
+SELECT CAST(fraction AS DOUBLE) AS fraction, n_train, arm, split, n, {_WEIGHTS}, true AS in_range FROM target, arms, used""",
 )
 def g07(spark, sf_dir):
-    network, train, test = arm_inputs(spark, sf_dir)
-    curve = R.learning_curve(train, test, NAMES, N_INPUTS, network, FRACTIONS)
-    return in_range(curve).drop("seconds", "n_train")
+    rounds = R.Rounds(rounds=3, iterations=15)
+    curve = R.learning_curve(**arm_inputs(spark, sf_dir), fractions=FRACTIONS, rounds=rounds)
+    return arm_lines(curve).withColumn("n_train", F.col("n_train").cast("long"))
 
 
 @query(
     "g09_repeat_arms",
     f"""WITH {_TARGET}, {_ARMS}, {_values("seeds", "seed", SEEDS)}
-SELECT CAST(seed AS INTEGER) AS seed, arm, 'test' AS split, n, true AS in_range FROM target, arms, seeds""",
+SELECT CAST(seed AS INTEGER) AS seed, arm, split, n, {_WEIGHTS}, true AS in_range FROM target, arms, seeds""",
 )
 def g09(spark, sf_dir):
-    network, train, test = arm_inputs(spark, sf_dir)
-    runs = R.repeat_arms(R.balanced_train(train), test, NAMES, N_INPUTS, network, SEEDS)
-    return in_range(runs).drop("seconds")
+    return arm_lines(R.repeat_arms(**balanced(arm_inputs(spark, sf_dir)), seeds=SEEDS))
+
+
+_EPOCHS = "epochs(epoch) AS (VALUES (1), (2), (3), (4), (5))"
+
+
+@query(
+    "g12_arm_histories",
+    f"""WITH {_ARMS}, {_EPOCHS}, metrics(metric) AS (VALUES ('train_loss'), ('val_loss'), ('val_macro_f1'),
+  ('val_balanced_accuracy'), ('val_accuracy'))
+SELECT arm, CAST(epoch AS INTEGER) AS epoch, metric, true AS in_range, true AS learned
+FROM arms, epochs, metrics WHERE (SELECT count(*) FROM events) > 0""",
+)
+def g12_arms(spark, sf_dir):
+    """Real histories in long form; the training loss of a round is never above that of the first one."""
+    results = R.run_all_arms(**balanced(arm_inputs(spark, sf_dir)))
+    long = X.history_to_long(R.arms_history(results).drop("seconds"), ["arm"])
+    is_loss = F.col("metric").endswith("loss")
+    fine = F.col("value").isNotNull() & (F.col("value") >= 0) & (is_loss | (F.col("value") <= 1))
+    first = F.first("value").over(Window.partitionBy("arm", "metric").orderBy("epoch"))
+    learned = (F.col("metric") != "train_loss") | (F.col("value") <= first + 1e-9)
+    return long.select("arm", "epoch", "metric", fine.alias("in_range"), learned.alias("learned"))
+
+
+@query(
+    "g13_arm_checkpoints",
+    f"""WITH {_ARMS}, rules(selection_rule) AS (VALUES ('lowest validation loss'), ('highest validation macro-F1'))
+SELECT arm, selection_rule, true AS kept, true AS best FROM arms, rules WHERE (SELECT count(*) FROM events) > 0""",
+)
+def g13_arms(spark, sf_dir):
+    """Rounds chosen from real histories: the arm keeps the one of highest macro-F1 and scores as it did."""
+    results = R.run_all_arms(**balanced(arm_inputs(spark, sf_dir)))
+    history = materialise(R.arms_history(results), "history")
+    kept = stacked(r.line("val") for r in results.values()).select("arm", "best_epoch", F.col("macro_f1").alias("scored"))
+    rules = X.checkpoint_rules(history, by=["arm"]).join(kept, "arm")
+    by_metric = F.col("selection_rule") == "highest validation macro-F1"
+    same = (F.col("epoch") == F.col("best_epoch")) & (F.abs(F.col("val_macro_f1") - F.col("scored")) < 1e-4)
+    least = history.groupBy("arm").agg(F.min("val_loss").alias("least"), F.max("val_macro_f1").alias("most"))
+    best = F.when(by_metric, F.col("val_macro_f1") == F.col("most")).otherwise(F.col("val_loss") == F.col("least"))
+    return rules.join(least, "arm").select("arm", "selection_rule", (~by_metric | same).alias("kept"), best.alias("best"))

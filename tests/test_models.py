@@ -3,6 +3,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from signal_rows import as_dicts, beat_rows, by_key
+from signalloom.operators import metrics as M
 from signalloom.plans import arms as R
 from signalloom.plans import features as P
 from signalloom.plans import models as L
@@ -122,14 +123,74 @@ def test_arms(spark, dataset):
     expected = np.exp(shifted) / np.exp(shifted).sum()
     assert row["probability"].toArray() == pytest.approx(expected, abs=1e-9)
 
-    results = R.run_all_arms(R.balanced_train(train), test, NAMES, 31, source, hidden=6, max_iter=30)
+    val = rows.where("split_final = 'val'")
+    options = {"val": val, "hidden": 6, "rounds": R.Rounds(3, 10)}
+    results = R.run_all_arms(R.balanced_train(train), test, NAMES, 31, source, **options)
     table = as_dicts(R.arms_table(results))
     assert {r["arm"] for r in table} == {"scratch", "frozen", "finetune"}
     assert table[0]["macro_f1"] > 0.9
+    sizes = {r["arm"]: r["trainable_parameters"] for r in table}
+    assert sizes == {"scratch": 32 * 6 + 7 * 3, "finetune": 32 * 6 + 7 * 3, "frozen": 7 * 3}
+    for arm, result in results.items():
+        history = as_dicts(result.history.orderBy("epoch"))
+        assert [h["epoch"] for h in history] == [1, 2, 3] and result.epochs == 3
+        assert history[-1]["train_loss"] <= history[0]["train_loss"] + 1e-9
+        top = max(h["val_macro_f1"] for h in history)
+        assert result.best_epoch == min(h["epoch"] for h in history if h["val_macro_f1"] == top)
+        lines = by_key(result.lines, "split")
+        assert lines["val"]["macro_f1"] == pytest.approx(top, abs=1e-4) and lines["test"]["arm"] == arm
     with pytest.raises(ValueError):
         R.build_arm("other", 31, 3)
     with pytest.raises(ValueError):
         R.build_arm("frozen", 31, 3)
-    curve = R.learning_curve(train, test, NAMES, 31, source, (0.2, 1.0), ("frozen",), hidden=6, max_iter=5)
+    curve = R.learning_curve(train, test, NAMES, 31, source, (0.2, 1.0), ("frozen",), hidden=6, rounds=R.Rounds(1, 5))
     sizes = [r["n_train"] for r in curve.orderBy("fraction").collect()]
     assert sizes[0] < sizes[1] == train.count()
+
+
+def test_rounds_go_on_from_the_last_weights(spark, dataset):
+    rows, _, _ = dataset
+    train = rows.where("split_final = 'train'").select("label", "features")
+    val = rows.where("split_final = 'val'").select("label", "features")
+    run = R.run_arm("scratch", train, val, NAMES, 31, val=val, hidden=6, rounds=R.Rounds(3, 4))
+    (once,) = as_dicts(R.run_arm("scratch", train, val, NAMES, 31, val=val, hidden=6, rounds=R.Rounds(1, 4)).history)
+    losses = [h["train_loss"] for h in as_dicts(run.history.orderBy("epoch"))]
+    assert losses[0] == pytest.approx(once["train_loss"], rel=1e-6) and losses == sorted(losses, reverse=True)
+    # A history's numbers are those of the metric tables.
+    scored = M.narrow_predictions(run.model.transform(val))
+    (summary,) = as_dicts(M.summary_metrics(M.confusion_counts(scored, NAMES), decimals=None))
+    mine = R.score_round(run.model, val.withColumn("part", F.lit("val")), 3)["val"]
+    assert [mine[c] for c in ("macro_f1", "balanced_accuracy", "accuracy")] == pytest.approx(
+        [summary[c] for c in ("macro_f1", "balanced_accuracy", "accuracy")]
+    )
+
+
+def test_patience_ends_a_run_and_no_validation_keeps_the_last_round(spark, dataset):
+    rows, _, _ = dataset
+    train = rows.where("split_final = 'train'").select("label", "features")
+    strict = R.Rounds(6, 3, patience=2, least_gain=2.0)
+    run = R.run_arm("scratch", train, train, NAMES, 31, val=train, hidden=4, rounds=strict)
+    assert run.stopped_early and run.epochs == 3 and run.best_epoch == 1
+    run = R.run_arm("scratch", train, train, NAMES, 31, hidden=4, rounds=R.Rounds(2, 2))
+    assert run.best_epoch == run.epochs == 2 and set(run.evaluations) == {"test"}
+    assert as_dicts(run.history)[0]["val_loss"] is None
+
+
+def test_kept_layer_is_one_product_a_batch(spark, dataset, tmp_path):
+    import numpy as np
+
+    rows, _, _ = dataset
+    rng = np.random.default_rng(3)
+    weights, biases = rng.normal(size=(6, 31)), rng.normal(size=6)
+    layer = R.HiddenLayer("features", "hidden", weights.ravel().tolist(), biases.tolist())
+    out = layer.transform(rows.select("features"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and str(weights[0, 0])[:8] not in plan
+    for r in out.collect():
+        assert r["hidden"].toArray() == pytest.approx(1 / (1 + np.exp(-(weights @ r["features"].toArray() + biases))), abs=1e-9)
+    layer.write().overwrite().save(str(tmp_path / "layer"))
+    again = R.HiddenLayer.load(str(tmp_path / "layer")).transform(rows.select("features"))
+    assert again.collect() == out.collect()
+    some = spark.createDataFrame([([0.5] * 31,), (None,)], "x array<double>")
+    found = [r[0] for r in some.select(R.sigmoid_layer(weights, biases)("x")).collect()]
+    assert len(found[0]) == 6 and found[1] is None
