@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalloom.catalog.base import (
@@ -250,11 +250,41 @@ def a13(spark, sf_dir):
     return I.raw_label_histogram(I.read_raw_csv(spark, f"{base}/{FILES['a_train'].path}", SPEC))
 
 
-@query("a14_storage_footprint")
+@query(
+    "a14_storage_footprint",
+    f"""WITH {EVENT_ROWS}
+SELECT source, name, true AS stored, true AS smaller FROM (SELECT DISTINCT source FROM rows), (VALUES ('csv'), ('parquet')) t(name)""",
+)
 def a14(spark, sf_dir):
+    """Files of either kind for each collection, and that the columnar ones take less."""
     base = write_matrices(spark, sf_dir)
     stored = I.write_parquet(beats(spark, sf_dir), scratch_path(spark, "stored"))
-    return I.storage_footprint(spark, {"csv": base, "parquet": stored})
+    paths = {f"{s}/{n}": f"{p}/source={s}" for s in ("a", "b") for n, p in (("csv", base), ("parquet", stored))}
+    found = I.storage_footprint(spark, paths)
+    source, name = (F.get(F.split("name", "/"), F.lit(k)) for k in (0, 1))
+    lines = found.select(source.alias("source"), name.alias("name"), "files", "bytes")
+    most = F.max("bytes").over(Window.partitionBy("source"))
+    smaller = F.when(F.col("name") == "csv", F.col("bytes") == most).otherwise(F.col("bytes") < most)
+    has_files = (F.col("files") > 0) & (F.col("bytes") > 0)
+    return lines.select("source", "name", has_files.alias("stored"), smaller.alias("smaller"))
+
+
+@query(
+    "a04_stable_ids",
+    f"""WITH {EVENT_ROWS}
+SELECT label, {big('count(*)')} AS n, {big('count(*)')} AS n_ids, {big('count(*)')} AS n_same FROM rows
+WHERE source = 'a' AND split = 'train' GROUP BY label""",
+)
+def a04_ids(spark, sf_dir):
+    """Ids of one matrix, read in its own parts and dealt out anew."""
+    f = FILES["a_train"]
+    raw = I.read_raw_csv(spark, f"{write_matrices(spark, sf_dir)}/{f.path}", SPEC)
+    first, second = (I.to_canonical(x, f.source, f.split, f.key, SPEC) for x in (raw, raw.repartition(13)))
+    other = second.select("beat_id", F.hash("signal", "label").alias("content"))
+    both = first.withColumn("content", F.hash("signal", "label")).join(other, ["beat_id", "content"], "left_semi")
+    same = both.groupBy("label").agg(F.count(F.lit(1)).alias("n_same"))
+    counts = first.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("beat_id").alias("n_ids"))
+    return counts.join(same, "label")
 
 
 @query("a15_save_table", f"WITH {DISTRIBUTION} SELECT * FROM dist")

@@ -28,6 +28,7 @@ from signalloom.operators.metrics import SUMMARY_METRICS
 from signalloom.plans import arms as R
 from signalloom.plans import features as P
 from signalloom.plans import models as L
+from signalloom.plans import tables as T
 from signalloom.plans.arms import stacked
 from signalloom.runtime import materialise, scratch_path
 from signalloom.sources.ingest import write_parquet
@@ -186,6 +187,28 @@ def e07(spark, sf_dir):
     )
 
 
+_OWN = f"""{EVENT_FEATS},
+ours AS (SELECT * FROM feats WHERE source = 'b'),
+ordered AS (SELECT *, percent_rank() OVER (PARTITION BY label ORDER BY md5('42:' || beat_id), beat_id) AS p FROM ours),
+placed AS (SELECT *, CASE WHEN p < CAST(0.7 AS DOUBLE) THEN 'train' WHEN p < CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE) THEN 'val' ELSE 'test' END AS split_final FROM ordered),
+counted AS (SELECT label, count(*) AS n FROM placed WHERE split_final = 'train' GROUP BY label),
+weights AS (SELECT label, {r('CAST((SELECT sum(n) FROM counted) AS DOUBLE) / ((SELECT count(*) FROM counted) * n)')} AS class_weight
+  FROM counted)"""
+
+
+@query(
+    "e07_build_dataset_with_own_split",
+    f"""WITH {_OWN}
+SELECT p.beat_id, p.split_final, p.label, w.class_weight FROM placed p LEFT JOIN weights w ON p.label = w.label
+WHERE amp_min IS NOT NULL AND mean_abs_diff IS NOT NULL""",
+)
+def e07_own(spark, sf_dir):
+    """The second collection as one that comes without a split."""
+    signals = stored(spark, sf_dir).withColumn("split", F.lit("full"))
+    rows, _ = P.build_dataset(signals, "b", False, destination=scratch_path(spark, "model"), spec=SPEC)
+    return rows.select("beat_id", "split_final", "label", r6("class_weight").alias("class_weight"))
+
+
 @query("a17_load_dataset", f"WITH {_READY} SELECT beat_id, split_final, label, class_weight FROM ready")
 def a17(spark, sf_dir):
     path = scratch_path(spark, "model")
@@ -228,13 +251,28 @@ _MODELS = _values("models", "model", L.DEFAULT_BASELINES)
 _ARMS = _values("arms", "arm", ARMS)
 
 
+#: Depth of the trees, by classifier.
+_DEPTHS = {"random-forest": 12, "gradient-boosted-trees": 5}
+
+
+def _from_tables(spark, name: str, model, rows: DataFrame) -> DataFrame:
+    """(beat_id, prediction) from the model's coefficients or tree nodes as rows."""
+    if name not in _DEPTHS:
+        return T.linear_predictions(rows, T.coefficient_rows(spark, model), ["beat_id"])
+    nodes = materialise(T.node_rows(spark, model), "nodes")
+    reached = T.leaves(rows, nodes, _DEPTHS[name], ["beat_id"])
+    how = T.forest_predictions if name == "random-forest" else T.boosted_predictions
+    return how(reached, ["beat_id"])
+
+
 def _fit(name: str):
     def scored(frames: DataFrame) -> DataFrame:
-        train = frames.where(F.col("split_final") == "train")
-        model, _ = L.fit_baseline(L.BASELINES[name], train, len(NAMES))
-        rows = L.predict(model, frames.where(F.col("split_final") == "test"), keep=["beat_id"])
-        known = F.col("prediction").between(0, len(NAMES) - 1)
-        return rows.select("beat_id", "label", known.alias("known"))
+        spark = frames.sparkSession
+        model, _ = L.fit_baseline(name, frames.where(F.col("split_final") == "train"), len(NAMES))
+        test = materialise(frames.where(F.col("split_final") == "test").select("beat_id", "label", "features"), "test")
+        again = _from_tables(spark, name, model, test).withColumnRenamed("prediction", "again")
+        rows = L.predict(model, test, keep=["beat_id"]).join(again, "beat_id", "left")
+        return rows.select("beat_id", "label", F.col("prediction").eqNullSafe(F.col("again")).alias("same"))
 
     return lambda spark, sf_dir: each_collection(spark, sf_dir, scored)
 
@@ -244,7 +282,7 @@ for _number, _name in enumerate(
 ):
     query(
         f"e{_number}_{_name.replace('-', '_')}",
-        f"WITH {_BOTH} SELECT source, beat_id, label, true AS known FROM ready WHERE split_final = 'test'",
+        f"WITH {_BOTH} SELECT source, beat_id, label, true AS same FROM ready WHERE split_final = 'test'",
     )(_fit(_name))
 
 
@@ -256,7 +294,7 @@ WHERE split_final = 'train' GROUP BY source, label""",
 def e14(spark, sf_dir):
     def fitted(rows: DataFrame) -> DataFrame:
         train = rows.where(F.col("split_final") == "train")
-        model, _ = L.fit_baseline(L.BASELINES["logistic-regression"], train, len(NAMES))
+        model, _ = L.fit_baseline("logistic-regression", train, len(NAMES))
         losses = model.summary.objectiveHistory
         counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
         return counts.withColumn("improved", F.lit(bool(losses[-1] < losses[0])))
@@ -264,45 +302,72 @@ def e14(spark, sf_dir):
     return each_collection(spark, sf_dir, fitted)
 
 
+def _agrees(summary: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Model, split and n of a summary, and whether plain SQL over the predictions gives its scores."""
+    plain = T.plain_scores(predictions).first()
+    near = lambda a: F.abs(F.col(a) - F.lit(float(plain[a]))) <= 5.1e-5
+    same = (F.col("n") == F.lit(plain["n"])) & near("macro_f1") & near("accuracy")
+    return summary.select("model", "split", "n", same.alias("same"))
+
+
 @query(
     "e15_evaluate_baseline",
-    f"WITH {_BOTH} SELECT source, 'random-forest' AS model, split, n, true AS in_range FROM sizes WHERE split = 'test'",
+    f"WITH {_BOTH} SELECT source, 'random-forest' AS model, split, n, true AS same FROM sizes WHERE split = 'test'",
 )
 def e15(spark, sf_dir):
     def evaluated(rows: DataFrame) -> DataFrame:
-        spec = L.BASELINES["random-forest"]
-        model, _ = L.fit_baseline(spec, rows.where(F.col("split_final") == "train"), len(NAMES))
+        model, _ = L.fit_baseline("random-forest", rows.where(F.col("split_final") == "train"), len(NAMES))
         test = rows.where(F.col("split_final") == "test")
-        return in_range(L.evaluate_baseline(model, test, NAMES, spec, "test")["summary"])
+        predictions = materialise(L.predict(model, test), "predictions")
+        return _agrees(L.evaluate_baseline(model, test, NAMES, "random-forest", "test")["summary"], predictions)
 
     return each_collection(spark, sf_dir, evaluated)
 
 
 @query(
     "e16_run_baselines",
-    f"""WITH {_BOTH}, {_MODELS} SELECT source, model, split, n, true AS in_range FROM sizes, models
+    f"""WITH {_BOTH}, {_MODELS} SELECT source, model, split, n, true AS same FROM sizes, models
 WHERE split IN ('val', 'test')""",
 )
 def e16(spark, sf_dir):
     def every(rows: DataFrame) -> DataFrame:
         results = L.run_baselines(rows, NAMES)
-        return stacked(in_range(e["summary"]) for f in results.values() for e in f.evaluations.values())
+        return stacked(
+            _agrees(e["summary"], materialise(L.predict(f.model, rows.where(F.col("split_final") == split)), "predictions"))
+            for f in results.values()
+            for split, e in f.evaluations.items()
+        )
 
     return each_collection(spark, sf_dir, every)
 
 
-@query("e17_save_and_e18_load_model", f"WITH {_BOTH} SELECT source, beat_id, true AS same FROM ready")
+#: Fewer iterations and trees, where only storing a model is looked at.
+_LIGHT = {
+    "logistic-regression": {"maxIter": 10}, "linear-svc": {"maxIter": 5},
+    "random-forest": {"numTrees": 10, "maxDepth": 5}, "gradient-boosted-trees": {"maxIter": 2, "maxDepth": 3},
+}
+
+
+@query(
+    "e17_save_and_e18_load_model",
+    f"WITH {_BOTH}, {_MODELS} SELECT source, model, beat_id, true AS same FROM ready, models WHERE split_final = 'test'",
+)
 def e17(spark, sf_dir):
+    """Every kind of classifier, stored and read back, predicts as before."""
+
     def reloaded(rows: DataFrame) -> DataFrame:
-        train = rows.where(F.col("split_final") == "train")
-        folder = scratch_path(spark, "models")
-        model, _ = L.fit_baseline(L.BASELINES["random-forest"], train, len(NAMES))
-        L.save_model(model, folder, "any", "random-forest")
-        again = L.load_model(folder, "any", "random-forest", len(NAMES))
-        first, second = (L.predict(m, rows, keep=["beat_id"]) for m in (model, again))
-        second = second.select("beat_id", F.col("prediction").alias("reloaded"))
-        both = first.join(second, "beat_id", "full")
-        return both.select("beat_id", F.col("prediction").eqNullSafe(F.col("reloaded")).alias("same"))
+        results = L.run_baselines(rows, NAMES, splits=[], overrides=_LIGHT)
+        folder, test = scratch_path(spark, "models"), rows.where(F.col("split_final") == "test")
+
+        def both(name: str, model) -> DataFrame:
+            L.save_model(model, folder, "any", name)
+            again = L.predict(L.load_model(folder, "any", name), test, keep=["beat_id"])
+            again = again.select("beat_id", F.col("prediction").alias("reloaded"))
+            joined = L.predict(model, test, keep=["beat_id"]).join(again, "beat_id", "full")
+            same = F.col("prediction").eqNullSafe(F.col("reloaded")).alias("same")
+            return joined.select(F.lit(name).alias("model"), "beat_id", same)
+
+        return stacked(both(n, f.model) for n, f in results.items())
 
     return each_collection(spark, sf_dir, reloaded)
 
@@ -321,33 +386,52 @@ def e19(spark, sf_dir):
     return each_collection(spark, sf_dir, table_of)
 
 
-def _importances(rows: DataFrame, top: int | None) -> DataFrame:
-    train = rows.where(F.col("split_final") == "train")
-    model, _ = L.fit_baseline(L.BASELINES["random-forest"], train, len(NAMES))
-    return L.feature_importances(train, model, P.assembled_feature_names(spec=SPEC), top)
+_FEATURES = _values("features", "feature", P.assembled_feature_names(spec=SPEC))
+_GROUPS = _values("groups", '"group"', [*MODEL_FEATURE_COLUMNS, "waveform samples"])
+
+
+def _importances(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(feature, importance) as the forest gives them, and as its nodes do; zeros left out there."""
+    spark, names = rows.sparkSession, P.assembled_feature_names(spec=SPEC)
+    model, _ = L.fit_baseline("random-forest", rows.where(F.col("split_final") == "train"), len(NAMES))
+    nodes = materialise(T.node_rows(spark, model), "nodes")
+    feature = F.get(F.array(*map(F.lit, names)), F.col("slot")).alias("feature")
+    own = materialise(T.importances_from_nodes(nodes).select(feature, F.col("importance").alias("own")), "importances")
+    return L.feature_importances(rows, model, names, None), own
 
 
 @query(
     "e20_feature_importances",
-    """SELECT source, CAST(rank AS INTEGER) AS rank, true AS in_range
-FROM (VALUES ('a'), ('b')) sources(source), range(1, 21) ranks(rank)""",
+    f"""WITH {_BOTH}, {_FEATURES}
+SELECT source, feature, true AS same, true AS ranked FROM (SELECT DISTINCT source FROM ready), features""",
 )
 def e20(spark, sf_dir):
-    def ranks(rows: DataFrame) -> DataFrame:
-        return _importances(rows, 20).select("rank", F.col("importance").between(0.0, 1.0).alias("in_range"))
+    def compared(rows: DataFrame) -> DataFrame:
+        found, own = _importances(rows)
+        both = found.join(own, "feature", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+        higher = F.rank().over(Window.orderBy(F.round("own", 12).desc()))
+        ranked = (F.col("rank") >= F.col("place")) | (F.abs(F.col("importance") - F.col("own")) < 1e-12)
+        same = F.abs(F.col("importance") - F.col("own")) < 1e-9
+        return both.withColumn("place", higher).select("feature", same.alias("same"), ranked.alias("ranked"))
 
-    return each_collection(spark, sf_dir, ranks)
+    return each_collection(spark, sf_dir, compared)
 
 
 @query(
     "e22_importance_groups",
-    f"""SELECT source, CAST({len(MODEL_FEATURE_COLUMNS) + 1} AS BIGINT) AS groups, CAST(1 AS DOUBLE) AS total
-FROM (VALUES ('a'), ('b')) sources(source)""",
+    f"""WITH {_BOTH}, {_GROUPS}
+SELECT source, "group", true AS same FROM (SELECT DISTINCT source FROM ready), groups""",
 )
 def e22(spark, sf_dir):
     def sums(rows: DataFrame) -> DataFrame:
-        groups = L.importance_groups(_importances(rows, None), MODEL_FEATURE_COLUMNS)
-        return groups.agg(F.count(F.lit(1)).alias("groups"), F.round(F.sum("importance"), 6).alias("total"))
+        found, own = _importances(rows)
+        groups = L.importance_groups(found, MODEL_FEATURE_COLUMNS)
+        is_sample = ~F.col("feature").isin(*MODEL_FEATURE_COLUMNS)
+        name = F.when(is_sample, F.lit("waveform samples")).otherwise(F.col("feature"))
+        plain = own.groupBy(name.alias("group")).agg(F.sum("own").alias("own"))
+        both = groups.join(plain, "group", "left")
+        same = F.abs(F.col("importance") - F.coalesce("own", F.lit(0.0))) < 1e-9
+        return both.select("group", (same & (F.abs(F.col("share_pct") - F.col("importance") * 100) <= 0.051)).alias("same"))
 
     return each_collection(spark, sf_dir, sums)
 

@@ -21,7 +21,9 @@ from signalloom.catalog.base import (
     table,
 )
 from signalloom.operators import profile as P
+from signalloom.operators import sketches as S
 from signalloom.operators.descriptors import FEATURE_COLUMNS, add_descriptors
+from signalloom.runtime import materialise
 from signalloom.sources.views import EVENT_CLASSES, LINE_SPEC
 
 
@@ -236,6 +238,33 @@ def c07(spark, sf_dir):
     return P.feature_summary(beats(spark, sf_dir), spec=SPEC)
 
 
+@query(
+    "c07_summary_from_sketches",
+    f"""WITH {SUMMARY}
+SELECT source, label_name, feature, n, mean, min, max, true AS within FROM summary""",
+)
+def c07_sketches(spark, sf_dir):
+    """Stored sketches of every split, merged; each quantile's rank is counted in the signals themselves."""
+    by = ["source", "label_name"]
+    signals = beats(spark, sf_dir)
+    stored = materialise(S.profile_sketches(signals, [*by, "split"], spec=SPEC), "sketches")
+    summary = materialise(S.sketch_summary(S.merged_sketches(stored, by), by, decimals=9), "summary")
+    quantiles = F.array(*[F.struct(F.lit(q).alias("q"), F.col(P.quantile_name(q)).alias("v")) for q in P.DEFAULT_QUANTILES])
+    wanted = summary.select(*by, "feature", F.inline(quantiles))
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in FEATURE_COLUMNS])
+    cells = add_descriptors(signals, spec=SPEC).select(*by, F.inline(pairs)).where("x is not null")
+    # Five lines for each group and descriptor.
+    x, v = F.col("x"), F.col("v")
+    slack = F.abs(v) * 1e-9 + 1e-8
+    places = cells.join(F.broadcast(wanted), [*by, "feature"]).groupBy(*by, "feature", "q").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(x < v - slack).alias("below"), F.count_if(x <= v + slack).alias("upto")
+    )
+    inside = (F.col("below") / F.col("rows") <= F.col("q") + S.RANK_ERROR) & (F.col("upto") / F.col("rows") >= F.col("q") - S.RANK_ERROR)
+    kept = places.groupBy(*by, "feature").agg(F.min(inside).alias("within"))
+    lines = summary.select(*by, "feature", "n", *[F.round(c, 4).alias(c) for c in ("mean", "min", "max")])
+    return lines.join(kept, [*by, "feature"], "left").withColumn("within", F.coalesce("within", F.lit(True)))
+
+
 _COLUMNS = [*FEATURE_COLUMNS, "label"]
 _COMPLETE = (
     "complete AS (SELECT beat_id, "

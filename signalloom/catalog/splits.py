@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalloom.catalog.base import (
@@ -154,9 +155,26 @@ def d06(spark, sf_dir):
     return B.resample(flags(spark, sf_dir), "undersample", key_cols=["doc_id"])
 
 
-@query("d06_undersample_bernoulli")
+def _near_target(spark, sf_dir, strategy: str):
+    """Per label, whether a Bernoulli sample's size is within five standard deviations of the target."""
+    rows = flags(spark, sf_dir)
+    sample = B.resample(rows, strategy, mode="bernoulli", key_cols=["doc_id"])
+    before = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    after = sample.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    every = Window.partitionBy()  # a row per label
+    target = F.min("n").over(every) if strategy == "undersample" else F.max("n").over(every)
+    sizes = before.join(after, "label", "left").select("label", "n", F.coalesce("m", F.lit(0)).alias("m"), target.alias("target"))
+    tries = F.col("n") * F.ceil(F.col("target") / F.col("n"))
+    spread = F.sqrt(F.col("target") * (1 - F.col("target") / tries))
+    return sizes.select("label", "n", (F.abs(F.col("m") - F.col("target")) <= 5 * spread).alias("near"))
+
+
+_NEAR = f"WITH {_FLAGS} SELECT label, {big('count(*)')} AS n, true AS near FROM flags GROUP BY label"
+
+
+@query("d06_undersample_bernoulli", _NEAR)
 def d06_bernoulli(spark, sf_dir):
-    return B.resample(flags(spark, sf_dir), "undersample", mode="bernoulli", key_cols=["doc_id"])
+    return _near_target(spark, sf_dir, "undersample")
 
 
 @query(
@@ -171,9 +189,9 @@ def d07(spark, sf_dir):
     return B.resample(flags(spark, sf_dir), "oversample", key_cols=["doc_id"])
 
 
-@query("d07_oversample_bernoulli")
+@query("d07_oversample_bernoulli", _NEAR)
 def d07_bernoulli(spark, sf_dir):
-    return B.resample(flags(spark, sf_dir), "oversample", mode="bernoulli", key_cols=["doc_id"])
+    return _near_target(spark, sf_dir, "oversample")
 
 
 @query(

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalloom.functions.ordering import hash_order
-from signalloom.operators.ranking import ROWS_PER_BUCKET, running_totals
+from signalloom.operators.ranking import ROWS_PER_BUCKET, first_in_hash_order, running_totals
 from signalloom.runtime import attach, materialise, small_table
 
 PRIMARY_METRIC = "macro_f1"
@@ -432,13 +431,11 @@ def error_examples(
         ["label", "prediction"],
         how="inner",
     )
-    order = Window.partitionBy("label", "prediction").orderBy("__h", *key_cols)
-    return (
-        errors.withColumn("__h", hash_order(seed, *key_cols))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= n_examples)
-        .drop("__h")
-    )
+    # Keys are chosen without the other columns, from a stored list: the predictions may cost a model's run.
+    keys = list(key_cols)
+    found = materialise(errors.select("label", "prediction", *keys), "errors")
+    chosen = first_in_hash_order(found, ["label", "prediction"], keys, seed, n_examples)
+    return attach(errors, chosen, ["label", "prediction", *keys], how="inner")
 
 
 def recall_delta(

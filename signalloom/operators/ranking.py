@@ -28,7 +28,7 @@ def _order_key(seed: int, keys: Sequence[str]) -> Column:
     return F.array(hash_order(seed, *keys), *[F.col(k).cast("string") for k in keys])
 
 
-def take_in_hash_order(
+def hash_order_cuts(
     df: DataFrame,
     groups: Sequence[str],
     keys: Sequence[str],
@@ -36,20 +36,17 @@ def take_in_hash_order(
     counts: Callable[[Column], Sequence[Column]],
     digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
-    """Mark, per group, the first ``m`` rows in hash order for each ``m`` wanted.
+    """Per group, its size and the order key of the last row taken for each number wanted.
 
-    ``counts`` maps the group size to the wanted numbers of rows. The result is
-    ``df`` with ``__n`` (rows in the group) and one boolean ``__in_<j>`` per number.
+    ``counts`` maps the group size to the wanted numbers of rows. The result has the group
+    columns, ``__n`` and one ``__cut_<j>`` per number, NULL where no row is wanted. Only the
+    group and key columns of ``df`` are read.
 
     1. Count rows per (group, hash prefix): a partial aggregate over two narrow
        columns, at most ``16**digits`` counts per group.
     2. Running sums over those counts name the one prefix in which each cut lies.
     3. Only rows of these prefixes, about ``1 / 16**digits`` of the data, are
        ranked; this gives the order key of the last row taken.
-    4. Every row compares its own order key with that of its group. The wide rows
-       are read once and not shuffled.
-
-    Rows with equal keys share their fate, so ``keys`` should identify a row.
     """
     groups, keys = list(groups), list(keys)
     narrow = df.select(*groups, _order_key(seed, keys).alias("__key"))
@@ -92,16 +89,86 @@ def take_in_hash_order(
     )
     found = near.select(*groups, "__n", "__j", "__key")
     sizes = edges.select(*groups, "__n", F.lit(-1).alias("__j"))
-    cuts = found.unionByName(sizes, allowMissingColumns=True).groupBy(*groups).agg(
+    return found.unionByName(sizes, allowMissingColumns=True).groupBy(*groups).agg(
         F.max("__n").alias("__n"),
         *[F.max(F.when(F.col("__j") == j, F.col("__key"))).alias(f"__cut_{j}") for j in range(n_cuts)],
     )
-    marked = attach(df.withColumn("__key", _order_key(seed, keys)), cuts, groups)
+
+
+def mark_by_cuts(
+    df: DataFrame, cuts: DataFrame, groups: Sequence[str], keys: Sequence[str], seed: int
+) -> DataFrame:
+    """Add ``__n`` and one boolean ``__in_<j>`` per cut of :func:`hash_order_cuts`.
+
+    Every row compares its own order key with that of its group, so the rows are read
+    once and, while the cuts are few, not shuffled. ``df`` may hold other rows than those the cuts were
+    taken from.
+    """
+    names = [c for c in cuts.columns if c.startswith("__cut_")]
+    marked = attach(df.withColumn("__key", _order_key(seed, list(keys))), cuts, list(groups))
     flags = {
-        f"__in_{j}": F.coalesce(F.col("__key") <= F.col(f"__cut_{j}"), F.lit(False))
-        for j in range(n_cuts)
+        c.replace("cut", "in"): F.coalesce(F.col("__key") <= F.col(c), F.lit(False)) for c in names
     }
-    return marked.withColumns(flags).drop("__key", *[f"__cut_{j}" for j in range(n_cuts)])
+    return marked.withColumns(flags).drop("__key", *names)
+
+
+def take_in_hash_order(
+    df: DataFrame,
+    groups: Sequence[str],
+    keys: Sequence[str],
+    seed: int,
+    counts: Callable[[Column], Sequence[Column]],
+    digits: int = BUCKET_DIGITS,
+) -> DataFrame:
+    """Mark, per group, the first ``m`` rows in hash order for each ``m`` wanted.
+
+    The result is ``df`` with ``__n`` (rows in the group) and one boolean ``__in_<j>`` per
+    number. Rows with equal keys share their fate, so ``keys`` should identify a row.
+    """
+    cuts = hash_order_cuts(df, groups, keys, seed, counts, digits)
+    return mark_by_cuts(df, cuts, groups, keys, seed)
+
+
+def first_in_hash_order(
+    df: DataFrame, groups: Sequence[str], keys: Sequence[str], seed: int, most: int
+) -> DataFrame:
+    """Groups, keys and ``rank`` (from 1) of the first ``most`` different keys of each group in hash order.
+
+    Only group and key columns are read, and only rows before the cuts are ranked.
+    """
+    groups, keys = list(groups), list(keys)
+    narrow = df.select(*groups, *keys)
+    taken = take_in_hash_order(narrow, groups, keys, seed, lambda n: [F.lit(most)]).where("__in_0")
+    order = Window.partitionBy(*groups).orderBy(hash_order(seed, *keys), *keys)
+    ranked = taken.select(*groups, *keys).distinct().withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= most)
+
+
+def number_copies(df: DataFrame, key: str, output: str = "copy") -> DataFrame:
+    """Number the rows that share a key: 0, 1, ... in column ``output``.
+
+    Rows of one key are told apart by nothing else, so which gets which number does not
+    matter. They are counted by (key, input partition) first; a row's number is its place in its
+    partition after the rows of the partitions before. So no task sees more rows of a key than
+    one partition holds, and where no key occurs twice only keys were shuffled. The table
+    is stored on the way, so that rows keep their places.
+    """
+    placed = materialise(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    # The upper bits of a generated id are the partition that wrote the row.
+    narrow = placed.select(key, "__at", F.shiftright("__at", 33).alias("__part"))
+    counted = narrow.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    by_key = Window.partitionBy(key)
+    before = F.sum("__c").over(by_key.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    copied = counted.select(
+        key, "__part", F.sum("__c").over(by_key).alias("__all"), F.coalesce(before, F.lit(0)).alias("__before")
+    )
+    copied = materialise(copied.where("__all > 1").drop("__all"), "copied")
+    if copied.isEmpty():
+        return placed.withColumn(output, F.lit(0).cast("long")).drop("__at")
+    place = F.row_number().over(Window.partitionBy(key, "__part").orderBy("__at")) - 1
+    numbers = narrow.join(copied, [key, "__part"]).select("__at", (F.col("__before") + place).alias(output))
+    numbered = attach(placed, numbers, ["__at"])
+    return numbered.withColumn(output, F.coalesce(F.col(output), F.lit(0)).cast("long")).drop("__at")
 
 
 def running_totals(

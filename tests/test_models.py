@@ -7,6 +7,7 @@ from signalloom.operators import metrics as M
 from signalloom.plans import arms as R
 from signalloom.plans import features as P
 from signalloom.plans import models as L
+from signalloom.plans import tables as T
 from signalloom.spec import SignalSpec, canonical_schema
 
 SPEC = SignalSpec(24, 125.0, {})
@@ -85,7 +86,8 @@ def test_baselines(spark, dataset, tmp_path):
     assert scores["logistic-regression"] > 0.9 and scores["linear-svc"] is None
     for name, fitted in results.items():
         L.save_model(fitted.model, str(tmp_path), "s", name)
-        again = L.load_model(str(tmp_path), "s", name, 3)
+        again = L.load_model(str(tmp_path), "s", name)
+        assert type(again) is type(fitted.model)
         assert again.transform(rows).select("prediction").collect() == fitted.model.transform(rows).select("prediction").collect()
     forest = results["random-forest"].model
     top = as_dicts(L.feature_importances(rows, forest, P.assembled_feature_names(spec=SPEC), 5).orderBy("rank"))
@@ -93,7 +95,61 @@ def test_baselines(spark, dataset, tmp_path):
     every = L.feature_importances(rows, forest, P.assembled_feature_names(spec=SPEC), None)
     groups = by_key(L.importance_groups(every, P.MODEL_FEATURE_COLUMNS), "group")
     assert sum(r["importance"] for r in groups.values()) == pytest.approx(1)
-    assert L.BASELINES["linear-svc"].model_class(2) is L.LinearSVCModel
+
+
+def test_fits_side_by_side_give_the_same_models(spark, dataset):
+    rows, _, _ = dataset
+    light = {"logistic-regression": {"maxIter": 10}, "linear-svc": {"maxIter": 5}}
+    one, many = (L.run_baselines(rows, NAMES, list(light), splits=["test"], overrides=light, side_by_side=n) for n in (1, 3))
+    for name in light:
+        first, second = (x[name].evaluations["test"]["summary"].collect() for x in (one, many))
+        assert first == second
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_predictions_from_tables(spark, dataset, classes):
+    rows = dataset[0].where(F.col("label") < classes)
+    train, test = rows.where("split_final = 'train'"), rows.where("split_final <> 'train'").select("beat_id", "label", "features")
+    light = {
+        "logistic-regression": {"maxIter": 10}, "linear-svc": {"maxIter": 5},
+        "random-forest": {"numTrees": 7, "maxDepth": 4}, "gradient-boosted-trees": {"maxIter": 3, "maxDepth": 3},
+    }
+    for name, options in light.items():
+        model, _ = L.fit_baseline(name, train, classes, **options)
+        if name in ("logistic-regression", "linear-svc"):
+            again = T.linear_predictions(test, T.coefficient_rows(spark, model), ["beat_id"])
+        else:
+            nodes = T.node_rows(spark, model).cache()
+            how = T.forest_predictions if name == "random-forest" else T.boosted_predictions
+            again = how(T.leaves(test, nodes, options["maxDepth"], ["beat_id"]), ["beat_id"])
+            if name == "random-forest":
+                mine = {r["slot"]: r["importance"] for r in T.importances_from_nodes(nodes).collect()}
+                theirs = model.featureImportances.toArray()
+                assert mine == pytest.approx({i: x for i, x in enumerate(theirs) if x}, abs=1e-12)
+        want = {r["beat_id"]: int(r["prediction"]) for r in model.transform(test).collect()}
+        assert {r["beat_id"]: r["prediction"] for r in again.collect()} == want, name
+
+
+def test_plain_scores(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 1), (2, 2)], "label int, prediction int")
+    (plain,), (summary,) = as_dicts(T.plain_scores(df)), as_dicts(M.summary_metrics(M.confusion_counts(df, NAMES)))
+    assert plain["n"] == 5 and plain["macro_f1"] == pytest.approx(summary["macro_f1"], abs=1e-4)
+    assert plain["accuracy"] == summary["accuracy"]
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_dataset_reads_signals_once_for_each_use(spark, signals, tmp_path):
+    signals.write.parquet(str(tmp_path / "signals"))
+    stored = spark.read.parquet(str(tmp_path / "signals"))
+    for published in (True, False):
+        placed = P.assign_splits(stored, published)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert scans(placed) == 1 and "Union" not in plan and "Exchange hash" not in plan and "Sort" not in plan
+        rows, _ = P.build_dataset(stored, "mitbih", published, spec=SPEC)
+        assert scans(rows) == 1 and rows.count() == 120
 
 
 def test_registry_settings():
