@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.runtime import materialise
+from signalloom.llm.tables import settle
 
 
 class Forest:
@@ -47,7 +47,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     larger, smaller = F.greatest(a, b), F.least(a, b)
     links = links.where(F.col(a) != F.col(b)).select(larger.alias("a"), smaller.alias("b")).distinct()
-    links = materialise(links, "links")
+    links = settle(links, "links")
     before = _signature(links)
     while before[0]:
         both = links.union(links.select("b", "a"))
@@ -56,7 +56,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         hung = links.join(least, "a")
         links = hung.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        links = materialise(links.distinct(), "links")
+        links = settle(links.distinct(), "links")
         after = _signature(links)
         if after == before:
             break

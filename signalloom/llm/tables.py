@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.runtime import scratch_path
 
+#: Tables made in each open :func:`phase`.
+_PHASES: list[list[str]] = []
+
 #: Tells Spark to delete a statement's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def phase(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables settled inside when the block ends, but for those that outlive it."""
+    made: list[str] = []
+    _PHASES.append(made)
+    try:
+        yield
+    finally:
+        _PHASES[:] = [m for m in _PHASES if m is not made]
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def settle(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; its shuffle files go at once.
 
-    Lineage ends here: a lost executor costs what follows, not what came before.
+    Lineage ends here: a lost executor costs what follows, not what came before. A table that
+    ``outlives`` the open phase belongs to the one around it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    owners = _PHASES[: -1 if outlives else None]
+    if owners:
+        owners[-1].append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

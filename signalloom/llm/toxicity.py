@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm.batches import raw_texts, slices
-from signalloom.llm.tables import settle
+from signalloom.llm.tables import phase, settle
 
 #: What is not a letter, figure or part of one separates words.
 _MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -51,6 +51,8 @@ class Settings:
     prior: float = 3.0
     #: Different words, as a power of two, whose scores every task holds; more are joined by shuffle.
     slot_bits: int = 22
+    #: Precision of the prior of the curve's standardised weights.
+    curve_prior: float = 2.0
     #: Labelled rows the logistic curve is fitted on, chosen by a hash of the key.
     calibration_rows: int = 100_000
     folds: int = 5
@@ -207,6 +209,11 @@ def class_models(grams: DataFrame, settings: Settings) -> DataFrame:
     one. A row with the key of a history and ``UNSEEN`` holds what each class gives a letter that
     neither has seen there, as a share of the pooled probability.
     """
+    with phase(grams.sparkSession):
+        return _class_models(grams, settings)
+
+
+def _class_models(grams: DataFrame, settings: Settings) -> DataFrame:
     d, prior = settings.discount, settings.prior
     suffixes = suffix_counts(grams, settings)
     shared = reduce(DataFrame.union, _shared(suffixes, settings))
@@ -218,7 +225,7 @@ def class_models(grams: DataFrame, settings: Settings) -> DataFrame:
     seen = rows.join(history, "history").join(shared, "gram")
     seen = seen.select(F.col("gram").alias("key"), *[(own[c] + spare[c] * F.col("p")).alias(f"p{c}") for c in (0, 1)])
     unseen = history.select(F.col("history").bitwiseOR(F.lit(UNSEEN)).alias("key"), *[spare[c].alias(f"p{c}") for c in (0, 1)])
-    return settle(seen.union(unseen), "models")
+    return settle(seen.union(unseen), "models", outlives=True)
 
 
 def log_ratios(grams: DataFrame, settings: Settings) -> DataFrame:
@@ -255,11 +262,12 @@ def word_scores(words: DataFrame, ratios: DataFrame, settings: Settings) -> Data
                 gram, of = grams_of(batch.column(0).to_pylist(), settings.order)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(gram)], names=["word", "gram"])
 
-    # Letters are cut twice: ten rows a word are cheaper to make than to keep.
-    grams = settle(words, "different").mapInArrow(letters, "word binary, gram long")
-    ratio = settle(settled_ratios(settle(grams.select("gram").distinct(), "asked"), ratios, settings), "ratios")
-    scores = grams.join(ratio, "gram").groupBy("word").agg(F.sum("ratio").alias("score"))
-    return settle(scores, "words")
+    with phase(words.sparkSession):
+        # Letters are cut twice: ten rows a word are cheaper to make than to keep.
+        grams = settle(words, "different").mapInArrow(letters, "word binary, gram long")
+        ratio = settled_ratios(settle(grams.select("gram").distinct(), "asked"), ratios, settings)
+        scores = grams.join(ratio, "gram").groupBy("word").agg(F.sum("ratio").alias("score"))
+        return settle(scores, "words", outlives=True)
 
 
 def settled_ratios(grams: DataFrame, ratios: DataFrame, settings: Settings) -> DataFrame:
@@ -267,25 +275,40 @@ def settled_ratios(grams: DataFrame, ratios: DataFrame, settings: Settings) -> D
 
     Where its history was seen, both classes give it their share of the same pooled
     probability; where not, it is judged after the next shorter history. 0 with no counts at all.
+    Sequences that are settled leave; each length of what both classes know is read once.
     """
-    chain = []
-    for k in range(settings.order):
-        gram = _suffix(F.col("gram"), k)
-        chain += [gram, _history(gram).bitwiseOR(F.lit(UNSEEN))]
-    asked = grams.select("gram", F.posexplode(F.array(*chain)).alias("step", "key")).where("key is not null")
-    first = asked.join(ratios, "key").groupBy("gram").agg(F.min_by("ratio", "step").alias("ratio"))
-    return grams.join(first, "gram", "left").select("gram", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+    size = _length(F.col("key").bitwiseAND(F.lit(UNSEEN - 1)))
+    is_history = F.col("key").bitwiseAND(F.lit(UNSEEN)) != 0
+    found: list[DataFrame] = []
+    # Sequences from the begin of a word are shorter; they join the others at their own length.
+    rest, waiting = None, grams
+    for length in range(settings.order, 0, -1):
+        here = waiting.where(_length(F.col("gram")) == length)
+        short = here.select("gram", F.col("gram").alias("tail"))
+        if rest is not None:
+            cut = rest.select("gram", _shorter(F.col("tail")).alias("tail"))
+            short = short.union(cut)
+        known = ratios.where(~is_history & (size == length)).select(F.col("key").alias("tail"), F.col("ratio").alias("known"))
+        after = ratios.where(is_history & (size == length - 1)).select(F.col("key").alias("history"), F.col("ratio").alias("unknown"))
+        asked = short.withColumn("history", _history(F.col("tail")).bitwiseOR(F.lit(UNSEEN)))
+        # The histories first: what is known has one.
+        told = asked.join(after, "history", "left").join(known, "tail", "left")
+        level = settle(told.select("gram", "tail", F.coalesce("known", "unknown").alias("ratio")), f"length{length}")
+        found.append(level.where("ratio is not null").select("gram", "ratio"))
+        rest = level.where("ratio is null")
+    nothing = rest.select("gram", F.lit(0.0).alias("ratio"))
+    return reduce(DataFrame.union, [*found, nothing])
 
 
 def _word_hash(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    """What Spark's ``xxhash64`` gives for a binary value, unsigned."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
 
 
 class WordTable:
     """Scores of all words by a 64-bit hash, for as many as every task may hold."""
 
-    def __init__(self, words: list[bytes], scores: np.ndarray):
-        hashes = _word_hash(words)
+    def __init__(self, hashes: np.ndarray, scores: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.scores = hashes[order], scores[order]
 
@@ -313,8 +336,8 @@ def measures(
     """
     if scores.count() > 1 << settings.slot_bits:
         return shuffled_measures(docs, scores, key, text, also)
-    rows = scores.toArrow()
-    table = WordTable(rows.column("word").to_pylist(), rows.column("score").to_numpy())
+    rows = scores.select(F.xxhash64("word").alias("hash"), "score").toArrow()
+    table = WordTable(rows.column("hash").to_numpy().view(np.uint64), rows.column("score").to_numpy())
     shared, name = docs.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches):
@@ -371,12 +394,13 @@ def features() -> list[Column]:
     return [F.signum(F.col(n)) * F.log1p(20 * F.abs(F.col(n))) for n in MEASURES]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50, prior: float = 0.0) -> np.ndarray:
     """Weights of a logistic curve by Newton steps; the last one is the constant."""
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-12
     z = np.column_stack([(x - center) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
-    penalty = ridge * len(z) * np.diag([1.0] * x.shape[1] + [1e-3]) / 10
+    # A prior of constant weight decides where few rows are known and fades where there are many.
+    penalty = max(ridge * len(z) / 10, prior) * np.diag([1.0] * x.shape[1] + [1e-3])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty + 1e-9 * np.eye(len(w)), z.T @ (y - p) - penalty @ w)
@@ -407,15 +431,16 @@ def scored(
     which = fold(key, settings.folds)
     # Both tables grow with the corpus: a shuffle join at every size.
     training = docs.select(key, text).join(marks.where(~which.isin(0, settings.folds - 1)).hint("merge"), key)
-    grams = class_counts(training, text, "__toxic", settings)
-    scores = word_scores(different_words(docs, text), log_ratios(grams, settings), settings)
-    found = settle(measures(docs, scores, key, text, settings, also), "measures")
+    with phase(docs.sparkSession):
+        ratios = log_ratios(class_counts(training, text, "__toxic", settings), settings)
+        scores = word_scores(different_words(docs, text), ratios, settings)
+        found = settle(measures(docs, scores, key, text, settings, also), "measures", outlives=True)
     x = features()
     fit = found.join(marks.where(which == settings.folds - 1), key).select(*[c.alias(f"x{k}") for k, c in enumerate(x)], F.col("__toxic").cast("double").alias("y"), F.xxhash64(key).alias("h"))
     sample = fit.orderBy("h", "x0").limit(settings.calibration_rows).toArrow()
     y = sample.column("y").to_numpy()
     if len(y) and 0 < y.sum() < len(y):
-        w = logistic(np.column_stack([sample.column(f"x{k}").to_numpy() for k in range(len(x))]), y)
+        w = logistic(np.column_stack([sample.column(f"x{k}").to_numpy() for k in range(len(x))]), y, prior=settings.curve_prior)
         line = F.lit(float(w[-1]))
         for weight, c in zip(w, x):
             line = line + F.lit(float(weight)) * c

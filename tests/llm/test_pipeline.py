@@ -3,7 +3,8 @@
 import corpus_pipeline
 from corpus_rows import ODD_ROWS
 from pyspark.sql import functions as F
-from test_duplicates import plain_fingerprint, plain_groups, without_repeats
+from test_duplicates import without_repeats
+from test_similar import brute_groups
 
 import __spark_entry__
 from signalloom.llm.queries import QUERIES
@@ -33,9 +34,8 @@ def test_stages_on_a_whole_table(spark, folder, documents):
 
     three = settle(corpus_pipeline.near_duplicates(spark, two, folder), "three")
     rows = two.toPandas()
-    roots = plain_groups([plain_fingerprint(t) for t in rows.text])
     first = {}
-    for key, root in zip(rows.doc_id, roots):
+    for key, root in zip(rows.doc_id, brute_groups(rows.text.tolist())):
         first[root] = min(first.get(root, key), key)
     assert sorted(three.toPandas().doc_id) == sorted(first.values())
 
@@ -55,7 +55,7 @@ def test_stages_with_odd_rows(spark, odd, empty, folder, tmp_path):
             assert out.count() <= docs.count() or name == "best_fit_packing"
     once = corpus_pipeline.near_duplicates(spark, odd, folder).collect()
     texts = [t or "" for _, t in ODD_ROWS]
-    assert len(once) == len(set(plain_groups([plain_fingerprint(t) for t in texts])))
+    assert len(once) == len(set(brute_groups(texts)))
 
 
 def test_run(spark, folder):
