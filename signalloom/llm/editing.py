@@ -78,8 +78,8 @@ class TokenTree:
             self.sums[node] += change
             node //= 2
 
-    def edit(self, start: int, length: int, replacement: str) -> int:
-        """Replace ``length`` characters from ``start`` on; gives the tokens afterwards.
+    def region(self, start: int, length: int, replacement: str) -> tuple[int, int, str]:
+        """(first leaf, last leaf, their text) of what an edit touches, with the edit made in the text.
 
         Places beyond the text mean its end, negative ones its begin.
         """
@@ -89,14 +89,22 @@ class TokenTree:
         last, _ = self._find(stop)
         low, high = self._beside(first, -1), self._beside(max(last, first), 1)
         before = sum(map(len, self.leaves[low:first])) + inside
-        region = "".join(self.leaves[low : high + 1])
-        region = region[:before] + replacement + region[before + stop - start :]
-        ((_, counts),) = self.encoder.counts([region])
-        self.encoded_again += len(region)
-        self._set(low, region, int(counts.sum()))
+        text = "".join(self.leaves[low : high + 1])
+        return low, high, text[:before] + replacement + text[before + stop - start :]
+
+    def put(self, low: int, high: int, text: str, tokens: int) -> None:
+        """Let a region have another text, whose tokens are known."""
+        self.encoded_again += len(text)
+        self._set(low, text, tokens)
         for leaf in range(low + 1, high + 1):
             if self.leaves[leaf]:
                 self._set(leaf, "", 0)
+
+    def edit(self, start: int, length: int, replacement: str) -> int:
+        """Replace ``length`` characters from ``start`` on; gives the tokens afterwards."""
+        found = self.region(start, length, replacement)
+        ((_, counts),) = self.encoder.counts([found[2]])
+        self.put(*found, int(counts.sum()))
         return self.tokens
 
 
@@ -113,15 +121,16 @@ def edited_counts(
 
     def run(batch):
         encoder = library_encoder(path)
-        rows = []
-        for (pieces, counts), changes in zip(encoder.counts(texts(batch.column(1))), batch.column(2).to_pylist()):
-            tree = TokenTree(pieces, counts, encoder)
-            n, done = tree.tokens, 0
-            for e in changes or []:
-                if e is not None and e["start"] is not None:
-                    tree.edit(e["start"], e["length"] or 0, e["text"] or "")
-                    done += 1
-            rows.append((n, done, tree.tokens, tree.characters, tree.encoded_again))
+        trees = [TokenTree(p, c, encoder) for p, c in encoder.counts(texts(batch.column(1)))]
+        before = [t.tokens for t in trees]
+        changes = [[e for e in x or [] if e is not None and e["start"] is not None] for x in batch.column(2).to_pylist()]
+        # Edits of one text follow one another; those of different texts are encoded in one call.
+        for turn in range(max(map(len, changes), default=0)):
+            due = [(t, c[turn]) for t, c in zip(trees, changes) if turn < len(c)]
+            found = [t.region(e["start"], e["length"] or 0, e["text"] or "") for t, e in due]
+            for (tree, _), region, (_, counts) in zip(due, found, encoder.counts([r[2] for r in found])):
+                tree.put(*region, int(counts.sum()))
+        rows = [(n, len(c), t.tokens, t.characters, t.encoded_again) for n, c, t in zip(before, changes, trees)]
         names = ["n_tokens", "n_edits", "edited_tokens", "edited_chars", "encoded_again"]
         return {key: batch.column(0)} | {n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows))}
 
