@@ -41,7 +41,8 @@ class Band:
 
     A term of the lexicon is in ``low`` of all documents, so the lexicon has at most
     (mean number of different terms of a document) / ``low`` terms, however many documents
-    there are. Should that exceed ``most`` terms, ``low`` doubles until it does not.
+    there are. Up to ``most`` terms go to every task; a larger lexicon stays a table that the
+    terms of the documents are joined to, with the same fingerprints.
     """
 
     low: float = 0.004
@@ -55,6 +56,11 @@ def terms_of(raw: bytes) -> set[bytes]:
     return set(raw.lower().translate(_PLAIN).split())
 
 
+def untold(found: set[bytes]) -> str:
+    """The fingerprint of a text that has these terms, none of them in the lexicon."""
+    return "none:" + xxhash.xxh64_hexdigest(b"\0".join(sorted(found)))
+
+
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, n): in how many rows each term occurs; counted in the tasks before the shuffle."""
 
@@ -77,31 +83,30 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, band: Band = Band(), text: str = "text") -> list[bytes]:
-    """The terms of the band, sorted."""
+def lexicon(docs: DataFrame, band: Band = Band(), text: str = "text") -> DataFrame:
+    """(term, n): the terms of the band and the number of documents that have them."""
     n = docs.count()
     counted = document_frequencies(docs, text)
-    high = max(band.high * n, 2)
-    kept = settle(counted.where(F.col("n").between(max(band.low * n, 2), high)), "lexicon")
-    low = band.low
-    while kept.where(F.col("n") >= low * n).count() > band.most:
-        low *= 2
-    return sorted(bytes(t) for t in kept.where(F.col("n") >= low * n).toArrow().column("term").to_pylist())
+    return settle(counted.where(F.col("n").between(max(band.low * n, 2), max(band.high * n, 2))), "lexicon")
 
 
 @dataclass
 class Printer:
-    """Fingerprints with a given lexicon."""
+    """Fingerprints with a given lexicon; of a text's lexicon terms alone, it needs no list of them."""
 
     terms: list[bytes]
     band: Band = field(default_factory=Band)
 
     def __post_init__(self):
+        self.terms = sorted(self.terms)
         self.place = {t: i for i, t in enumerate(self.terms)}
-        self.draws = np.array(
-            [np.frombuffer(hashlib.shake_128(t).digest(4 * self.band.subsets), "<u4") for t in self.terms] or np.zeros((0, self.band.subsets)),
-            np.uint32,
-        )
+        self.ids, self.draws = self.drawn(self.terms)
+
+    def drawn(self, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit id of each term, and a 32-bit draw for each subset."""
+        size = 4 * self.band.subsets
+        raw = np.frombuffer(b"".join(hashlib.shake_128(t).digest(size + 8) for t in terms), np.uint8).reshape(len(terms), size + 8)
+        return raw[:, size:].copy().view("<u8")[:, 0], raw[:, :size].copy().view("<u4")
 
     def __getstate__(self):
         return self.terms, self.band
@@ -116,13 +121,15 @@ class Printer:
         A text without a term of the lexicon is told by all its terms instead.
         """
         found = terms_of(raw)
-        place = self.place
-        mine = sorted(place[t] for t in found if t in place)
-        if not mine:
-            return "none:" + xxhash.xxh64_hexdigest(b"\0".join(sorted(found)))
-        rate = min(max(round(math.log(len(mine) / 1.5, 4)), 0), self.band.rates - 2)
-        ids = np.array(mine, np.uint32)
-        draws = self.draws[ids]
+        mine = sorted(self.place[t] for t in found if t in self.place)
+        return self.printed(self.ids[mine], self.draws[mine]) if mine else untold(found)
+
+    def of_terms(self, mine: list[bytes]) -> str:
+        """The fingerprint of a text from its different lexicon terms, of which there is one."""
+        return self.printed(*self.drawn(sorted(mine)))
+
+    def printed(self, ids: np.ndarray, draws: np.ndarray) -> str:
+        rate = min(max(round(math.log(len(ids) / 1.5, 4)), 0), self.band.rates - 2)
         parts = [f"{rate}:"]
         for k in (rate, rate + 1):
             inside = draws < (1 << 32) // 4**k if k else np.ones_like(draws, bool)
@@ -170,7 +177,9 @@ def fingerprints_with_edits(docs: DataFrame, band: Band = Band(), key: str = "do
     the checksum of their text. Rows are dealt to ranges of keys; each range also gets the
     first row of the one that follows, so no order is kept in one task.
     """
-    printer = Printer(lexicon(docs, band, text), band)
+    words = lexicon(docs, band, text)
+    small = words.count() <= band.most
+    printer = Printer([bytes(t) for t in words.toArrow().column("term").to_pylist()] if small else [], band)
     limits = bucket_limits(docs, key, BUCKET_ROWS)
 
     def placed(batches):
@@ -229,10 +238,69 @@ def fingerprints_with_edits(docs: DataFrame, band: Band = Band(), key: str = "do
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=OUTPUT)
 
+    def spread(batches):
+        """Three rows for each text (its own, its edited and its next one) with their different terms."""
+        held, place = None, 0
+        for batch in slices(batches, 64):
+            for bucket, after, k, text_now in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), texts(batch.column(4))):
+                if after and held is None:
+                    continue
+                if held is not None and held[0] == bucket:
+                    _, key_was, text_was = held
+                    changed = edited(text_was, text_now).encode()
+                    found = [terms_of(x) for x in (text_was.encode(), changed, text_now.encode())]
+                    same = {"bucket": bucket, "place": place, "key": key_was, "n_chars": len(text_was)}
+                    same["edited_sha256"] = hashlib.sha256(changed).hexdigest()
+                    out = [same | {"which": w, "untold": untold(f), "terms": list(f)} for w, f in enumerate(found)]
+                    yield pa.RecordBatch.from_pylist(out, schema=SPREAD)
+                    place += 1
+                held = None if after else (bucket, k, text_now)
+
     moved = docs.select(key, text).mapInArrow(dealt, "bucket long, after boolean, key long, crc long, text string")
     moved = moved.repartition("bucket").sortWithinPartitions("bucket", "after", F.col("key").desc_nulls_last(), F.col("crc").desc())
     schema = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    if not small:
+        kinds = "bucket long, place long, key long, n_chars long, edited_sha256 string, which int, untold string, terms array<binary>"
+        return joined(settle(moved.mapInArrow(spread, kinds), "terms"), words, printer, schema).withColumnRenamed("key", key)
     return moved.mapInArrow(compared, schema).withColumnRenamed("key", key)
 
 
+def joined(rows: DataFrame, words: DataFrame, printer: Printer, schema: str) -> DataFrame:
+    """Fingerprints of rows of terms by a join with the lexicon.
+
+    A term of the lexicon is dealt to parts by the row it comes from, so that one which a
+    tenth of the documents have is no single task's; terms outside leave at the join.
+    """
+    place = ["bucket", "place", "which"]
+    deal = F.pmod(F.xxhash64("bucket", "place"), F.lit(DEALT)).cast("int")
+    each = rows.select(*place, deal.alias("deal"), F.explode("terms").alias("term"))
+    dealt = words.select("term", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("deal"))
+    mine = each.join(dealt.hint("shuffle_hash"), ["term", "deal"]).groupBy(*place).agg(F.collect_list("term").alias("mine"))
+    whole = rows.drop("terms").join(mine, place, "left")
+
+    def printed(batches):
+        for batch in slices(batches):
+            found = [u if m is None else printer.of_terms(m) for m, u in zip(*(batch.column(c).to_pylist() for c in ("mine", "untold")))]
+            yield batch.drop_columns(["mine", "untold"]).append_column("fingerprint", pa.array(found, pa.string()))
+
+    one = whole.mapInArrow(printed, "bucket long, place long, which int, key long, n_chars long, edited_sha256 string, fingerprint string")
+    same = ["bucket", "place", "key", "n_chars", "edited_sha256"]
+    three = [F.max(F.when(F.col("which") == w, F.col("fingerprint"))).alias(f"f{w}") for w in range(3)]
+
+    def compared(batches):
+        for batch in slices(batches):
+            own, changed, after = (batch.column(f"f{w}").to_pylist() for w in range(3))
+            near = [pa.array([likeness(a, b, printer.band.subsets) for a, b in zip(own, x)], pa.float64()) for x in (changed, after)]
+            columns = [batch.column(c) for c in ("key", "n_chars", "edited_sha256", "f0", "f1")]
+            yield pa.RecordBatch.from_arrays([*columns, *near], names=OUTPUT)
+
+    return one.groupBy(*same).agg(*three).mapInArrow(compared, schema)
+
+
+#: Parts to which the rows of a common term are dealt.
+DEALT = 64
+SPREAD = pa.schema(
+    [("bucket", pa.int64()), ("place", pa.int64()), ("key", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
+     ("which", pa.int32()), ("untold", pa.string()), ("terms", pa.list_(pa.binary()))]
+)
 OUTPUT = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

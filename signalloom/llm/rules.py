@@ -3,8 +3,9 @@
 Statistics of whole texts are Spark expressions. Sequential covering learns from labelled
 statistics: a rule grows by the threshold that gains most, is pruned on rows held back,
 and takes its rows out before the next rule grows. Every step is one aggregate over a
-narrow table of bin numbers; only counts by statistic and bin come to the driver. The
-list is applied as one ordered CASE expression.
+narrow table of bin numbers; only counts by statistic and bin come to the driver. Bins are
+cut anew in the rows that the rules so far leave, until such a round finds no further rule.
+The list is applied as one ordered CASE expression.
 """
 
 from __future__ import annotations
@@ -149,11 +150,10 @@ def verdict(rules: list[Rule], keep: Column) -> Column:
 @dataclass(frozen=True)
 class Settings:
     bins: int = 32
-    max_rules: int = 8
     max_conditions: int = 3
-    #: A rule that is less often right on the rows held back ends the list.
+    #: A rule that is less often right on the rows held back is not taken.
     precision: float = 0.97
-    #: Fewest bad rows, held back, that a rule must catch.
+    #: Fewest bad rows that a rule must catch, of those it grows on and of those held back.
     support: int = 3
 
 
@@ -161,49 +161,67 @@ def learn(labelled: DataFrame, key: str, bad: str, settings: Settings = Settings
     """Learn rules that reject rows whose ``bad`` is true, from statistics and labels.
 
     All labelled rows count. A third of them, chosen by a hash of the key, prunes. Labels
-    that are NULL say nothing; without a bad or a good row the list is empty.
+    that are NULL say nothing; without a bad or a good row the list is empty. Where a rule is
+    refused, the rows it grew on are set aside and growing goes on among the others, until no
+    region with ``support`` bad rows is left.
     """
+    prune = F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(3)) == 0
+    marked = labelled.where(F.col(bad).isNotNull()).select(*STATISTICS, F.col(bad).cast("int").alias("bad"), prune.alias("prune"))
+    marked = settle(marked, "labelled")
+    rules: list[Rule] = []
+    fine = False
+    while True:
+        found = _cover(marked.where(verdict(rules, F.lit(True))), settings, fine)
+        if fine and not found:
+            return rules
+        rules, fine = rules + found, True
+
+
+def _cover(rows: DataFrame, settings: Settings, fine: bool) -> list[Rule]:
+    """Rules for rows that no rule holds for yet. Thresholds are quantiles of the rows; in a
+    ``fine`` round, where bad rows have become rare, also those of the bad ones."""
     shares = [k / settings.bins for k in range(1, settings.bins)]
-    cuts = labelled.agg(*[F.percentile_approx(s, shares, 10_000).alias(s) for s in STATISTICS]).first().asDict()
-    cuts = {s: sorted(set(v)) for s, v in cuts.items() if v}
+    among = {"": F.lit(True), "__bad": F.col("bad") == 1} if fine else {"": F.lit(True)}
+    wanted = [F.percentile_approx(F.when(only, F.col(s)), shares, 10_000).alias(s + a) for s in STATISTICS for a, only in among.items()]
+    quantiles = rows.agg(*wanted).first().asDict()
+    cuts = {s: sorted({x for a in among for x in quantiles[s + a] or []}) for s in STATISTICS}
+    cuts = {s: v for s, v in cuts.items() if v}
     if not cuts:
         return []
-    level = lambda s: sum(((F.col(s) > F.lit(c)).cast("int") for c in cuts[s]), F.lit(0))
-    table = labelled.where(F.col(bad).isNotNull()).select(
-        *[level(s).alias(s) for s in cuts], F.col(bad).cast("int").alias("bad"), (F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(3)) == 0).alias("prune")
-    )
+    # One comparison a statistic: its place among the cuts.
+    level = lambda s: F.size(F.filter(F.lit(cuts[s]), lambda c: F.col(s) > c))
     # Rows that fall into the same bins are alike: one row with counts stands for them.
-    table = settle(table.groupBy(*cuts, "prune").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")), "bins")
+    table = rows.select(*[level(s).alias(s) for s in cuts], "bad", "prune").groupBy(*cuts, "prune")
+    table = settle(table.agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")), "bins")
 
     def holds(c: tuple[str, bool, int]) -> Column:
         statistic, above, k = c
         return F.col(statistic) > k if above else F.col(statistic) <= k
 
-    def counts(rows: DataFrame) -> tuple[int, int]:
-        r = rows.agg(F.sum("bad").alias("b"), F.sum("good").alias("g")).first()
-        return (r["b"] or 0, r["g"] or 0)
+    def inside(conditions: list) -> Column:
+        held = holds(conditions[0])
+        for c in conditions[1:]:
+            held = held & holds(c)
+        return held
 
     rules: list[Rule] = []
-    rest = table
-    while len(rules) < settings.max_rules:
-        grown = _grow(rest.where("not prune"), list(cuts), {s: len(v) for s, v in cuts.items()}, holds, settings)
-        if not grown:
-            break
+    rest, growing = table, table.where("not prune")
+    while True:
+        grown, caught = _grow(growing, list(cuts), {s: len(v) for s, v in cuts.items()}, holds, settings)
+        if caught < settings.support:
+            return rules
         kept, (b, g) = _prune(rest.where("prune"), grown, holds)
         if b < settings.support or b < settings.precision * (b + g):
-            break
-        conditions = tuple(Condition(s, above, float(cuts[s][k])) for s, above, k in kept)
-        rules.append(Rule(conditions, b, g))
-        caught = holds(kept[0])
-        for c in kept[1:]:
-            caught = caught & holds(c)
-        rest = rest.where(~caught)
-    return rules
+            growing = growing.where(~inside(grown))
+            continue
+        rules.append(Rule(tuple(Condition(s, above, float(cuts[s][k])) for s, above, k in kept), b, g))
+        rest, growing = rest.where(~inside(kept)), growing.where(~inside(kept))
 
 
-def _grow(rows: DataFrame, statistics: list[str], levels: dict[str, int], holds, settings: Settings) -> list:
-    """Add the condition of largest information gain until no good row is left inside."""
+def _grow(rows: DataFrame, statistics: list[str], levels: dict[str, int], holds, settings: Settings) -> tuple[list, int]:
+    """Add the condition of largest information gain until no good row is left inside; also the bad rows inside."""
     chosen: list = []
+    inside = 0
     for _ in range(settings.max_conditions):
         pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(s).alias("k")) for s in statistics]))
         found = rows.select(pairs.alias("p"), "bad", "good").groupBy("p.s", "p.k").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
@@ -226,12 +244,13 @@ def _grow(rows: DataFrame, statistics: list[str], levels: dict[str, int], holds,
                     if b_in:
                         gain = b_in * (math.log2(b_in / (b_in + g_in)) - before)
                         if gain > best_gain:
-                            best, best_gain = (s, above, k), gain
+                            best, best_gain, best_b = (s, above, k), gain, b_in
         if best is None:
             break
         chosen.append(best)
+        inside = best_b
         rows = rows.where(holds(best))
-    return chosen
+    return chosen, inside
 
 
 def _prune(rows: DataFrame, grown: list, holds) -> tuple[list, tuple[int, int]]:

@@ -2,7 +2,7 @@
 
 A corpus is a folder of *shard* files, each holding documents that follow one another:
 
-    magic "TKSHARD1" | header: 8 little-endian int64
+    magic "TKSHARD1" | header: 9 little-endian int64
       order      place of the shard among all shards
       keys       number of documents
       tokens     number of ids
@@ -10,6 +10,7 @@ A corpus is a folder of *shard* files, each holding documents that follow one an
       levels     levels of the index
       words      64-bit words of the index
       first      smallest key
+      last       largest key
       fence      bytes from here to the end of the payload
     levels x int64   bits of each level
     words  x uint64  the levels' bit sets, one after another
@@ -19,7 +20,8 @@ A corpus is a folder of *shard* files, each holding documents that follow one an
     keys   x int64   keys, and keys x uint32 their turns, in document order
     tokens x id      the payload
 
-Looking a key up hashes it level by level to a bit that is set, counts the ones before it,
+``_shards`` beside the files is a table of their order, name and keys. Looking a key up reads
+there which shards can hold it, and in each hashes it level by level to a bit that is set, counts the ones before it,
 and reads the slot: a constant number of reads, however many documents the shard has.
 """
 
@@ -42,7 +44,7 @@ from signalloom.llm.tokenizing import library_encoder
 from signalloom.runtime import scratch_path
 
 MAGIC = b"TKSHARD1"
-HEADER = struct.Struct("<8q")
+HEADER = struct.Struct("<9q")
 #: Bytes of ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_BYTES = 4 << 20
 #: Documents of one bucket of keys.
@@ -50,6 +52,8 @@ BUCKET_ROWS = 2_000
 #: Bits of a level for every key that reaches it.
 ROOM = 2
 MAX_LEVELS = 64
+#: Name of the table of shards; Spark does not read names that begin so with the files.
+TABLE = "_shards"
 NULL_KEY = np.iinfo(np.int64).min
 
 
@@ -128,8 +132,8 @@ def shard_bytes(order: int, keys: np.ndarray, turns: np.ndarray, ids: list[np.nd
         by_slot.astype("<u8"), keys.astype("<i8"), turns.astype("<u4"), *(x.astype(f"<u{width}") for x in ids),
     ]
     body = b"".join(p.tobytes() for p in parts)
-    first = int(keys[0]) if len(keys) else 0
-    head = (order, len(keys), int(lengths.sum()), width, len(index.sizes), len(index.words), first, len(body))
+    first, last = (int(keys[0]), int(keys[-1])) if len(keys) else (0, 0)
+    head = (order, len(keys), int(lengths.sum()), width, len(index.sizes), len(index.words), first, last, len(body))
     return MAGIC + HEADER.pack(*head) + body
 
 
@@ -139,7 +143,7 @@ class Shard:
     def __init__(self, raw: bytes):
         if raw[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token shard")
-        self.order, n, self.tokens, width, levels, words, self.first, fence = HEADER.unpack_from(raw, len(MAGIC))
+        self.order, n, self.tokens, width, levels, words, self.first, self.last, fence = HEADER.unpack_from(raw, len(MAGIC))
         at = len(MAGIC) + HEADER.size
         if len(raw) < at + fence:
             raise ValueError("a token shard is cut short")
@@ -155,6 +159,16 @@ class Shard:
         self.keys, self.turns = take("<i8", n), take("<u4", n)
         self.payload = take(f"<u{width}", self.tokens)
 
+    @staticmethod
+    def head(raw: bytes) -> tuple[int, ...]:
+        """The numbers of the header, in their order."""
+        return HEADER.unpack_from(raw, len(MAGIC))
+
+    def holds(self, key: int, turn: int) -> bool:
+        """Whether key and turn stand among the sorted keys."""
+        at = int(np.searchsorted(self.keys, key)) + turn
+        return at < len(self.keys) and self.keys[at] == key
+
     def find(self, keys: np.ndarray, turns: np.ndarray | None = None) -> list[np.ndarray | None]:
         """Ids of each key (and turn, 0 if not given), None for keys that are not here."""
         turns = np.zeros(len(keys), np.uint32) if turns is None else turns
@@ -271,20 +285,51 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     return _files(spark, folder).mapInArrow(run, schema)
 
 
+def shard_table(spark: SparkSession, folder: str) -> DataFrame:
+    """(order, file, first, last) of every shard, written beside the files by the first call."""
+    place = f"{folder}/{TABLE}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).where("length > 1")
+        size = len(MAGIC) + HEADER.size
+
+        def run(batches):
+            for batch in batches:
+                heads = [Shard.head(x) for x in batch.column(1).to_pylist()]
+                columns = {"order": [h[0] for h in heads], "file": batch.column(0).to_pylist()}
+                yield pa.RecordBatch.from_pydict(columns | {"first": [h[6] for h in heads], "last": [h[7] for h in heads]})
+
+        heads = files.select("path", F.substring("content", 1, size).alias("head"))
+        heads.mapInArrow(run, "`order` long, file string, first long, last long").write.mode("overwrite").parquet(place)
+    return spark.read.schema("`order` long, file string, first long, last long").parquet(place)
+
+
 def lookup(spark: SparkSession, folder: str, keys: list[int], key: str = "doc_id") -> DataFrame:
-    """(key, ids) of the first document of each of a list of keys that the files hold."""
+    """(key, order, turn, ids) of all documents of each of a list of keys that the files hold.
+
+    Only the shards whose keys enclose one of ``keys`` are read; a key that repeats has a row
+    for each shard and turn. An unknown key has none.
+    """
     wanted = np.array(sorted(set(keys)), np.int64)
+    schema = f"`{key}` long, `order` long, turn long, ids array<int>"
+    inside = F.exists(F.lit(wanted.tolist()), lambda k: k.between(F.col("first"), F.col("last"))) if len(wanted) else F.lit(False)
+    files = [r.file for r in shard_table(spark, folder).where(inside).select("file").collect()]
+    if not files:
+        return spark.createDataFrame([], schema)
 
     def run(batches):
         for shard in _shards_in(batches):
-            hits = [(k, x) for k, x in zip(wanted.tolist(), shard.find(wanted)) if x is not None]
-            # A fingerprint may agree by chance, about once in four billion: the key decides.
-            hits = [(k, x.tolist()) for k, x in hits if k in shard.keys]
-            yield pa.RecordBatch.from_pydict(
-                {key: pa.array([k for k, _ in hits], pa.int64()), "ids": pa.array([x for _, x in hits], pa.list_(pa.int32()))}
-            )
-
-    return _files(spark, folder).mapInArrow(run, f"`{key}` long, ids array<int>")
+            turn, left = 0, wanted[(wanted >= shard.first) & (wanted <= shard.last)]
+            while len(left):
+                found = shard.find(left, np.full(len(left), turn, np.uint32))
+                # A fingerprint may agree by chance, about once in four billion: the key decides.
+                hits = [(int(k), x.tolist()) for k, x in zip(left, found) if x is not None and shard.holds(int(k), turn)]
+                same = {"order": pa.array([shard.order] * len(hits), pa.int64()), "turn": pa.array([turn] * len(hits), pa.int64())}
+                ids = pa.array([x for _, x in hits], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict({key: pa.array([k for k, _ in hits], pa.int64()), **same, "ids": ids})
+                turn, left = turn + 1, np.array([k for k, _ in hits], np.int64)
+
+    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(run, schema)
 
 
 def written_and_read(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:

@@ -199,9 +199,18 @@ def test_document_frequencies_and_band(spark, folder, documents):
     got = {bytes(r.term): r.n for r in imatch.document_frequencies(docs).collect()}
     assert got == want
     band = imatch.Band(low=0.02, high=0.1)
-    terms = imatch.lexicon(docs, band)
-    assert terms == sorted(t for t, n in want.items() if 4 <= n <= 20)
-    assert len(imatch.lexicon(docs, imatch.Band(low=0.02, high=0.1, most=5))) <= 5
+    got = {bytes(r.term): r.n for r in imatch.lexicon(docs, band).collect()}
+    assert got == {t: n for t, n in want.items() if 4 <= n <= 20}
+
+
+def test_a_large_lexicon_is_joined_with_the_same_result(spark, odd, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").where("doc_id < 150")
+    for rows, band in ((docs, {"low": 0.02, "high": 0.1}), (odd, {"low": 0.1, "high": 0.5})):
+        small = imatch.fingerprints_with_edits(rows, imatch.Band(**band))
+        large = imatch.fingerprints_with_edits(rows, imatch.Band(**band, most=1))
+        assert "lexicon" not in "".join(large.columns) and large.columns == small.columns
+        text = lambda df: sorted(map(str, df.collect()))
+        assert text(large) == text(small)
 
 
 def test_edits_and_neighbours(spark, odd, empty, monkeypatch):

@@ -1,6 +1,8 @@
 """Operators 1, 2 and 7: against plain versions and on labels they did not see."""
 
 import collections
+import itertools
+import math
 import random
 import re
 import zlib
@@ -70,6 +72,78 @@ def test_rules_cover_both_kinds_of_bad_text(spark):
     assert judged.where("not kept and quality = 1").count() == 0
 
 
+def plain_rules(x, bad, prune, settings):
+    """Sequential covering over arrays: values by statistic, bad and held-back marks."""
+    holds = lambda c: x[c[0]] > c[2] if c[1] else x[c[0]] <= c[2]
+    inside = lambda cs: np.logical_and.reduce([holds(c) for c in cs])
+    out, left = [], np.ones(len(bad), bool)
+    for turn in itertools.count():
+        cuts, started = {}, len(out)
+        for s in rules.STATISTICS:
+            found = set()
+            for part in (left, left & bad) if turn else (left,):
+                values = np.sort(x[s][part]).tolist()
+                found |= {values[math.ceil(k * len(values) / settings.bins) - 1] for k in range(1, settings.bins) if values}
+            cuts[s] = sorted(found)
+        growing = left & ~prune
+        while True:
+            now, chosen = growing, []
+            for _ in range(settings.max_conditions):
+                best = (1e-9, None)
+                if not 0 < (now & bad).sum() < now.sum():
+                    break
+                before = math.log2((now & bad).sum() / now.sum())
+                for c in ((s, above, cut) for s in rules.STATISTICS for cut in cuts[s] for above in (False, True)):
+                    hit = now & holds(c)
+                    if n := (hit & bad).sum():
+                        gain = n * (math.log2(n / hit.sum()) - before)
+                        best = max(best, (gain, c), key=lambda g: g[0])
+                if best[1] is None:
+                    break
+                chosen.append(best[1])
+                now = now & holds(best[1])
+            if not chosen or (now & bad).sum() < settings.support:
+                break
+            held = [left & prune & inside(chosen[:k]) for k in range(1, len(chosen) + 1)]
+            counts = [(int((h & bad).sum()), int((h & ~bad).sum())) for h in held]
+            worth = [(b - g) / (b + g) if b + g else -1.0 for b, g in counts]
+            at = worth.index(max(worth))
+            b, g = counts[at]
+            if b < settings.support or b < settings.precision * (b + g):
+                growing = growing & ~inside(chosen)
+                continue
+            out.append((chosen[: at + 1], b, g))
+            gone = inside(chosen[: at + 1])
+            left, growing = left & ~gone, growing & ~gone
+        if turn and len(out) == started:
+            return out
+
+
+def noisy_statistics(spark):
+    """Good rows, ten rare kinds of bad ones and bad labels without a reason."""
+    rng = random.Random(11)
+    rows = []
+    for key in range(1500):
+        x = {s: round(rng.uniform(0.4, 0.6), 6) for s in rules.STATISTICS}
+        kind = key % 100
+        if kind < 10:
+            x[rules.STATISTICS[kind % 7]] = round((0.61 + rng.uniform(0, 0.2)) if kind < 7 else rng.uniform(0.1, 0.39), 6)
+        rows.append((key, int(kind < 10 or rng.random() < 0.02), *x.values()))
+    return spark.createDataFrame(rows, "key long, bad int, " + ", ".join(f"{s} double" for s in rules.STATISTICS))
+
+
+def test_rules_equal_plain_covering(spark):
+    table = noisy_statistics(spark)
+    settings = rules.Settings(max_conditions=2, precision=0.9)
+    got = rules.learn(table, "key", "bad", settings)
+    prune = F.pmod(F.xxhash64(F.lit(1), F.col("key")), F.lit(3)) == 0
+    rows = table.withColumn("prune", prune).toPandas()
+    want = plain_rules({s: rows[s].values for s in rules.STATISTICS}, rows.bad.values == 1, rows.prune.values, settings)
+    assert [([(c.statistic, c.above, c.threshold) for c in r.conditions], r.bad, r.good) for r in got] == want
+    # Each rare kind has its rule, though refused regions of bad labels lie between them.
+    assert len({(c.statistic, c.above) for r in got for c in r.conditions}) >= 7
+
+
 def test_rules_are_plain_expressions(spark):
     docs, labels = learnable(spark, 120)
     plan = rules.text_statistics(docs)._jdf.queryExecution().executedPlan().toString()

@@ -131,6 +131,13 @@ def test_token_files(spark, odd, empty, library, monkeypatch, tmp_path):
     tokenfile.write(odd, folder, default_tokenizer())
     found = {r.doc_id: r.ids for r in tokenfile.lookup(spark, folder, [6, 9, 4711]).collect()}
     assert found == {6: [*ids_of(library, "one"), 0], 9: [*ids_of(library, dict(ODD_ROWS)[9]), 0]}
+    many = tokenfile.lookup(spark, folder, [7, 10]).collect()
+    want = [(k, [*ids_of(library, t), 0]) for k, t in ODD_ROWS if k in (7, 10)]
+    assert sorted((r.doc_id, r.ids) for r in many) == sorted(want)
+    assert len({(r.doc_id, r.order, r.turn) for r in many}) == 4
+    assert tokenfile.lookup(spark, folder, [4711]).count() == tokenfile.lookup(spark, folder, []).count() == 0
+    table = tokenfile.shard_table(spark, folder).collect()
+    assert len(table) > 3 and all(r["first"] <= r["last"] for r in table)
 
 
 def test_key_index_is_minimal_and_perfect():
