@@ -51,6 +51,8 @@ class Settings:
     prior: float = 3.0
     #: Different words, as a power of two, whose scores every task holds; more are joined by shuffle.
     slot_bits: int = 22
+    #: Parts in which the different words meet the log-ratios, one after the other.
+    parts: int = 4
     #: Precision of the prior of the curve's standardised weights.
     curve_prior: float = 2.0
     #: Labelled rows the logistic curve is fitted on, chosen by a hash of the key.
@@ -254,7 +256,11 @@ def different_words(docs: DataFrame, text: str) -> DataFrame:
 
 
 def word_scores(words: DataFrame, ratios: DataFrame, settings: Settings) -> DataFrame:
-    """(word, score): sum of the log-ratios of each word's letters, joined by shuffle with all of them."""
+    """(word, score): sum of the log-ratios of each word's letters, joined by shuffle with all of them.
+
+    A word has some ten letters, so words meet the log-ratios part by part: the shuffle files of
+    one part go before the next one's come.
+    """
 
     def letters(batches):
         for batch in slices(batches, 50_000):
@@ -264,10 +270,15 @@ def word_scores(words: DataFrame, ratios: DataFrame, settings: Settings) -> Data
 
     with phase(words.sparkSession):
         # Letters are cut twice: ten rows a word are cheaper to make than to keep.
-        grams = settle(words, "different").mapInArrow(letters, "word binary, gram long")
+        different = settle(words, "different")
+        grams = different.mapInArrow(letters, "word binary, gram long")
         ratio = settled_ratios(settle(grams.select("gram").distinct(), "asked"), ratios, settings)
-        scores = grams.join(ratio, "gram").groupBy("word").agg(F.sum("ratio").alias("score"))
-        return settle(scores, "words", outlives=True)
+        scores = []
+        for part in range(settings.parts):
+            mine = different.where(F.pmod(F.xxhash64("word"), F.lit(settings.parts)) == part)
+            met = mine.mapInArrow(letters, "word binary, gram long").join(ratio, "gram")
+            scores.append(settle(met.groupBy("word").agg(F.sum("ratio").alias("score")), "words", outlives=True))
+        return reduce(DataFrame.union, scores)
 
 
 def settled_ratios(grams: DataFrame, ratios: DataFrame, settings: Settings) -> DataFrame:

@@ -61,6 +61,8 @@ def test_unseen_sequences_back_off(spark):
     words = spark.createDataFrame([(b"xxzorg",), (b"xxword",)], "word binary")
     found = {bytes(r.word): r.score for r in toxicity.word_scores(words, ratios, settings).collect()}
     assert found[b"xxzorg"] > 0.5 > 0 > found[b"xxword"]
+    whole = toxicity.word_scores(words, ratios, toxicity.Settings(parts=1)).collect()
+    assert {bytes(r.word): r.score for r in whole} == found
 
 
 def test_repeated_words_weigh(spark):
