@@ -4,8 +4,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
-from signalloom.llm import similar
+from signalloom.llm import simhash, similar
 
 
 def shingle_set(text):
@@ -83,3 +84,42 @@ def test_planes_count_unequal_pairs_of_bits(spark):
     found = spark.createDataFrame([row]).select(similar.unequal().alias("n")).first().n
     two = np.uint64(3 << 40)
     assert found == int(((a & two) != (b & two)).sum()) > 40
+
+
+def test_fingerprints_are_linked_as_in_op5(spark, monkeypatch):
+    """SimHash buckets link near copies before smallest hashes are looked at."""
+    radii = []
+    monkeypatch.setattr(similar, "bucket_links", lambda values, radius: radii.append(radius) or simhash.bucket_links(values, radius))
+    monkeypatch.setattr(similar, "links_in_bands", lambda met, *rest: met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{k}" for k in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots = {r.doc_id: r.root for r in similar.groups(docs).collect()}
+    assert radii and roots[0] == roots[1] != roots[2]
+
+
+def test_texts_below_the_similarity_make_no_table_of_pairs(spark, monkeypatch):
+    """Texts that are alike by half give a row a band and no row a pair, in parts too."""
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    texts = [edited(rng, words, 9) for _ in range(60)]
+    texts += [edited(rng, texts[0].split(), 1), edited(rng, texts[1].split(), 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = {}
+    settle = similar.settle
+
+    def counted(df, name, outlives=False):
+        out = settle(df, name, outlives)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similar, "settle", counted)
+    monkeypatch.setattr(similar, "PART", 8)
+    monkeypatch.setattr(similar, "PART_BYTES", 8_000)
+    roots = {r.doc_id: r.root for r in similar.groups(docs).collect()}
+    first = {}
+    for k in sorted(roots):
+        first.setdefault(roots[k], k)
+    assert [first[roots[k]] for k in sorted(roots)] == brute_groups(texts)
+    assert sizes["pairs"] <= 4 * len(texts) and sizes["confirmed"] <= similar.BANDS * len(texts)
+    assert "likely" not in sizes
