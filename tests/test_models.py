@@ -250,3 +250,21 @@ def test_kept_layer_is_one_product_a_batch(spark, dataset, tmp_path):
     some = spark.createDataFrame([([0.5] * 31,), (None,)], "x array<double>")
     found = [r[0] for r in some.select(R.sigmoid_layer(weights, biases)("x")).collect()]
     assert len(found[0]) == 6 and found[1] is None
+
+
+def test_arms_learn_side_by_side_and_stand_in_order(monkeypatch):
+    """Two runs wait for each other, which runs one after the other could not do."""
+    import threading
+
+    from signalloom.plans import arms as R
+
+    both = threading.Barrier(2, timeout=20)
+
+    def run_arm(arm, *rest, **options):
+        if arm != "finetune":
+            both.wait()
+        return f"{arm} done"
+
+    monkeypatch.setattr(R, "run_arm", run_arm)
+    found = R.run_all_arms(None, None, [], 3, None, arms=("scratch", "frozen", "finetune"))
+    assert list(found.items()) == [(a, f"{a} done") for a in ("scratch", "frozen", "finetune")]
