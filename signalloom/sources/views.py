@@ -24,8 +24,15 @@ def grid_signals(
     ``amount`` should be a whole number type, so that totals do not depend on the
     order of rows. Slots without events, and the padding behind the last one, are 0.
     """
-    cells = (
+    # Rows of a key meet before the sums of all slots are taken: a task that held those of every key
+    # it reads, most of them spread over all tasks, would need many times its input.
+    totals = (
         df.select(*keys, slot.cast("int").alias("__slot"), amount.alias("__amount"))
+        .groupBy(*keys, "__slot")
+        .agg(F.sum("__amount").alias("__amount"))
+    )
+    cells = (
+        totals.repartition(*keys)
         .groupBy(*keys)
         .agg(
             F.array(
