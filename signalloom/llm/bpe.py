@@ -12,17 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from signalloom.llm.batches import map_batches, texts
-from signalloom.llm.tokenizing import WORDS, TextEncoder, id_dtype
-
-def byte_letters() -> dict[str, int]:
-    """The letter by which vocabulary files write each byte.
-
-    Bytes that print are written as themselves; the others take the letters
-    from U+0100 on, in ascending order.
-    """
-    printing = {b for b in range(256) if 0x21 <= b <= 0x7E or (0xA1 <= b and b != 0xAD)}
-    silent = [b for b in range(256) if b not in printing]
-    return {chr(b): b for b in printing} | {chr(0x100 + i): b for i, b in enumerate(silent)}
+from signalloom.llm.tokenizing import WORDS, TextEncoder, byte_letters, id_dtype
 
 
 class BytePairCodec:

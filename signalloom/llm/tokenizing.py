@@ -11,8 +11,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed value: the pre-token pattern of this family of vocabularies.
@@ -20,10 +23,6 @@ PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORDS = regex.compile(PRE_TOKENS)
 #: Different pieces, and different words, of one generation of a worker's memory: some 60 MB each.
 REMEMBERED = 400_000
-#: Marks that are pre-tokens of their own after letters.
-STOPS = ".,;:!?"
-#: Words in one call of the library.
-JOINED = 4_000
 #: Finds a character after the Cyrillic letters.
 NOT_PLAIN = re.compile("[^\0-\u052f]").search
 #: Longer pieces (in characters) are not remembered.
@@ -56,11 +55,13 @@ class PieceSplitter:
         self.cut = re.compile(rf" (?=\S){stop}")
         self.unclear = re.compile(r" (?=\s|\Z)")
 
+    def careful(self, text: str) -> bool:
+        """Whether some space of the text may be no place to cut."""
+        return any(s in text for s in self.specials) or self.unclear.search(text) is not None
+
     def __call__(self, text: str) -> list[str]:
         """Pieces without the space they begin with (the first one begins with none)."""
-        if any(s in text for s in self.specials) or self.unclear.search(text):
-            return self.cut.split(text)
-        return text.split(" ")
+        return self.cut.split(text) if self.careful(text) else text.split(" ")
 
 
 class Memory:
@@ -117,54 +118,89 @@ class TextEncoder:
         self.dtype = dtype
         self.words, self.inner, self.first = (Memory(remembered) for _ in range(3))
 
-    def _learn(self, memory: Memory, pieces: set[str], lead: str, plain: bool) -> None:
-        unknown = memory.unknown(pieces)
-        other = [] if plain else [p for p in unknown if NOT_PLAIN(p)]
-        unknown.difference_update(other)
-        single = [p for p in unknown if p.isalpha()]  # pre-tokens as they are
-        unknown.difference_update(single)
-        mixed = []
-        for piece in unknown:
-            if piece[:-1].isalpha() and piece[-1] in STOPS:  # a pre-token and a mark
-                mixed.append((piece, (lead + piece[:-1], piece[-1])))
-            elif self.marked and self.marked(piece):
-                other.append(piece)
-            else:
-                mixed.append((piece, WORDS.findall(lead + piece)))
-        wanted = {lead + p for p in single}
-        for _, found in mixed:
-            wanted.update(found)
-        fresh = list(self.words.unknown(wanted))
+    def _new(self, unknown: set[str], lead: str) -> dict[str, bytes]:
+        """Packed ids of pieces that are not remembered, each behind ``lead``.
+
+        Pieces behind a space are cut into words in one go: every piece opens with a word
+        that begins with a space, and holds no other such word unless it holds a space.
+        """
+        whole = " ".join(unknown)
+        other = {p for p in unknown if NOT_PLAIN(p)} if NOT_PLAIN(whole) else set()
+        if self.marked and self.marked(whole):
+            other.update(p for p in unknown if self.marked(p))
+        apart = [p for p in unknown if not lead or not p or " " in p or p[0].isspace()]
+        rest = unknown.difference(other, apart)
+        together = list(rest)
+        words = WORDS.findall(lead + lead.join(together)) if together else []
+        opens = [i for i, w in enumerate(words) if w[0] == " "]
+        for piece in apart:
+            if piece not in other:
+                together.append(piece)
+                opens.append(len(words))
+                words += WORDS.findall(lead + piece)
+        fresh = list(self.words.unknown(set(words)))
         self.words.learn(dict(zip(fresh, self.encode_words(fresh))))
-        words = self.words.young
-        learned = {p: words[lead + p] for p in single}
-        for piece, found in mixed:
-            learned[piece] = b"".join([words[w] for w in found])
-        for piece, ids in zip(other, self.encode_pieces([lead + p for p in other])):
+        packed = list(map(self.words.young.__getitem__, words))
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed))))
+        edges = [*ends[opens].tolist(), int(ends[-1])]
+        raw = b"".join(packed)
+        learned = {p: raw[a:b] for p, a, b in zip(together, edges, edges[1:])}
+        foreign = list(other)
+        for piece, ids in zip(foreign, self.encode_pieces([lead + p for p in foreign])):
             learned[piece] = np.array(ids, dtype=self.dtype).tobytes()
-        memory.learn(learned)
         self.words.end_batch()
+        return learned
+
+    def _learn(self, memory: Memory, pieces: set[str], lead: str) -> None:
+        memory.learn(self._new(memory.unknown(pieces), lead))
 
     def _cut(self, batch: list[str]) -> tuple[list[str], list[list[str]]]:
-        """First pieces and other pieces of every text; afterwards all of them are known."""
+        """First pieces, all known afterwards, and other pieces of every text."""
         cut = [self.split(text) for text in batch]
         heads = [pieces.pop(0) for pieces in cut]
-        plain = not any(map(NOT_PLAIN, batch))
-        self._learn(self.inner, set().union(*cut), " ", plain)
-        self._learn(self.first, set(heads), "", plain)
+        self._learn(self.first, set(heads), "")
         return heads, cut
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        heads, cut = self._cut(batch)
-        first, inner = self.first.young, self.inner.young.__getitem__
-        out = [np.frombuffer(first[h] + b"".join(map(inner, p)), dtype=self.dtype) for h, p in zip(heads, cut)]
+        """Ids of every text. Arrow cuts the texts and numbers the different pieces, so that memory
+        is asked once for each of them; numpy puts their ids in a row."""
+        careful = [self.split.careful(text) for text in batch]
+        order = np.argsort(careful, kind="stable").tolist()
+        simple = pc.split_pattern(pa.array([t for t, c in zip(batch, careful) if not c], pa.large_string()), " ")
+        others = [self.split.cut.split(t) for t, c in zip(batch, careful) if c]
+        pieces = pa.concat_arrays([simple.flatten(), pa.array(list(chain.from_iterable(others)), pa.large_string())])
+        numbered = pieces.dictionary_encode()
+        names = numbered.dictionary.to_numpy(zero_copy_only=False)
+        which = numbered.indices.to_numpy().astype(np.int64)
+        sizes = np.append(np.diff(simple.offsets.to_numpy()), np.fromiter(map(len, others), np.int64, len(others)))
+        edges = np.append(0, np.cumsum(sizes))
+        heads = names[which[edges[:-1]]].tolist()
+        which[edges[:-1]] = len(names) + np.arange(len(heads))
+        inner = np.bincount(which, minlength=len(names))[: len(names)] > 0
+
+        names = names.tolist()
+        known = list(map(self.inner.young.get, names))
+        self._learn(self.inner, {n for n, ids, i in zip(names, known, inner.tolist()) if i and ids is None}, " ")
+        self._learn(self.first, set(heads), "")
+        young = self.inner.young
+        known = [young.get(n, b"") if ids is None else ids for n, ids in zip(names, known)]
+        known += map(self.first.young.__getitem__, heads)
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.dtype).itemsize
+        begins, taken = (np.cumsum(lengths) - lengths)[which], lengths[which]
+        ends = np.append(0, np.cumsum(taken))
+        where = np.repeat(begins - ends[:-1], taken)
+        where += np.arange(len(where))
+        ids = np.frombuffer(b"".join(known), dtype=self.dtype)[where]
+        out: list[np.ndarray] = [ids] * len(batch)
+        for text, a, b in zip(order, ends[edges[:-1]].tolist(), ends[edges[1:]].tolist()):
+            out[text] = ids[a:b]
         self.inner.end_batch()
         self.first.end_batch()
         return out
 
     def parts(self, batch: list[str]) -> list[bytes]:
         """Packed ids of different pieces, without the space that each begins with."""
-        self._learn(self.inner, set(batch), " ", not any(map(NOT_PLAIN, batch)))
+        self._learn(self.inner, set(batch), " ")
         out = list(map(self.inner.young.__getitem__, batch))
         self.inner.end_batch()
         return out
@@ -172,6 +208,7 @@ class TextEncoder:
     def counts(self, batch: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """Pieces of every text, joined they are the text, and the number of ids of each."""
         heads, cut = self._cut(batch)
+        self._learn(self.inner, set().union(*cut), " ")
         first, inner = self.first.young, self.inner.young.__getitem__
         size = np.dtype(self.dtype).itemsize
         out = []
@@ -187,59 +224,36 @@ def id_dtype(vocabulary_size: int) -> str:
     return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
 
-class JoinedWords:
-    """Encodes many pre-tokens in few calls of the tokenizers library.
+def byte_letters() -> dict[str, int]:
+    """The letter by which vocabulary files write each byte.
 
-    Words that begin with their only space are joined as they are: each begins with an id
-    whose string begins with a space. Words without white space are joined by line ends,
-    each an id of its own. What comes back in another number of parts is encoded singly.
+    Bytes that print are written as themselves; the others take the letters
+    from U+0100 on, in ascending order.
     """
+    printing = {b for b in range(256) if 0x21 <= b <= 0x7E or (0xA1 <= b and b != 0xAD)}
+    silent = [b for b in range(256) if b not in printing]
+    return {chr(b): b for b in printing} | {chr(0x100 + i): b for i, b in enumerate(silent)}
+
+
+class ModelWords:
+    """Gives pre-tokens to the merges of the tokenizers library, past its search for pre-tokens."""
 
     def __init__(self, tokenizer, dtype: str):
-        self.tokenizer = tokenizer
+        self.merges = tokenizer.model.tokenize
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.dtype = np.dtype(dtype)
-        size = tokenizer.get_vocab_size(with_added_tokens=True)
-        strings = [tokenizer.id_to_token(i) or "" for i in range(size)]
-        ((space, _),) = tokenizer.pre_tokenizer.pre_tokenize_str(" ")
-        (line,) = self.singly(["\n"])
-        self.opens = np.array([s.startswith(space) for s in strings])
-        self.line = line[0] if len(line) == 1 else -1
-
-    def singly(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def joined(self, words: list[str], joint: str) -> list[bytes]:
-        """Packed ids of each word, or of another number of parts if the words do not come apart."""
-        ids = np.array(self.singly([joint.join(words)])[0], dtype=self.dtype)
-        if joint:
-            ends = np.flatnonzero(ids == self.line)
-            starts, ends = np.append(0, ends + 1), np.append(ends, len(ids))
-        else:
-            starts = np.flatnonzero(self.opens[ids])
-            ends = np.append(starts[1:], len(ids))
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        return [raw[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist())]
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        spaced, bare, odd = [], [], []
-        for word in words:
-            rest = word[1:] if word[0] == " " else word
-            if rest.isalpha() or (rest and not any(c.isspace() for c in rest)):
-                (spaced if word[0] == " " else bare).append(word)
-            else:
-                odd.append(word)
-        out: dict[str, bytes] = {}
-        for group, joint in ((spaced, ""), (bare, "\n")):
-            for start in range(0, len(group), JOINED):
-                part = group[start : start + JOINED]
-                found = self.joined(part, joint)
-                if len(found) == len(part):
-                    out.update(zip(part, found))
-                else:
-                    odd += part
-        for word, ids in zip(odd, self.singly(odd)):
-            out[word] = np.array(ids, dtype=self.dtype).tobytes()
-        return [out[w] for w in words]
+        """Packed ids of each word."""
+        merges, seam = self.merges, b"\xff"  # no byte of UTF-8
+        spelled = seam.join([w.encode() for w in words]).decode("latin-1").translate(self.letters)
+        ids: list[int] = []
+        ends = [0]
+        for word in spelled.split(self.letters[seam[0]]) if words else []:
+            ids += [token.id for token in merges(word)]
+            ends.append(len(ids) * self.dtype.itemsize)
+        raw = np.array(ids, dtype=self.dtype).tobytes()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -259,7 +273,10 @@ def library_encoder(path: str, plain: bool = False, remembered: int = REMEMBERED
         tokenizer.no_padding()
         tokenizer.encode_special_tokens = plain
         dtype = id_dtype(tokenizer.get_vocab_size(with_added_tokens=True))
-        words = JoinedWords(tokenizer, dtype)
         specials = [] if plain else list(special_strings(path))
-        _ENCODERS[name] = TextEncoder(specials, words, words.singly, dtype, remembered)
+
+        def singly(pieces: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+        _ENCODERS[name] = TextEncoder(specials, ModelWords(tokenizer, dtype), singly, dtype, remembered)
     return _ENCODERS[name]

@@ -49,6 +49,26 @@ def test_memory_that_overflows_changes_nothing(library):
         assert [x.tolist() for x in encoder.encode(batch)] == [ids_of(library, t) for t in batch]
 
 
+def test_new_pieces_of_a_batch_are_cut_together(library, monkeypatch):
+    from signalloom.llm import tokenizing
+
+    calls = []
+
+    class Counted:
+        def findall(self, text):
+            calls.append(text)
+            return tokenizing.regex.findall(tokenizing.PRE_TOKENS, text)
+
+    monkeypatch.setattr(tokenizing, "WORDS", Counted())
+    monkeypatch.setattr(tokenizing, "_ENCODERS", {})
+    parts = ["it's", "x1.", "naïve,", "a\nb", "12-34", "жук!", "(z)"]
+    texts = [" ".join(f"{p}{i}{p}" for p in parts for i in range(300)), "one", "", *some_texts(30, 11)]
+    found = library_encoder(default_tokenizer()).encode(texts)
+    assert [x.tolist() for x in found] == [ids_of(library, t) for t in texts]
+    # One call for the plain pieces behind a space; the others stand first or hold white space.
+    assert len(calls) < 400 < len(texts[0].split(" "))
+
+
 def test_pieces_join_to_the_text():
     split = PieceSplitter(["<|endoftext|>"])
     for text in some_texts(200):
