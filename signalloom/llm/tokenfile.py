@@ -196,14 +196,14 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
 
     def encoded(batches):
         for batch in slices(batches):
-            ids = library_encoder(path).encode(texts(batch.column(1)))
-            crc = np.array([zlib.crc32(x.tobytes()) for x in ids], np.int64)
+            ids = [x.tobytes() for x in library_encoder(path).encode(texts(batch.column(1)))]
+            crc = np.array([zlib.crc32(x) for x in ids], np.int64)
             yield pa.RecordBatch.from_pydict(
                 {
                     "bucket": pa.array(buckets_of(batch.column(0), limits, crc)),
                     "key": batch.column(0).cast(pa.int64()),
                     "crc": pa.array(crc),
-                    "ids": pa.array([x.tobytes() for x in ids], pa.binary()),
+                    "ids": pa.array(ids, pa.binary()),
                 }
             )
 

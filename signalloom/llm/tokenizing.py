@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from collections.abc import Callable, Iterable
 from itertools import chain
 
@@ -25,6 +26,10 @@ WORDS = regex.compile(PRE_TOKENS)
 REMEMBERED = 400_000
 #: Finds a character after the Cyrillic letters.
 NOT_PLAIN = re.compile("[^\0-\u052f]").search
+#: Latin letters without a doubt.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c not in "\xaa\xba")
+#: A piece of one word and marks behind it, which are two pre-tokens.
+WORD_AND_MARKS = r"\A\n?[A-Za-zÀ-ÖØ-öø-ɏµ]+[!-/:-@\[-`{-~]*\z"
 #: Longer pieces (in characters) are not remembered.
 LONG_PIECE = 64
 
@@ -54,11 +59,17 @@ class PieceSplitter:
         stop = "".join(f"(?!{re.escape(s)})" for s in self.specials)
         self.cut = re.compile(rf" (?=\S){stop}")
         self.unclear = re.compile(r" (?=\s|\Z)")
+        self.ragged = re.compile(r"\n(?:\s|(?<=\s\n))").search
 
     def careful(self, text: str) -> bool:
         """Whether some space of the text may be no place to cut."""
         return any(s in text for s in self.specials) or self.unclear.search(text) is not None
 
+    def lines(self, text: str) -> str:
+        """A text that needs no care, with a space to cut at before every line end between other
+        characters than white space: there a pre-token ends, and the line end is one."""
+        return text.replace("\n", " \n") if "\n" in text and not self.ragged(text) else text
+
     def __call__(self, text: str) -> list[str]:
         """Pieces without the space they begin with (the first one begins with none)."""
         return self.cut.split(text) if self.careful(text) else text.split(" ")
@@ -161,38 +172,84 @@ class TextEncoder:
         self._learn(self.first, set(heads), "")
         return heads, cut
 
+    def _look_up(
+        self, memory: Memory, lead: str, names: pa.Array, wanted: np.ndarray, known: list[bytes], places: np.ndarray
+    ) -> None:
+        """Add the packed ids of the wanted names, each behind ``lead``, to ``known`` and say in ``places`` where.
+
+        A name that is a word and marks is not remembered whole: the ids of its word and of its marks
+        follow one another, so it has two places. Without a lead all names begin with a line end.
+        """
+        plain = wanted & pc.match_substring_regex(names, WORD_AND_MARKS).to_numpy(zero_copy_only=False)
+        for special in self.split.specials:
+            plain &= ~pc.match_substring(names, special).to_numpy(zero_copy_only=False)
+        several = wanted & ~plain
+        whole = names.filter(pa.array(plain))
+        words = pc.ascii_rtrim(whole, string.punctuation).dictionary_encode()
+        marks = pc.utf8_ltrim(whole, "\n" + LETTERS).dictionary_encode()
+        stems, tails, others = (
+            x.to_numpy(zero_copy_only=False).tolist() for x in (words.dictionary, marks.dictionary, names.filter(pa.array(several)))
+        )
+
+        found = list(map(memory.young.get, stems))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        fresh = list(memory.unknown({stems[k] for k in new}))
+        if lead:
+            learned = self.encode_words([lead + w for w in fresh])
+        else:
+            opening = self.encode_words(["\n"])[0]
+            learned = [opening + ids for ids in self.encode_words([w[1:] for w in fresh])]
+        memory.learn(dict(zip(fresh, learned)))
+        for k in new:
+            found[k] = memory.young[stems[k]]
+        self._learn(memory, set(others), lead)
+        fresh = list(self.words.unknown(set(tails) - {""}))
+        self.words.learn(dict(zip(fresh, self.encode_words(fresh))))
+        ends = [self.words.young[t] if t else b"" for t in tails]
+        self.words.end_batch()
+
+        places[plain, 0] = len(known) + words.indices.to_numpy()
+        known += found
+        places[several, 0] = len(known) + np.arange(len(others))
+        known += map(memory.young.__getitem__, others)
+        places[plain, 1] = len(known) + marks.indices.to_numpy()
+        known += ends
+
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        """Ids of every text. Arrow cuts the texts and numbers the different pieces, so that memory
-        is asked once for each of them; numpy puts their ids in a row."""
+        """Ids of every text. Arrow cuts the texts, numbers the different pieces and takes marks off words,
+        so that memory is asked once for each word; numpy puts their ids in a row."""
         careful = [self.split.careful(text) for text in batch]
         order = np.argsort(careful, kind="stable").tolist()
-        simple = pc.split_pattern(pa.array([t for t, c in zip(batch, careful) if not c], pa.large_string()), " ")
+        cut = [self.split.lines(t) for t, c in zip(batch, careful) if not c]
+        simple = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
         others = [self.split.cut.split(t) for t, c in zip(batch, careful) if c]
         pieces = pa.concat_arrays([simple.flatten(), pa.array(list(chain.from_iterable(others)), pa.large_string())])
         numbered = pieces.dictionary_encode()
-        names = numbered.dictionary.to_numpy(zero_copy_only=False)
+        names = numbered.dictionary
         which = numbered.indices.to_numpy().astype(np.int64)
         sizes = np.append(np.diff(simple.offsets.to_numpy()), np.fromiter(map(len, others), np.int64, len(others)))
         edges = np.append(0, np.cumsum(sizes))
-        heads = names[which[edges[:-1]]].tolist()
+        heads = names.take(pa.array(which[edges[:-1]])).to_pylist()
         which[edges[:-1]] = len(names) + np.arange(len(heads))
         inner = np.bincount(which, minlength=len(names))[: len(names)] > 0
 
-        names = names.tolist()
-        known = list(map(self.inner.young.get, names))
-        self._learn(self.inner, {n for n, ids, i in zip(names, known, inner.tolist()) if i and ids is None}, " ")
+        line = pc.starts_with(names, "\n").to_numpy(zero_copy_only=False)
+        known, places = [b""], np.zeros((len(names) + len(heads), 2), np.int64)
+        self._look_up(self.inner, " ", names, inner & ~line, known, places[: len(names)])
+        self._look_up(self.first, "", names, inner & line, known, places[: len(names)])
         self._learn(self.first, set(heads), "")
-        young = self.inner.young
-        known = [young.get(n, b"") if ids is None else ids for n, ids in zip(names, known)]
+        places[len(names) :, 0] = len(known) + np.arange(len(heads))
         known += map(self.first.young.__getitem__, heads)
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.dtype).itemsize
-        begins, taken = (np.cumsum(lengths) - lengths)[which], lengths[which]
+        parts = places[which].ravel()
+        begins, taken = (np.cumsum(lengths) - lengths)[parts], lengths[parts]
         ends = np.append(0, np.cumsum(taken))
         where = np.repeat(begins - ends[:-1], taken)
         where += np.arange(len(where))
         ids = np.frombuffer(b"".join(known), dtype=self.dtype)[where]
+        ends = ends[2 * edges]
         out: list[np.ndarray] = [ids] * len(batch)
-        for text, a, b in zip(order, ends[edges[:-1]].tolist(), ends[edges[1:]].tolist()):
+        for text, a, b in zip(order, ends[:-1].tolist(), ends[1:].tolist()):
             out[text] = ids[a:b]
         self.inner.end_batch()
         self.first.end_batch()

@@ -69,6 +69,23 @@ def test_new_pieces_of_a_batch_are_cut_together(library, monkeypatch):
     assert len(calls) < 400 < len(texts[0].split(" "))
 
 
+def test_a_word_is_remembered_once_with_any_marks(library, monkeypatch):
+    from signalloom.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "_ENCODERS", {})
+    marks = ["", ".", ",", "...", "'", "?!", "<|"]
+    words = [w + m for w in ["word", "été", "Łódź"] for m in marks]
+    odd = ["ªx", "µg.", "don't,", "x1.", "×", "ɐ!", "q\n\nq", "q\r\nq", "q\n\x1cq", "\nq", "q\n", "q \nq", "q<|endoftext|>", "q\n<|endoftext|>q"]
+    texts = ["A " + " ".join(words), "A " + "\n".join(words), "\n".join(odd), *odd, *(f"A {x} A" for x in odd), *some_texts(200, 12)]
+    encoder = library_encoder(default_tokenizer())
+    assert [x.tolist() for x in encoder.encode(texts)] == [ids_of(library, t) for t in texts]
+    encoder = tokenizing._ENCODERS.clear() or library_encoder(default_tokenizer())
+    encoder.encode(texts[:2])
+    assert set(encoder.inner.young) == {"word", "été", "Łódź"}
+    assert set(encoder.first.young) == {"A", *("\n" + w for w in ("word", "été", "Łódź"))} - {"\nword"} | {"\nword"}
+    assert set(encoder.words.young) == {"A", *marks[1:]}
+
+
 def test_pieces_join_to_the_text():
     split = PieceSplitter(["<|endoftext|>"])
     for text in some_texts(200):
