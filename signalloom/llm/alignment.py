@@ -1,8 +1,10 @@
 """Alignment of the tokens of two vocabularies over the same bytes (operator 13).
 
 Vocabulary A is a byte-level tokenizer file, B a sentencepiece model. Both begin a token at
-every space that follows a character other than white space, so texts are cut there and each
-different piece is encoded and aligned once by each worker. Where one token of A covers
+every space that follows a character other than white space, so texts are cut there. Where no
+token of B holds a letter and a mark behind it, or a line end and anything else, they are also cut between
+words, marks and line ends. Each different string is encoded and aligned once by each worker, and Arrow puts
+those of a text in a row. Where one token of A covers
 the same bytes as one of B, the pair is known from A's id alone: such groups are counted in
 a vector as long as the vocabulary. Only pairs from other groups are counted by shuffle.
 
@@ -15,24 +17,26 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm.batches import as_array, slices
 from signalloom.llm.bpe import byte_letters
 from signalloom.llm.tables import settle
-from signalloom.llm.tokenizing import Memory, TextEncoder, library_encoder
+from signalloom.llm.tokenizing import LETTERS, WORD_AND_MARKS, Memory, TextEncoder, library_encoder
 
 #: Documents, and bytes of text, after which a block is closed; a longer document has one of its own.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
-#: Different pieces of one generation of a worker's memory, and words of A's encoder: some 50 MB each.
-REMEMBERED = 120_000
+#: Different strings of one generation of a worker's memory: some 70 MB.
+REMEMBERED = 200_000
 #: Different pairs that a task counts before it hands them on.
 PAIRS = 1 << 20
 
@@ -77,7 +81,7 @@ def same_bytes(a: list[bytes], b: list[bytes], byte_ids: set[int]) -> np.ndarray
 
 
 class Aligned(NamedTuple):
-    """A piece or a text: its groups as text, its links as numbers, and how many tokens it has."""
+    """A text: its groups as text, its links as numbers, and how many tokens it has."""
 
     groups: bytes
     links: bytes
@@ -85,13 +89,23 @@ class Aligned(NamedTuple):
     n_b: int
 
 
+#: What is remembered of a string: the fields of a text's alignment, the last group with its semicolon.
+Known = tuple[bytes, bytes, int, int]
+NOTHING: Known = (b"", b"", 0, 0)
+
+
 class Aligner:
-    """Aligns pieces; a link is the number ``id of A * size of B + id of B``."""
+    """Aligns texts; a link is the number ``id of A * size of B + id of B``."""
 
     #: A space that follows a character other than white space.
     cut = re.compile(r"(?<=\S) ").split
-    #: A space that does not.
-    unclear = re.compile(r"(?:\A|\s) ").search
+    #: A space that does not, behind the first character.
+    unclear = re.compile(r"\s ").search
+    #: A line end beside white space.
+    ragged = re.compile(r"\n(?:\s|(?<=\s\n))").search
+    #: What A takes as one pre-token.
+    one_word = re.compile(rf" ?[{LETTERS}]+|[!-/:-@\[-`{{-~]+|\n").fullmatch
+    letter_and_mark = re.compile(rf"[{LETTERS}][!-/:-@\[-`{{-~]").search
 
     def __init__(self, path_a: str, path_b: str, remembered: int = REMEMBERED):
         import sentencepiece
@@ -101,7 +115,13 @@ class Aligner:
         self.b_bytes = [piece_bytes(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(n)]
         self.space = self.model.piece_to_id("▁")
         self.a_bytes = a_strings(path_a)
-        self.encoder: TextEncoder = library_encoder(path_a, plain=True, remembered=remembered // 3)
+        self.encoder: TextEncoder = library_encoder(path_a, plain=True, remembered=remembered // 10)
+        # B adds a space to every string. One that has none before it is encoded behind a line end; these ids are not its own.
+        self.lead = self.model.encode("\n")
+        unseen = self.model.is_byte, self.model.is_control, self.model.is_unknown
+        pieces = [self.model.id_to_piece(i) for i in range(n) if not any(kind(i) for kind in unseen)]
+        self.by_lines = b"".join([self.b_bytes[i] for i in self.lead]) == b" \n" and not any("\n" in p and p != "\n" for p in pieces)
+        self.by_marks = self.by_lines and not any(map(self.letter_and_mark, pieces))
         self.size_b = n
         self.dtype = "<u4" if len(self.a_bytes) * n <= 1 << 32 else "<u8"
         self.same = same_bytes(self.a_bytes, self.b_bytes, {i for i in range(n) if self.model.is_byte(i)})
@@ -112,10 +132,6 @@ class Aligner:
         self.written = [b"%d%c" % (i, mark) for of, mark in zip(ids, b",|,;") for i in of]
         self.width = np.array([len(x) for x in self.written], np.int64)
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces without the space each begins with; the first one's is put before the text."""
-        return self.cut(text) if self.unclear(text) else text.split(" ")
-
     def _spelled(self, raw: list[bytes], flat: np.ndarray, n: np.ndarray, strings: list[bytes], size_of: np.ndarray) -> np.ndarray:
         """Which pieces the strings of their ids spell; ``flat`` has the ids of all pieces, ``n`` of each."""
         sizes = np.bincount(np.repeat(np.arange(len(n)), n), weights=size_of[flat], minlength=len(n))
@@ -126,10 +142,10 @@ class Aligner:
             fine = np.array([b"".join(parts[a:b]) == r for r, a, b in zip(raw, [0, *ends], ends)], bool)
         return fine
 
-    def _aligned(self, raw: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> list[Aligned | None]:
-        """All pieces in one pass over their joined bytes; None where tokens are not the piece's bytes."""
+    def _aligned(self, raw: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> list[Known | None]:
+        """All strings in one pass over their joined bytes; None where tokens are not the string's bytes."""
         fine = self._spelled(raw, a, n_a, self.a_bytes, self.size_of[0]) & self._spelled(raw, b, n_b, self.b_bytes, self.size_of[1])
-        out: list[Aligned | None] = [None] * len(raw)
+        out: list[Known | None] = [None] * len(raw)
         spelled = np.flatnonzero(fine).tolist()
         if not spelled:
             return out
@@ -149,42 +165,115 @@ class Aligner:
         upto_a, upto_b = last_a[upto - 1] + 1, last_b[upto - 1] + 1
         upto_text = np.cumsum(self.width[order])[upto_a + upto_b - 1]
         n_a, n_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
-        wide, group, at = np.dtype(self.dtype).itemsize, 0, 0
-        for k, g, t, x, y in zip(spelled, upto.tolist(), upto_text.tolist(), n_a.tolist(), n_b.tolist()):
-            out[k] = Aligned(text[at : t - 1], links[group * wide : g * wide], x, y)
-            group, at = g, t
+        ends_text = [0, *upto_text.tolist()]
+        ends_links = [0, *(upto * np.dtype(self.dtype).itemsize).tolist()]
+        found = zip(
+            [text[i:j] for i, j in zip(ends_text, ends_text[1:])], [links[i:j] for i, j in zip(ends_links, ends_links[1:])],
+            n_a.tolist(), n_b.tolist(),
+        )
+        if len(spelled) == len(raw):
+            return list(found)
+        for k, x in zip(spelled, found):
+            out[k] = x
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        fresh = list(self.memory.unknown(pieces))
+    def learn(self, strings: set[str]) -> None:
+        """Align strings that are not remembered, with the space they begin with; those without one stand inside a text."""
+        fresh = self.memory.unknown(strings)
         if not fresh:
             return
-        packed = self.encoder.parts(fresh)
+        words = [x for x in fresh if self.one_word(x)]
+        others = fresh.difference(words)
+        spaced = [x for x in others if x[0] == " "]
+        bare = [x for x in others if x[0] != " "]
+        packed = self.encoder.encode_words(words) + self.encoder.parts([x[1:] for x in spaced]) + self.encoder.parts(bare, "")
         a = np.frombuffer(b"".join(packed), self.encoder.dtype).astype(np.int64)
-        n_a = np.fromiter(map(len, packed), np.int64, len(fresh)) // np.dtype(self.encoder.dtype).itemsize
-        ids = self.model.encode(fresh, num_threads=1)
-        if "" in fresh:  # the model adds no space to an empty string
-            ids[fresh.index("")] = [self.space]
-        n_b = np.fromiter(map(len, ids), np.int64, len(fresh))
+        n_a = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(self.encoder.dtype).itemsize
+        ordered = words + spaced + bare
+        ids = self.model.encode([x[1:] if x[0] == " " else "\n" + x for x in ordered], num_threads=1)
+        for k, x in enumerate(ordered):
+            if x[0] != " ":
+                ids[k] = ids[k][len(self.lead) :]
+            elif x == " ":  # the model adds no space to an empty string
+                ids[k] = [self.space]
+        n_b = np.fromiter(map(len, ids), np.int64, len(ids))
         b = np.fromiter(chain.from_iterable(ids), np.int64, int(n_b.sum()))
-        self.memory.learn(dict(zip(fresh, self._aligned([b" " + p.encode() for p in fresh], a, n_a, b, n_b))))
+        self.memory.learn(dict(zip(ordered, self._aligned([x.encode() for x in ordered], a, n_a, b, n_b))))
+
+    def _look_up(self, names: pa.Array, line: np.ndarray) -> tuple[list[Known | None], list[np.ndarray]]:
+        """What is known of the strings of all names, and where in it those of each name are.
+
+        A name is a piece without its space or, if it is a ``line``, a line end and what follows it up to a space.
+        Latin words and the marks behind them are strings of their own.
+        """
+        lines = pa.array(line)
+        body = pc.if_else(lines, pc.utf8_ltrim(names, "\n"), names)
+        plain = pc.and_(pc.match_substring_regex(body, WORD_AND_MARKS), pc.invert(pc.starts_with(body, "\n")))
+        plain = pc.and_(plain, self.by_marks)
+        none = pa.scalar("", names.type)
+        marks = pc.if_else(plain, pc.utf8_ltrim(body, LETTERS), none).dictionary_encode()
+        stems = pc.if_else(plain, pc.ascii_rtrim(body, string.punctuation), body)
+        space = pc.if_else(lines, none, pa.scalar(" ", names.type))
+        stems = pc.binary_join_element_wise(space, stems, none).dictionary_encode()
+        own = [x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (stems, marks)]
+        wanted = ["\n", *own[0], *own[1]]
+        if not line.any():
+            wanted[0] = ""
+        self.learn(set(wanted) - {""})
+        known = self.memory.young
+        places = [line.astype(np.int64), 2 + stems.indices.to_numpy(), 2 + len(own[0]) + marks.indices.to_numpy()]
+        return [NOTHING, *[known[x] if x else NOTHING for x in wanted]], places
 
     def align(self, batch: list[str | None]) -> list[Aligned | None]:
         """The alignment of every text; None for NULL and empty ones and those the tokens do not spell."""
-        cut = [self.pieces(t) if t else [] for t in batch]
-        self.learn(set().union(*cut))
-        known, out = self.memory.young, []
-        for pieces in cut:
-            found = [known[p] for p in pieces]
-            if not found or None in found:
-                out.append(None)
+        even, pieces, order, sizes = [], [], ([], []), []
+        for k, text in enumerate(batch):
+            if not text:
                 continue
-            out.append(
-                Aligned(
-                    b";".join([x.groups for x in found]), b"".join([x.links for x in found]),
-                    sum([x.n_a for x in found]), sum([x.n_b for x in found]),
-                )
-            )
+            if text[0] == " " or self.unclear(text):
+                cut = self.cut(text)
+            elif "\n" not in text:
+                cut = None
+            elif self.by_lines and text[0] != "\n" and not self.ragged(text):
+                cut, text = None, text.replace("\n", " \n")
+            else:
+                cut = text.split(" ")
+            order[cut is not None].append(k)
+            if cut is None:
+                even.append(text)
+            else:
+                pieces += cut
+                sizes.append(len(cut))
+        out: list[Aligned | None] = [None] * len(batch)
+        if not even and not pieces:
+            return out
+        split = pc.split_pattern(pa.array(even, pa.large_string()), " ")
+        numbered = [split.flatten().dictionary_encode(), pa.array(pieces, pa.large_string()).dictionary_encode()]
+        n = len(numbered[0].dictionary)
+        names = pa.concat_arrays([x.dictionary for x in numbered])
+        which = np.concatenate([numbered[0].indices.to_numpy().astype(np.int64), numbered[1].indices.to_numpy() + n])
+        edges = np.append(0, np.cumsum([*pc.list_value_length(split).to_pylist(), *sizes]))
+        line = pc.starts_with(names, "\n").to_numpy(zero_copy_only=False)
+        line[n:] = False  # there a line end at the beginning has a space before it
+        found, places = self._look_up(names, line)
+
+        bad = np.array([x is None for x in found])
+        *raw, n_a, n_b = zip(*[x or NOTHING for x in found])
+        nothing, rows = pa.scalar(b"", pa.large_binary()), pa.array(which)
+        ends, held = [], []
+        for x in raw:
+            strings = pa.array(x, pa.large_binary())
+            joined = pc.binary_join_element_wise(*[strings.take(pa.array(p)) for p in places], nothing).take(rows)
+            ends.append(np.frombuffer(joined.buffers()[1], np.int64)[edges].tolist())
+            held.append(memoryview(joined.buffers()[2] or b""))
+        for x in (n_a, n_b, bad):
+            of_names = sum(np.array(x, np.int64)[p] for p in places)
+            ends.append(np.append(0, np.cumsum(of_names[which]))[edges])
+        texts, links = held
+        for t, k in enumerate(chain(*order)):
+            g, x, a, b, wrong = ((e[t], e[t + 1]) for e in ends)
+            if wrong[0] == wrong[1]:
+                out[k] = Aligned(bytes(texts[g[0] : g[1] - 1]), bytes(links[x[0] : x[1]]), int(a[1] - a[0]), int(b[1] - b[0]))
         self.memory.end_batch()
         return out
 

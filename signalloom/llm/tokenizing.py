@@ -255,11 +255,12 @@ class TextEncoder:
         self.first.end_batch()
         return out
 
-    def parts(self, batch: list[str]) -> list[bytes]:
-        """Packed ids of different pieces, without the space that each begins with."""
-        self._learn(self.inner, set(batch), " ")
-        out = list(map(self.inner.young.__getitem__, batch))
-        self.inner.end_batch()
+    def parts(self, batch: list[str], lead: str = " ") -> list[bytes]:
+        """Packed ids of different pieces, without the space that each begins with, or that have no ``lead``."""
+        memory = self.inner if lead else self.first
+        self._learn(memory, set(batch), lead)
+        out = list(map(memory.young.__getitem__, batch))
+        memory.end_batch()
         return out
 
     def counts(self, batch: list[str]) -> list[tuple[list[str], np.ndarray]]:

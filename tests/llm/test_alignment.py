@@ -125,3 +125,54 @@ def test_same_bytes():
     by_text = {raw: i for i, raw in enumerate(maker.a_bytes)}
     assert not maker.model.is_byte(int(maker.same[by_text[b"a"]])) and maker.model.is_byte(int(maker.same[by_text[b"\n"]]))
     assert maker.model.id_to_piece(int(maker.same[by_text[b" the"]])) == "\u2581the"
+
+
+def small_model(folder, **options):
+    """A vocabulary of 400 pieces whose pieces may hold letters, marks and line ends together."""
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice(["the", "end.", "of,", "word.x", "two", "a-b", "it's"]) for _ in range(9)) for _ in range(300)]
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=str(folder / "small"), vocab_size=400, model_type="bpe", byte_fallback=True,
+        remove_extra_whitespaces=False, hard_vocab_limit=False, minloglevel=2, **options,
+    )
+    return str(folder / "small.model")
+
+
+LINES = ["the", " end.", " of,", "\n", "\nThe", "word.x", " a-b", "it's", "end.\n", " ", "é!", " ½,", "3.0\n", "\n- ", "\t", "(a)", "'", "\r\n", " ###"]
+
+
+def random_lines(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(LINES) for _ in range(rng.choice([1, 2, 3, 30]))) for _ in range(n)]
+
+
+def test_words_marks_and_line_ends(plain):
+    maker, texts = alignment.aligner(A, B), random_lines(600, 8)
+    assert maker.by_lines and maker.by_marks
+    for text, found in zip(texts, maker.align(texts)):
+        assert found.groups.decode() == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in plain(text)), repr(text)
+        assert (found.n_a, found.n_b) == tuple(sum(len(g[side]) for g in plain(text)) for side in (0, 1))
+
+
+def test_marks_and_line_ends_make_no_new_words():
+    maker = alignment.Aligner(A, B)
+    words, marks = ["lorem", "éta", "Dolor", "sit"], ["", ".", ",", "!!", ".###", ")"]
+    maker.align([" ".join(w + m + e for w in words for m in marks for e in ("", "\nand"))])
+    assert len(maker.memory.young) == len(words) + len(marks) - 1 + len({"\n", "and"})
+
+
+@pytest.mark.parametrize(
+    "options",
+    [{"split_by_unicode_script": False, "normalization_rule_name": "identity"}, {"normalization_rule_name": "nmt_nfkc"}],
+    ids=["marks in words", "line ends are spaces"],
+)
+def test_vocabularies_that_forbid_cuts(tmp_path, options):
+    path = small_model(tmp_path, **options)
+    maker, texts = alignment.Aligner(A, path), random_lines(300, 9)
+    assert not maker.by_marks
+    model = maker.model
+    for text, found in zip(texts, maker.align(texts)):
+        raw = [alignment.piece_bytes(model.id_to_piece(i), model.is_byte(i)) for i in model.encode(text)]
+        assert (found is not None) == (b"".join(raw) == (" " + text).encode()), repr(text)
+        if found:
+            assert [int(i) for g in found.groups.decode().split(";") for i in g.split("|")[1].split(",")] == model.encode(text)
