@@ -8,7 +8,7 @@ those of a text in a row. Where one token of A covers
 the same bytes as one of B, the pair is known from A's id alone: such groups are counted in
 a vector as long as the vocabulary. Only pairs from other groups are counted by shuffle.
 
-Documents travel in *blocks*: a row with the links of some hundred documents and a list of
+Documents travel in *blocks*: a row with the links of some dozens of documents and a list of
 its different pairs. Counts come back as one number for each pair of a block, so neither the
 pair table nor the links of the corpus is ever in one place.
 """
@@ -28,15 +28,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.batches import as_array, slices
+from signalloom.llm.batches import as_array, give_back, portions, slices
 from signalloom.llm.bpe import byte_letters
-from signalloom.llm.tables import settle
+from signalloom.llm.tables import ARROW_ROWS, held_at, settle
 from signalloom.llm.tokenizing import LETTERS, WORD_AND_MARKS, Memory, TextEncoder, library_encoder
 
-#: Documents, and bytes of text, after which a block is closed; a longer document has one of its own.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
-#: Different strings of one generation of a worker's memory: some 70 MB.
-REMEMBERED = 200_000
+#: Documents, and bytes of links, after which a block is closed; a longer document has one of its own.
+#: A row of a block stays below half a region of a JVM's heap, so that it is no allocation of its own there.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 3 << 17
+#: The writer of blocks looks at its buffers after two rows and closes a row group at so many compressed bytes,
+#: or rows: a reader holds a row group as it was before.
+BLOCK_FILES = {"parquet.block.size": 8 << 20, "parquet.block.row.count.limit": 32, "parquet.page.size.row.check.min": 2}
+#: Documents, and bytes of text, that are aligned together; a longer document is aligned by itself.
+ALIGNED_ROWS, ALIGNED_BYTES = 256, 1 << 20
+#: Different strings of one generation of a worker's memory, and the bytes they take.
+REMEMBERED, REMEMBERED_BYTES = 200_000, 72 << 20
+#: Bytes of a remembered string's objects besides its letters, groups and links.
+OBJECTS = 300
 #: Different pairs that a task counts before it hands them on.
 PAIRS = 1 << 20
 
@@ -94,6 +102,34 @@ Known = tuple[bytes, bytes, int, int]
 NOTHING: Known = (b"", b"", 0, 0)
 
 
+class Strings(Memory):
+    """A memory of alignments whose generations are bounded by their bytes as well."""
+
+    held = 0
+
+    def learn(self, found: dict[str, Known | None]) -> None:
+        super().learn(found)
+        self.held += sum(OBJECTS + len(x) + (len(y[0]) + len(y[1]) if y else 0) for x, y in found.items())
+
+    def unknown(self, wanted: set[str]) -> set[str]:
+        missing = wanted.difference(self.young)
+        if self.old:
+            again = {x: self.old[x] for x in missing if x in self.old}
+            self.learn(again)
+            missing = missing.difference(again)
+        return missing
+
+    def end_batch(self) -> None:
+        for x in self.long:
+            y = self.young.get(x)
+            self.held -= OBJECTS + len(x) + (len(y[0]) + len(y[1]) if y else 0)
+        super().end_batch()
+        if not self.young:
+            self.held = 0
+        elif self.held > REMEMBERED_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+
+
 class Aligner:
     """Aligns texts; a link is the number ``id of A * size of B + id of B``."""
 
@@ -125,7 +161,7 @@ class Aligner:
         self.size_b = n
         self.dtype = "<u4" if len(self.a_bytes) * n <= 1 << 32 else "<u8"
         self.same = same_bytes(self.a_bytes, self.b_bytes, {i for i in range(n) if self.model.is_byte(i)})
-        self.memory = Memory(remembered)
+        self.memory = Strings(remembered)
         self.size_of = [np.array([len(x) for x in raw], np.int64) for raw in (self.a_bytes, self.b_bytes)]
         # How an id is written: by side, and by whether it is the last one of its group.
         ids = [range(len(self.a_bytes)), range(len(self.a_bytes)), range(n), range(n)]
@@ -277,6 +313,12 @@ class Aligner:
         self.memory.end_batch()
         return out
 
+    def forget(self) -> None:
+        """Drop what is remembered of strings."""
+        if self.memory.young or self.memory.old:
+            self.memory = Strings(self.memory.size)
+            give_back()
+
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
@@ -288,6 +330,29 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _ALIGNERS[path_a, path_b]
 
 
+def no_more_texts() -> None:
+    """Steps behind the alignment run in the same workers and need no strings."""
+    for maker in _ALIGNERS.values():
+        maker.forget()
+
+
+class Pairs(NamedTuple):
+    """What steps behind the alignment know of a link; goes to every task."""
+
+    same: np.ndarray
+    size_b: int
+    dtype: str
+
+    def split(self, pairs: np.ndarray) -> np.ndarray:
+        """Which pairs are an id of A and the id of B with the same bytes."""
+        a, b = np.divmod(pairs.astype(np.int64), self.size_b)
+        return self.same[a] == b
+
+
+def pairs_of(maker: Aligner) -> Pairs:
+    return Pairs(maker.same.astype(np.int32), maker.size_b, maker.dtype)
+
+
 # --- Spark ---
 
 
@@ -313,7 +378,8 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
     """Rows of many documents: block, keys, n_a, n_b, sha, n_links (arrays), links, pairs, times (bytes).
 
     ``links`` are those of all documents in order; ``pairs`` the different ones and ``times``
-    their numbers. The table is written, so that block numbers stay what they are.
+    their numbers. The table is written, so that block numbers stay what they are. Texts come in
+    small batches and row groups are small, so that memory does not depend on how the input is dealt out.
     """
     kind = dict(docs.dtypes)[key]
 
@@ -343,7 +409,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
         maker = aligner(path_a, path_b)
         width = np.dtype(maker.dtype).itemsize
         nothing = Aligned(b"", b"", 0, 0)
-        for batch in slices(batches, 256):
+        for batch in portions(batches, 1, ALIGNED_ROWS, ALIGNED_BYTES):
             key_type = batch.column(0).type
             for k, x in zip(batch.column(0).to_pylist(), maker.align(batch.column(1).to_pylist())):
                 keys.append(k)
@@ -351,6 +417,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
                 size += len(found[-1].links)
                 if len(keys) >= BLOCK_ROWS or size >= BLOCK_BYTES:
                     yield give()
+            give_back()
         if keys:
             yield give()
 
@@ -358,13 +425,8 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
         f"block long, keys array<{kind}>, n_a array<long>, n_b array<long>, sha array<string>, n_links array<long>,"
         " links binary, pairs binary, times binary"
     )
-    return settle(docs.select(key, text).mapInArrow(run, schema), "blocks")
-
-
-def _split(maker: Aligner, pairs: np.ndarray) -> np.ndarray:
-    """Which pairs are an id of A and the id of B with the same bytes."""
-    a, b = np.divmod(pairs.astype(np.int64), maker.size_b)
-    return maker.same[a] == b
+    with held_at(docs.sparkSession, {ARROW_ROWS: ALIGNED_ROWS}):
+        return settle(docs.select(key, text).mapInArrow(run, schema), "blocks", options=BLOCK_FILES)
 
 
 def pair_counts(made: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -374,9 +436,11 @@ def pair_counts(made: DataFrame, path_a: str, path_b: str) -> DataFrame:
     each id; other pairs are summed in the task as far as memory allows and then by shuffle.
     """
 
+    known = pairs_of(aligner(path_a, path_b))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = aligner(path_a, path_b)
-        vector, waiting, size = np.zeros(len(maker.same), np.int64), [], 0
+        no_more_texts()
+        vector, waiting, size = np.zeros(len(known.same), np.int64), [], 0
 
         def rows(pairs: np.ndarray, same: bool, n: np.ndarray) -> pa.RecordBatch:
             columns = [pa.array(pairs.astype(np.int64)), pa.array(np.full(len(pairs), same)), pa.array(n.astype(np.int64))]
@@ -390,9 +454,9 @@ def pair_counts(made: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         for batch in batches:
             for raw, often in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs, times = np.frombuffer(raw, maker.dtype), np.frombuffer(often, "<u8")
-                same = _split(maker, pairs)
-                np.add.at(vector, (pairs[same] // maker.size_b).astype(np.int64), times[same].astype(np.int64))
+                pairs, times = np.frombuffer(raw, known.dtype), np.frombuffer(often, "<u8")
+                same = known.split(pairs)
+                np.add.at(vector, (pairs[same] // known.size_b).astype(np.int64), times[same].astype(np.int64))
                 waiting.append((pairs[~same], times[~same]))
                 size += int((~same).sum())
                 if size > PAIRS:
@@ -402,7 +466,7 @@ def pair_counts(made: DataFrame, path_a: str, path_b: str) -> DataFrame:
             yield summed()
         used = np.flatnonzero(vector)
         if len(used):
-            yield rows(used * maker.size_b + maker.same[used], True, vector[used])
+            yield rows(used * known.size_b + known.same[used], True, vector[used])
 
     counted = made.select("pairs", "times").mapInArrow(run, "pair long, same boolean, n long")
     return counted.groupBy("pair", "same").agg(F.sum("n").alias("n"))
@@ -422,35 +486,35 @@ def report(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
     """
     made = blocks(docs, path_a, path_b, key, text)
     counts = settle(pair_counts(made, path_a, path_b), "pairs")
-    kind, maker = dict(docs.dtypes)[key], aligner(path_a, path_b)
-    size_b = maker.size_b
+    kind, pairing = dict(docs.dtypes)[key], pairs_of(aligner(path_a, path_b))
+    size_b = pairing.size_b
     top = counts.groupBy((F.col("pair") % size_b).alias("b")).agg(F.max("n").alias("n")).toArrow()
     best = np.zeros(size_b, np.int64)
     best[top.column("b").to_numpy()] = top.column("n").to_numpy()
     same = counts.where("same").select((F.col("pair") / size_b).cast("long").alias("a"), "n").toArrow()
-    known = np.zeros(len(maker.same), np.int64)
+    known = np.zeros(len(pairing.same), np.int64)
     known[same.column("a").to_numpy()] = same.column("n").to_numpy()
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = aligner(path_a, path_b)
+        no_more_texts()
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs = np.frombuffer(raw, maker.dtype)
-                pairs = pairs[~_split(maker, pairs)].astype(np.int64)
+                pairs = np.frombuffer(raw, pairing.dtype)
+                pairs = pairs[~pairing.split(pairs)].astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(pairs), block)), "pair": pa.array(pairs)})
 
     wanted = made.select("block", "pairs").mapInArrow(asked, "block long, pair long")
     answers = wanted.join(counts.where("not same").select("pair", "n").hint("shuffle_hash"), "pair")
 
     def lines(left: pa.Table, right: pa.Table) -> pa.Table:
-        maker = aligner(path_a, path_b)
+        no_more_texts()
         order = np.argsort(right.column("pair").to_numpy())
         pairs, n = right.column("pair").to_numpy()[order], right.column("n").to_numpy()[order]
         out = []
         for row in left.to_pylist():
-            links = np.frombuffer(row["links"], maker.dtype).astype(np.int64)
+            links = np.frombuffer(row["links"], pairing.dtype).astype(np.int64)
             a, b = np.divmod(links, size_b)
-            count = np.where(maker.same[a] == b, known[a], 0)
+            count = np.where(pairing.same[a] == b, known[a], 0)
             if len(pairs):
                 at = np.minimum(np.searchsorted(pairs, links), len(pairs) - 1)
                 count = np.where(pairs[at] == links, n[at], count)

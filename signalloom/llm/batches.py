@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, and so many bytes in one column; a longer value has a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(longs(pc.binary_length(batch.column(column))))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = min(start + rows, int(np.searchsorted(ends, before + size, "right")))
+            stop = max(stop, start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library keep for later to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of a column; NULL counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

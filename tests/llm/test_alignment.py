@@ -5,12 +5,15 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from corpus_rows import ODD_ROWS, TEXTS
 from tokenizers import Tokenizer
 
 from signalloom.llm import alignment
+from signalloom.llm.batches import portions
 from signalloom.llm.bpe import byte_letters
 from signalloom.llm.queries import QUERIES
 from signalloom.llm.tokenizing import default_tokenizer
@@ -176,3 +179,53 @@ def test_vocabularies_that_forbid_cuts(tmp_path, options):
         assert (found is not None) == (b"".join(raw) == (" " + text).encode()), repr(text)
         if found:
             assert [int(i) for g in found.groups.decode().split(";") for i in g.split("|")[1].split(",")] == model.encode(text)
+
+
+def test_blocks_and_their_row_groups_stay_small(spark):
+    """What a task holds of blocks does not grow with the documents that are dealt to it."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(["the", "of", "a", "in"], k=100_000))) for k in range(48)], TEXTS)
+    few = spark.range(4000, 12_000).selectExpr("id as doc_id", "repeat('some words ', 100) as text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = alignment.blocks(docs.union(few).coalesce(1), A, B)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    rows = made.selectExpr("octet_length(links) as n", "size(keys) as documents", "inline(arrays_zip(keys, n_links))").collect()
+    assert len(rows) == 8048 and {r.keys for r in rows} == {*range(48), *range(4000, 12_000)}
+    assert all(r.n <= 1 << 19 for r in rows)
+    groups = [g for f in made.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.total_byte_size for g in groups) > 20 << 20
+    assert max(g.total_byte_size for g in groups) <= 32 * (1 << 19)
+
+
+def test_texts_are_aligned_in_small_portions():
+    sizes = [10, None, 300, 5, 5, 5, 5, 0, 200, 1]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(10)), "t": pa.array([None if n is None else "é" * (n // 2) + "a" * (n % 2) for n in sizes])})
+    found = [x.column(0).to_pylist() for x in portions([batch, batch.slice(0, 0), batch.slice(3, 2)], 1, 3, 20)]
+    assert found == [[0, 1], [2], [3, 4, 5], [6, 7], [8], [9], [3, 4]]
+
+
+def test_memory_is_bounded_by_its_bytes(monkeypatch):
+    """Long strings of many tokens fill it before their number does."""
+    rng = random.Random(11)
+    texts = [[" ".join("".join(rng.choices("零一二三四五六七八九", k=rng.choice([1, 20, 40, 80]))) for _ in range(10)) for _ in range(3)] for _ in range(30)]
+    expected = list(map(alignment.aligner(A, B).align, texts))
+    monkeypatch.setattr(alignment, "REMEMBERED_BYTES", 50_000)
+    maker = alignment.Aligner(A, B)
+    for batch, found in zip(texts, expected):
+        assert maker.align(batch) == found
+        assert maker.align(batch[:1]) == found[:1]
+        held = [sum(alignment.OBJECTS + len(x) + len(y[0]) + len(y[1]) for x, y in kept.items()) for kept in (maker.memory.young, maker.memory.old)]
+        assert maker.memory.held == held[0] <= 50_000
+        assert held[1] <= 100_000
+    assert maker.memory.old and len(maker.memory.young) < 200
+
+
+def test_steps_behind_the_alignment_hold_no_strings(monkeypatch):
+    maker = alignment.Aligner(A, B)
+    texts = ["Some words, and others.", "Some more"]
+    found = maker.align(texts)
+    monkeypatch.setattr(alignment, "_ALIGNERS", {(A, B): maker})
+    assert maker.memory.young
+    alignment.no_more_texts()
+    assert not maker.memory.young and not maker.memory.old
+    assert maker.align(texts) == found
